@@ -7,6 +7,7 @@ Intermediate tables are written below the folder that the session names in
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -59,6 +60,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished steps: it acts on what the driver has collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialise`; only for tables that no later plan reads."""
     path = getattr(df, "materialised_at", None)
