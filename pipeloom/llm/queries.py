@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, substrings
+from . import language, lines, mixing, packing, shingles, substrings
 from .common import table, with_code
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = language.train(docs.where(~language.held_out()))
@@ -38,7 +42,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op4_language_id, op6_line_dedup, op7_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op3_ngram_jaccard, op4_language_id, op6_line_dedup, op7_best_fit_packing, op10_mix_sources)}
 
 
 #: Content-defined chunks of lines; those of two lines or more that occur before are cut out.
