@@ -133,7 +133,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         raise ValueError("min_words must be at least 2")
     spark = docs.sparkSession
     deal = shuffle_partitions(spark)
-    buckets, groups = 8 * deal, 4 * deal
+    buckets, groups = 2 * deal, 2 * deal
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
