@@ -12,13 +12,16 @@ least ``percent`` in a hundred.  The steps, each over all documents:
 3. The sets that share a key form a group.  In a group a *signature tree* is built:
    its leaves are sets, its nodes hold OR-combined bitmaps and size ranges, and a
    dual traversal drops every pair of nodes whose greatest possible overlap is too
-   small for a link.  Keys that name the same group are tried once; a large group
-   is dealt into blocks, and pairs of blocks are joined as separate tasks.
+   small for a link.  A set takes part in the groups of its rarest keys only, as
+   many as a link must share one of; keys that name the same group are tried once;
+   a large group is dealt into blocks, and pairs of blocks are joined as separate
+   tasks.
 4. Pairs that come through are compared exactly, shingle by shingle, in two rounds.
    The first takes a spanning forest of each group, most similar pairs first; its
-   links give components.  The second takes *all* remaining pairs between
-   different components, so no link is lost while thousands of near copies don't
-   become millions of pairs.
+   links give components.  The second judges *all* remaining pairs between
+   different components where their sets meet, and reports links that span them:
+   no link between components is lost, and thousands of near copies never become
+   millions of rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ SKETCH, LIKELY_SHARED = 48, 14
 #: Largest group joined in one task; larger ones are dealt into blocks.
 BLOCK = 512
 FANOUT = 8
+#: Bits a shingle of the bitmaps that travel, and of those made where the sets are at hand.
+NARROW, WIDE = 4, 16
+#: Columns of a 0/1 matrix.
+COLUMNS = 8192
 KEYS = (("h", np.uint64), ("doc", np.int64), ("set", np.uint64))
 FACTS = (("doc", np.int64), ("n", np.int32), ("set", np.uint64), ("more", np.uint64))
 SHARED = (("doc", np.int64), ("h", np.uint64))
@@ -70,9 +77,9 @@ def least_shared(n: int, percent: int) -> int:
     return max(LIKELY_SHARED if percent >= 75 else 1, min(overlap, SKETCH - (union - overlap)), 1)
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Bits at the shingles' hashes, four a shingle or more; the width is a power of two of whole 64-bit words."""
-    width = max(64, 1 << int(4 * len(found) - 1).bit_length())
+def bitmap(found: np.ndarray, bits_each: int = NARROW) -> np.ndarray:
+    """Bits at the shingles' hashes, ``bits_each`` a shingle or more; the width is a power of two of whole 64-bit words."""
+    width = max(64, 1 << int(bits_each * len(found) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(found >> np.uint64(8)) & np.uint64(width - 1)] = 1
     return np.packbits(bits)
@@ -157,47 +164,82 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarr
     return np.array(chosen, np.int64)
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of the sets a[i] and b[j]."""
+    if len(i) <= len(a) + len(b):
+        return np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    # many pairs: count by products of 0/1 matrices, some columns (shingles in two sets at least) at a time
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    owner, column = owner[keep], column[keep]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, lo), np.searchsorted(column, lo + COLUMNS)
+        dense = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        dense[owner[x:y], column[x:y] - lo] = 1
+        total += dense[: len(a)] @ dense[len(a) :].T
+    return total[i, j].astype(np.int64)
+
+
+def prepared(part: dict, every: bool) -> tuple[dict, list[np.ndarray], list[np.ndarray]]:
+    """(the part sorted by size, its bitmaps, its sets if it carries those)."""
+    order = np.lexsort((part["doc"], part["n"]))
+    part = {k: v[order] for k, v in part.items()}
+    if not every:
+        return part, list(part["data"]), []
+    found = [x.view(np.uint64) for x in part["data"]]
+    return part, [bitmap(x, WIDE) for x in found], found
+
+
 def join_group(left: dict, right: dict | None, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents to compare among one block, or between two; ``every``: all between different components."""
-    parts = [left] if right is None else [left, right]
-    width = min(min(map(len, p["signature"])) for p in parts)
-    trees, docs, comps = [], [], []
-    for p in parts:
-        order = np.lexsort((p["doc"], p["n"]))
-        signatures = np.stack([fold(p["signature"][k], width) for k in order])
-        pad = -signatures.shape[1] % 8
-        signatures = np.pad(signatures, ((0, 0), (0, pad))).view(np.uint64) if pad else np.ascontiguousarray(signatures).view(np.uint64)
-        trees.append(Tree(p["n"][order], signatures))
-        docs.append(p["doc"][order])
-        comps.append(p["comp"][order])
+    """Pairs of documents among one block, or between two.
+
+    Without ``every`` the rows carry bitmaps, and the pairs are a spanning forest of
+    the pairs that may link.  With it they carry the sets, all pairs between
+    different components are judged, and the pairs are links that span what links.
+    """
+    parts = [prepared(p, every) for p in ([left] if right is None else [left, right])]
+    width = min(min(map(len, bitmaps)) for _, bitmaps, _ in parts)
+    trees = []
+    for part, bitmaps, _ in parts:
+        signatures = np.stack([fold(x, width) for x in bitmaps])
+        trees.append(Tree(part["n"], np.ascontiguousarray(signatures).view(np.uint64)))
+    (a, _, sets_a), (b, _, sets_b) = parts[0], parts[-1]
     i, j, most = candidates(trees[0], trees[-1], percent, right is None)
-    keep = (docs[0][i] != docs[-1][j]) & (comps[0][i] != comps[-1][j])
+    keep = (a["doc"][i] != b["doc"][j]) & (a["comp"][i] != b["comp"][j])
     i, j, most = i[keep], j[keep], most[keep]
-    if not every:
-        total = trees[0].levels[0][1][i] + trees[-1].levels[0][1][j]
-        names = np.concatenate(docs)
-        e = forest(len(names), i, j + (0 if right is None else len(docs[0])), most / np.maximum(1, total - most))
-        i, j = i[e], j[e]
-    x, y = docs[0][i], docs[-1][j]
+    total = a["n"][i] + b["n"][j]
+    if every:
+        most = overlaps(sets_a, sets_b, i, j)
+        links = 100 * most >= percent * (total - most)
+        i, j, most, total = i[links], j[links], most[links], total[links]
+    names, place = np.unique(np.concatenate([a["comp"][i], b["comp"][j]]), return_inverse=True)
+    e = forest(len(names), place[: len(i)], place[len(i) :], most / np.maximum(1, total - most))
+    x, y = a["doc"][i[e]], b["doc"][j[e]]
     return np.minimum(x, y), np.maximum(x, y)
 
 
 def group_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """members: (bucket, token, i, j, side, doc, n, signature, comp) -> distinct pairs (a, b) to compare."""
+    """members: (bucket, token, i, j, side, doc, n, data, comp) -> distinct pairs (a, b), see :func:`join_group`."""
 
     def joined(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_numpy() for c in ("token", "i", "j", "side", "doc", "n", "comp")}
-        signature = np.empty(len(table), object)
-        signature[:] = [np.frombuffer(x, np.uint8) for x in table.column("signature").to_pylist()]
+        data = np.empty(len(table), object)
+        data[:] = [np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()]
         order = np.lexsort((column["side"], column["j"], column["i"], column["token"]))
-        column = {k: v[order] for k, v in column.items()} | {"signature": signature[order]}
+        column = {k: v[order] for k, v in column.items()} | {"data": data[order]}
         change = np.ones(len(order) + 1, bool)
         change[1:-1] = (np.diff(column["token"]) != 0) | (np.diff(column["i"]) != 0) | (np.diff(column["j"]) != 0)
         bounds = np.flatnonzero(change)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             mid = lo + int(np.searchsorted(column["side"][lo:hi], 1))
-            pick = lambda a, b: {k: column[k][a:b] for k in ("doc", "n", "signature", "comp")}
+            pick = lambda a, b: {k: column[k][a:b] for k in ("doc", "n", "data", "comp")}
             diagonal = column["i"][lo] == column["j"][lo]
             if hi - lo > 1 and (diagonal or lo < mid < hi):
                 x, y = join_group(pick(lo, hi if diagonal else mid), None if diagonal else pick(mid, hi), percent, every)
@@ -240,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """
     spark = docs.sparkSession
     deal = shuffle_partitions(spark)
-    buckets, groups = 2 * deal, 2 * deal
+    buckets, groups = deal, 2 * deal
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,35 +318,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         return pa.Table.from_batches([rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])])
 
     alive = first.where("kind = 0").groupBy("key").applyInArrow(shared, MOVED).select("key", "data")
-    kept_schema = "doc long, n long, signature binary, shingles binary, tokens array<long>"
+    kept_schema = "doc long, n long, least int, signature binary, shingles binary, tokens array<long>"
 
     def survivors(texts: pa.Table, places: pa.Table) -> pa.Table:
         found = blobs.unpack(places.column("data").to_pylist(), SHARED)
         order = np.lexsort((found["h"], found["doc"]))
         docs_of, tokens_of = found["doc"][order], found["h"][order]
         texts = texts.filter(pa.array(np.isin(doc_ids(texts.column("doc").combine_chunks()), docs_of)))
-        out: dict[str, list] = {"doc": [], "n": [], "signature": [], "shingles": [], "tokens": []}
+        out: dict[str, list] = {"doc": [], "n": [], "least": [], "signature": [], "shingles": [], "tokens": []}
         seen: set[int] = set()
         for batch in texts.combine_chunks().to_batches():
             for part in slices(batch, 1):
                 for doc, s in zip(part.column(0).to_pylist(), sets(part.column(1), shingle), strict=True):
                     own = tokens_of[np.searchsorted(docs_of, doc, "left") : np.searchsorted(docs_of, doc, "right")]
-                    if len(own) >= least_shared(len(s), percent) and len(s) and doc not in seen:
+                    least = least_shared(len(s), percent)
+                    if len(own) >= least and len(s) and doc not in seen:
                         seen.add(doc)
-                        for name, value in (("doc", doc), ("n", len(s)), ("signature", bitmap(s).tobytes()), ("shingles", s.tobytes()), ("tokens", own.view(np.int64))):
+                        for name, value in (("doc", doc), ("n", len(s)), ("least", least), ("signature", bitmap(s).tobytes()), ("shingles", s.tobytes()), ("tokens", own.view(np.int64))):
                             out[name].append(value)
-        kinds = {"doc": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "shingles": pa.binary(), "tokens": pa.list_(pa.int64())}
+        kinds = {"doc": pa.int64(), "n": pa.int64(), "least": pa.int32(), "signature": pa.binary(), "shingles": pa.binary(), "tokens": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     grouped = source.withColumn("key", group_column(F.col("doc"), groups))
     known = materialise(grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(survivors, kept_schema), "survivors")
     release(spark)
     tokens = known.select("doc", F.explode("tokens").alias("token"))
+    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # a link shares `least` keys, so it shares one of the rarest (keys - least + 1) of either side: hot keys fall away
+    keyed = tokens.join(sizes, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("ks"))  # SKETCH keys at most
+    rarest = keyed.join(known.select("doc", "least"), "doc").where("size(ks) >= least").select("doc", F.explode(F.expr("slice(ks, 1, size(ks) - least + 1)")).alias("k")).select("doc", "k.token")
     each = F.xxhash64("doc")
     # keys with the same members (count and two sums of hashes agree) are one group, named by the smallest
-    members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(each.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("size > 1")
+    members = rarest.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(each.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("size > 1")
     named = members.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
-    groups_of = materialise(tokens.join(named, "token").select("token", "size", "doc"), "groups")
+    groups_of = materialise(rarest.join(named, "token").select("token", "size", "doc"), "groups")
 
     def dealt(of: DataFrame, whole: bool) -> DataFrame:
         """Rows per group and pair of blocks; ``whole``: pairs of different blocks too."""
@@ -316,7 +363,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
             earlier = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: k < b), lambda k: F.struct(k.alias("i"), b.alias("j"), F.lit(1).alias("side")))
             own = F.concat(own, later, earlier)
         spread = of.select("token", "doc", "comp", F.explode(own).alias("x")).select("token", "doc", "comp", "x.*")
-        signed = spread.join(known.select("doc", "n", "signature"), "doc")
+        signed = spread.join(known.select("doc", "n", F.col("shingles" if whole else "signature").alias("data")), "doc")
         return signed.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets)))
 
     pairs = materialise(group_pairs(dealt(groups_of.withColumn("comp", F.col("doc")), False), percent, False), "pairs")
@@ -326,8 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     labelled = groups_of.join(comps, groups_of["doc"] == comps["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
     labelled = materialise(labelled, "labelled")
     open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
-    rest = group_pairs(dealt(labelled.join(open_tokens, "token"), True), percent, True).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(compare(materialise(rest, "pairs"), known, percent), "links")
+    more = materialise(group_pairs(dealt(labelled.join(open_tokens, "token"), True), percent, True), "links")
     release(spark)
     final = connected_components(links.union(more), "a", "b")
 
