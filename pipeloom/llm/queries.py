@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, shingles, substrings
+from . import embedding_dedup, language, lines, mixing, neighbours, packing, shingles, substrings
 from .common import table, with_code
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,13 +40,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "source", "copy", F.sha2("text", 256).alias("text_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op3_ngram_jaccard, op4_language_id, op6_line_dedup, op7_best_fit_packing, op10_mix_sources)}
+    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op3_ngram_jaccard, op4_language_id, op5_embedding_dedup, op6_line_dedup, op7_best_fit_packing, op8_nearest_neighbours, op10_mix_sources)}
 
 
 #: Content-defined chunks of lines; those of two lines or more that occur before are cut out.
