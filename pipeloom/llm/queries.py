@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, lines, mixing, neighbours, packing, shingles, substrings
+from . import chat, embedding_dedup, language, licences, lines, mixing, neighbours, packing, shingles, substrings
 from .common import table, with_code
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license_id", "canonical_sha256")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,15 +51,51 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op9_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.preference_pairs(table(spark, sf_dir, "conversations"))
+    texts = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    return found.select("pair_id", "chosen_id", "rejected_id", "prompt_turns", *texts, chat.shown(F.col("chosen_mask")).alias("chosen_mask"), chat.shown(F.col("rejected_mask")).alias("rejected_mask"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "source", "copy", F.sha2("text", 256).alias("text_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op3_ngram_jaccard, op4_language_id, op5_embedding_dedup, op6_line_dedup, op7_best_fit_packing, op8_nearest_neighbours, op10_mix_sources)}
+    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op2_license_scan, op3_ngram_jaccard, op4_language_id, op5_embedding_dedup, op6_line_dedup, op7_best_fit_packing, op8_nearest_neighbours, op9_chat_preferences, op10_mix_sources)}
 
 
+def op2_sql() -> str:
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licences.EQUIVALENT.items())
+    known = ", ".join(f"('{digest}', '{name}')" for digest, name in sorted(licences.digests(licences.KNOWN).items()))
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH bare AS (SELECT doc_id, trim(regexp_replace(regexp_replace({lower}, '{licences.COPYRIGHT_LINE}', chr(10), 'g'), '{licences.SEPARATORS}', ' ', 'g'), ' ') AS b FROM documents),
+digests AS (SELECT doc_id, sha256(array_to_string(list_transform(string_split(b, ' '), lambda w: CASE w {cases} ELSE w END), ' ')) AS canonical_sha256 FROM bare)
+SELECT doc_id, license_id, canonical_sha256 FROM digests LEFT JOIN (VALUES {known}) AS k(d, license_id) ON d = canonical_sha256
+"""
+
+
+#: The common turns of conversations 2k and 2k + 1, and what follows them in each.
+OP9_SQL = """
+WITH turns AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+pairs AS (SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id,
+  count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM turns GROUP BY pair_id),
+differ AS (SELECT a.pair_id, min(a.i) AS i FROM turns a LEFT JOIN turns b ON a.pair_id = b.pair_id AND b.side = 1 AND a.i = b.i AND a.role = b.role AND a.text = b.text
+  WHERE a.side = 0 AND b.i IS NULL GROUP BY a.pair_id),
+shared AS (SELECT p.*, coalesce(d.i - 1, n0) AS s FROM pairs p LEFT JOIN differ d USING (pair_id)),
+shown AS (SELECT t.pair_id, t.side, t.i, t.role, s, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS r, length(role) + 5 AS head FROM turns t JOIN shared USING (pair_id)),
+placed AS (SELECT *, coalesce(sum(length(r)) OVER (PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM shown WHERE i > s),
+rest AS (SELECT pair_id, side, string_agg(r, '' ORDER BY i) AS body, string_agg((pos + head) || '-' || (pos + length(r)), ',' ORDER BY i) FILTER (role = 'assistant') AS mask FROM placed GROUP BY pair_id, side),
+prompts AS (SELECT pair_id, string_agg(r, '' ORDER BY i) AS prompt FROM shown WHERE side = 0 AND i <= s GROUP BY pair_id)
+SELECT q.pair_id, chosen_id, rejected_id, CAST(s AS INTEGER) AS prompt_turns, sha256(coalesce(prompt, '')) AS prompt_sha256,
+  CASE WHEN n0 > 0 THEN sha256(coalesce(a.body, '')) END AS chosen_sha256, CASE WHEN n1 > 0 THEN sha256(coalesce(b.body, '')) END AS rejected_sha256,
+  CASE WHEN n0 > 0 THEN coalesce(a.mask, '') END AS chosen_mask, CASE WHEN n1 > 0 THEN coalesce(b.mask, '') END AS rejected_mask
+FROM shared q LEFT JOIN prompts USING (pair_id) LEFT JOIN rest a ON a.pair_id = q.pair_id AND a.side = 0 LEFT JOIN rest b ON b.pair_id = q.pair_id AND b.side = 1
+"""
+
 #: Content-defined chunks of lines; those of two lines or more that occur before are cut out.
 OP6_SQL = """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -83,4 +126,4 @@ FROM (SELECT doc_id, source, text, unnest(range(0, len(list_filter(cs, lambda x:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op2_license_scan": op2_sql(), "op9_chat_preferences": OP9_SQL, "op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
