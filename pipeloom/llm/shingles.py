@@ -41,8 +41,8 @@ from .substrings import MOVED, doc_ids, group_column, rows, slices
 SHINGLE, PERCENT = 5, 75
 #: Keys of a set; shared keys that a link must have, for sets too large for certainty.
 SKETCH, LIKELY_SHARED = 48, 14
-#: Largest group joined in one task; larger ones are dealt into blocks.
-BLOCK = 512
+#: Largest group joined in one task, by bitmaps and by sets; larger ones are dealt into blocks.
+BLOCK, WHOLE_BLOCK = 512, 2048
 FANOUT = 8
 #: Bits a shingle of the bitmaps that travel, and of those made where the sets are at hand.
 NARROW, WIDE = 4, 16
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     def dealt(of: DataFrame, whole: bool) -> DataFrame:
         """Rows per group and pair of blocks; ``whole``: pairs of different blocks too."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+        blocks = F.ceil(F.col("size") / (WHOLE_BLOCK if whole else BLOCK)).cast("long")
         b = F.pmod(F.xxhash64("token", "doc"), blocks)
         own = F.array(F.struct(b.alias("i"), b.alias("j"), F.lit(0).alias("side")))
         if whole:
