@@ -55,7 +55,7 @@ def avg_int(x: Column) -> Column:
 def sum_double(x: Column, span: Span) -> Column:
     total, scaled = F.sum(x), F.sum(x * SCALE)
     late = F.when(~finite(scaled), scaled).when(F.abs(scaled) <= LARGEST * SCALE, scaled / SCALE).otherwise(failure("overflow", "SUM", span, "DOUBLE"))
-    return F.when(finite(total), total).otherwise(late)
+    return F.when(total.isNull() | finite(total), total).otherwise(late)
 
 
 def avg_double(x: Column) -> Column:

@@ -131,4 +131,5 @@ def compare(op: str, a: Column, b: Column, nan_a: bool, nan_b: bool) -> Column:
 def order_by(x: Column, type_: str, ascending: bool, nulls_first: bool) -> list[Column]:
     """Sort columns with NaN below every number and both zeros equal."""
     direction = (lambda c: c.asc_nulls_first() if nulls_first else c.asc_nulls_last()) if ascending else (lambda c: c.desc_nulls_first() if nulls_first else c.desc_nulls_last())
-    return [direction(~F.isnan(x)), direction(x)] if type_ == "DOUBLE" else [direction(x)]
+    # isnan of NULL is false, so the flag is made NULL with its value
+    return [direction(F.when(x.isNotNull(), ~F.isnan(x))), direction(x)] if type_ == "DOUBLE" else [direction(x)]
