@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 UNDETERMINED = "und"
 #: Bounds of the training sample: bytes of normalised text per language, rows per language, characters of a row, languages.
 TRAIN_BYTES, TRAIN_ROWS, TRAIN_CHARS, TRAIN_LANGUAGES = 40_000, 200, 2_000, 200
@@ -180,9 +182,10 @@ def identify(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str =
 
     Null text, text without letters and an empty training sample give ``und`` with
     score 0.  Ties go to the language first in name order.  Only the text is looked
-    at.  ``docs`` must not have columns named lang_pred or score (the caller renames).
+    at.  Where ``docs`` has columns of these names the new ones get underscores.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    name, score = fresh(docs, "lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

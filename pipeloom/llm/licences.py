@@ -15,6 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Spellings that count as equal.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
@@ -89,7 +91,8 @@ KNOWN = [
 ]
 
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: Everything but ASCII letters and digits and what lies beyond Latin-1 signs and general punctuation.
+SEPARATORS = r"[^a-z0-9\x{C0}-\x{200F}\x{2070}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
@@ -102,7 +105,7 @@ def canonical(text: Column) -> Column:
 def canonical_text(text: str) -> str:
     """The same form of one known text."""
     lower = text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
-    bare = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", re.sub(COPYRIGHT_LINE, "\n", lower)).strip(" ")
+    bare = re.sub("[^a-z0-9\xc0-\u200f\u2070-\U0010ffff]+", " ", re.sub(COPYRIGHT_LINE, "\n", lower)).strip(" ")
     return " ".join(EQUIVALENT.get(w, w) for w in bare.split(" "))
 
 
@@ -114,12 +117,13 @@ def digests(known: list[tuple[str, str]]) -> dict[str, str]:
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus canonical_sha256 and license_id (null if the whole text is no known licence).
 
-    Null text has neither; empty text has the digest of the empty form.  The list of
+    Null text has neither; empty text has the digest of the empty form.  Where
+    ``docs`` has these names already the new ones get underscores.  The list of
     known texts is a parameter held on the driver, so joining it as a broadcast is
     bounded by it.
     """
     found = digests(KNOWN if known is None else known)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(sorted(found.items()), "known_sha256 string, license_id string")
-    scanned = docs.withColumn("canonical_sha256", F.sha2(canonical(F.col(text_col)), 256))
-    return scanned.join(F.broadcast(table), F.col("canonical_sha256") == F.col("known_sha256"), "left").drop("known_sha256")
+    digest, licence, other = fresh(docs, "canonical_sha256", "license_id", "known_sha256")
+    table = docs.sparkSession.createDataFrame(sorted(found.items()), f"{other} string, {licence} string")
+    scanned = docs.withColumn(digest, F.sha2(canonical(F.col(text_col)), 256))
+    return scanned.join(F.broadcast(table), F.col(digest) == F.col(other), "left").drop(other)

@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, window: int = WINDOW, m
     (none of them removes the others' chunks).  New columns whose names ``docs``
     has already get underscores after their names.
     """
-    total, removed, key, gone, doc = fresh(docs, "n_lines", "n_removed_lines", "text_key", "gone", "doc_key")
+    total, removed, key, gone, doc, key_r = fresh(docs, "n_lines", "n_removed_lines", "text_key", "gone", "doc_key", "text_key_r")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     plain = keyed.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(doc), F.col(key), F.col(text_col).alias("body"))
     found = bound(split(F.col("body")), lambda lines: F.transform(F.filter(chunk_bounds(lines, divisor, window), lambda c: c["n"] >= min_lines), lambda c: bound(joined(lines, c["at"], c["n"]), lambda t: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")))))
@@ -77,8 +77,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, window: int = WINDOW, m
     texts = held.select(f"p.{doc}", f"p.{key}", F.explode(cut_out).alias("c")).select(doc, key, "c.*")
     originals = texts.where("is_first").groupBy(*same).agg(F.first("bytes").alias("original"))
     verified = texts.where("not is_first").join(originals, same).where("bytes = original")
-    gone_from = verified.groupBy(doc, key).agg(F.collect_set(F.struct("at", "n")).alias(gone)).withColumnRenamed(key, key + "_r")
-    out = keyed.join(gone_from, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(key + "_r")), "left")
+    gone_from = verified.groupBy(doc, key).agg(F.collect_set(F.struct("at", "n")).alias(gone)).withColumnRenamed(key, key_r)
+    out = keyed.join(gone_from, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(key_r)), "left")
     cut = F.size(F.coalesce(gone, F.array().cast("array<struct<at:int,n:int>>")))
 
     def kept(lines: Column) -> Column:

@@ -65,14 +65,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     no rows.  Where ``docs`` has a column of the name ``copy`` or ``rate`` the new
     one gets underscores after its name.
     """
-    copy, rate, source = fresh(docs, "copy", "rate", "mixed_source")
+    copy, rate, source, below = fresh(docs, "copy", "rate", "mixed_source", "below")
     per_source = rates(docs, source_col, F.coalesce(F.length(text_col), F.lit(0)), weights, temperature)
-    table = per_source.select(F.col(source_col).alias(source), F.col("rate").alias(rate), F.when(F.col("rate") > 0, cumulative(F.col("rate"))).otherwise(F.array(F.lit(2.0))).alias("below"))
+    table = per_source.select(F.col(source_col).alias(source), F.col("rate").alias(rate), F.when(F.col("rate") > 0, cumulative(F.col("rate"))).otherwise(F.array(F.lit(2.0))).alias(below))
     if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         table = F.broadcast(table)
     drawn = docs.join(table, docs[source_col].eqNullSafe(table[source])).drop(source)
     u = uniform(seed, F.col(id_col))
-    counted = drawn.withColumn("below", F.size(F.filter("below", lambda x: u >= x)))
-    copies = counted.where("below > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("below") - 1))).drop("below")
+    counted = drawn.withColumn(below, F.size(F.filter(below, lambda x: u >= x)))
+    copies = counted.where(F.col(below) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(below) - 1))).drop(below)
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy))
     return copies.repartition(shuffle_partitions(docs.sparkSession), place).sortWithinPartitions(place)

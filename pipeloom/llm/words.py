@@ -108,8 +108,12 @@ def _safe_cut(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> int:
         at, hi = hi, min(hi + BLOCK, len(raw))
         gaps = np.flatnonzero(~IS_WORD[raw[at:hi]])
         later = offsets[(offsets > at) & (offsets <= hi)]
-        found = [int(gaps[0]) + at + 1] * bool(len(gaps)) + [int(later[0])] * bool(len(later)) + [hi] * (hi == len(raw))
-        best = min(found) if found else lo
+        found = [hi] if hi == len(raw) else []
+        if len(gaps):
+            found.append(int(gaps[0]) + at + 1)
+        if len(later):
+            found.append(int(later[0]))
+        best = min(found, default=lo)
     return best
 
 
