@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from . import errors as E
 from .engine import Engine
 from .sources.catalog import Catalog, parse_schema
-from .sources.csv import import_csv
+from .sources.csv import import_csv, import_csv_file
 from .sources.jsonl import export_jsonl
 from .sources.lineitem import load_lineitem
 from .sources.parquet import export_parquet, import_parquet
@@ -97,8 +97,7 @@ def execute(args: argparse.Namespace, spark: SparkSession) -> None:
         elif args.input == "-":
             generation, _, token = import_csv(catalog, args.table, sys.stdin.buffer, args.input_limit_bytes, args.row_limit)
         else:
-            with open(args.input, "rb") as f:
-                generation, _, token = import_csv(catalog, args.table, f, args.input_limit_bytes, args.row_limit)
+            generation, _, token = import_csv_file(catalog, args.table, args.input, args.input_limit_bytes, args.row_limit)
         return say("status=imported", f"generation={generation}", f"transaction={token}")
     if args.command == "resolve":
         generation = catalog.resolve(args.transaction)

@@ -1,13 +1,24 @@
-"""Strict CSV: NULL is an unquoted ``\\N``, an empty field is empty text, errors carry byte offsets."""
+"""Strict CSV: NULL is an unquoted ``\\N``, an empty field is empty text, errors carry byte offsets.
+
+A file without line ends inside quotes is decoded line by line on the executors.
+Any doubt (a line that isn't a whole record, or an invalid one) sends the import to
+the sequential decoder, which either accepts the file or names the offending byte.
+"""
 
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 import re
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..engine import row_type
 from ..errors import InputError
 from ..functions.constants import INT_MAX, INT_MIN
 from .catalog import Catalog
@@ -93,15 +104,7 @@ def decode(data: bytes, columns: list[tuple[str, str, bool]], row_limit: int | N
     header = next(found, None)
     if header is None:
         raise InputError("missing header", 0)
-    place = {name.lower(): k for k, (name, _, _) in enumerate(columns)}
-    order: list[int] = []
-    for content, offset in header[0]:
-        name = (content or b"\\N").decode("utf-8", "replace").lower()
-        if name not in place or place[name] in order:
-            raise InputError("unknown or repeated column", offset)
-        order.append(place[name])
-    if len(order) != len(columns):
-        raise InputError("missing column", header[2])
+    order = header_order(header[0], columns, header[2])
     rows = 0
     for fields, start, stop in found:
         if len(fields) != len(columns):
@@ -117,6 +120,93 @@ def decode(data: bytes, columns: list[tuple[str, str, bool]], row_limit: int | N
         raise InputError("no data rows", 0)
 
 
+class CsvDecoder:
+    """Batches of decoded rows from a binary stream; errors are terminal, earlier batches are only a valid prefix."""
+
+    def __init__(self, stream: BinaryIO, columns: list[tuple[str, str, bool]], batch_rows: int = 256, row_limit: int | None = None):
+        self.rows, self.batch_rows, self.failed = decode(stream.read(), columns, row_limit), batch_rows, False
+
+    def next_batch(self) -> list[tuple] | None:
+        """The next rows, or None at the end."""
+        if self.failed:
+            raise InputError("the decoder failed before")
+        try:
+            batch = list(itertools.islice(self.rows, self.batch_rows))
+        except InputError:
+            self.failed = True
+            raise
+        return batch or None
+
+
+class Doubt(Exception):
+    """A line that the parallel decoder doesn't decide."""
+
+
+def header_order(header: list[Field], columns: list[tuple[str, str, bool]], stop: int) -> list[int]:
+    """For each header field, its column's place in the declaration."""
+    place = {name.lower(): k for k, (name, _, _) in enumerate(columns)}
+    order: list[int] = []
+    for content, offset in header:
+        name = (content if content is not None else b"\\N").decode("utf-8", "replace").lower()
+        if name not in place or place[name] in order:
+            raise InputError("unknown or repeated column", offset)
+        order.append(place[name])
+    if len(order) != len(columns):
+        raise InputError("missing column", stop)
+    return order
+
+
+def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path: str) -> DataFrame:
+    """The typed rows of a file, decoded by the executors; reading it fails with ``Doubt`` where lines don't suffice."""
+    lines = catalog.spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").limit(1).collect()
+    if not first:
+        raise Doubt
+    try:
+        ((header, _, stop),) = records(bytes(first[0][0]) + b"\n")
+    except (InputError, ValueError) as e:
+        raise Doubt from e
+    order = header_order(header, columns, stop)
+    schema = row_type(columns)
+    arrow = [{"INT64": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string(), "DATE": pa.date32()}[t] for _, t, _ in columns]
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        header_seen = False
+        for batch in batches:
+            rows: list[list] = [[] for _ in columns]
+            for line, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at == 0 and not header_seen:
+                    header_seen = True
+                    continue
+                try:
+                    ((fields, _, _),) = records(line + b"\n")
+                    if len(fields) != len(columns):
+                        raise Doubt
+                    for k, (content, offset) in zip(order, fields, strict=True):
+                        rows[k].append(cell(content, columns[k][1], columns[k][2], offset))
+                except (InputError, ValueError) as e:
+                    raise Doubt from e
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, arrow, strict=True)], names=[n for n, _, _ in columns])
+
+    return lines.mapInArrow(decoded, schema)
+
+
+def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int | None = None, row_limit: int | None = None) -> tuple[int, int, str]:
+    """Append one complete CSV file: (generation, rows, token).  Limits, or doubt, make the decoding sequential."""
+    if input_limit is None and row_limit is None:
+        append = catalog.begin_append(table)
+        try:
+            append.write_dataframe(parallel_rows(catalog, list(append.schema.columns), path))
+            rows = append.written().count()
+            if rows:
+                return append.commit(), rows, append.token
+        except Exception:  # noqa: BLE001 - the sequential decoder decides, and names the place
+            pass
+        append.abort()
+    with open(path.removeprefix("file://"), "rb") as stream:
+        return import_csv(catalog, table, stream, input_limit, row_limit)
+
+
 def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int | None = None, row_limit: int | None = None) -> tuple[int, int, str]:
     """Append one complete CSV input: (generation, rows, token).  Any failure commits nothing."""
     append = catalog.begin_append(table)

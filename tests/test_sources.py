@@ -14,7 +14,8 @@ from pipeloom import errors as E
 from pipeloom.cli import main
 from pipeloom.engine import Engine, Token
 from pipeloom.sources.catalog import Catalog, parse_schema
-from pipeloom.sources.csv import decode, import_csv
+from pipeloom.sources import csv as csv_source
+from pipeloom.sources.csv import CsvDecoder, decode, import_csv, import_csv_file
 from pipeloom.sources.jsonl import export_jsonl
 from pipeloom.sources.lineitem import load_lineitem
 from pipeloom.sources.parquet import export_parquet, import_parquet
@@ -109,6 +110,30 @@ def test_csv_failures(data, offset):
     assert failure.value.byte_offset == offset
 
 
+def test_csv_decoder_batches():
+    decoder = CsvDecoder(io.BytesIO(CSV), COLUMNS, 3)
+    assert [len(decoder.next_batch()), len(decoder.next_batch()), decoder.next_batch()] == [3, 1, None]
+    bad = CsvDecoder(io.BytesIO(CSV + b"\nx,a,\\N,\\N"), COLUMNS)
+    for _ in range(2):
+        with pytest.raises(E.InputError):
+            bad.next_batch()
+
+
+def test_csv_files_in_parallel(spark, catalog, tmp_path, monkeypatch):
+    lines = ["amount,note,day,number"] + [f'{k},"n ""{k}""",\\N,{k}.5' for k in range(500)] + ["7,amount,\\N,1"]
+    (tmp_path / "plain.csv").write_text("\r\n".join(lines))
+    monkeypatch.setattr(csv_source, "import_csv", None)  # not needed: every line is a record
+    assert import_csv_file(catalog, "t", str(tmp_path / "plain.csv"))[1] == 501
+    monkeypatch.undo()
+    (tmp_path / "quoted.csv").write_bytes(CSV)  # a line end inside quotes: sequential
+    assert import_csv_file(catalog, "t", str(tmp_path / "quoted.csv"))[1] == 4
+    (tmp_path / "bad.csv").write_text("\n".join([*lines, "x,y,\\N,1"]))
+    with pytest.raises(E.InputError) as failure:
+        import_csv_file(catalog, "t", str(tmp_path / "bad.csv"))
+    assert failure.value.byte_offset == len("\n".join(lines)) + 1
+    assert len(Engine(spark, catalog).prepare("FROM t").rows()) == 505
+
+
 def test_csv_import_is_atomic(catalog):
     with pytest.raises(E.InputError):
         import_csv(catalog, "t", io.BytesIO(CSV + b"\nx,a,\\N,\\N"))
