@@ -74,7 +74,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "agg_ordered": ("FROM orders |> AGGREGATE COUNT(*) AS n GROUP AND ORDER BY o_orderpriority, o_orderstatus", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 1, 2"),
     "agg_repeat": ("FROM orders |> AGGREGATE COUNT(*) AS n GROUP BY o_custkey |> AGGREGATE COUNT(*) AS customers, MAX(n) AS most GROUP BY n", "SELECT n, count(*) AS customers, max(n) AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n"),
     "agg_having": ("FROM orders |> AGGREGATE COUNT(*) AS n, SUM(o_orderkey) AS s GROUP BY o_custkey |> WHERE n > 15", "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1 HAVING count(*) > 15"),
-    "agg_sum_int": ("FROM lineitem |> AGGREGATE SUM(l_orderkey * 9000000000) AS s GROUP BY l_returnflag |> SELECT l_returnflag, s", "SELECT l_returnflag, CAST(sum(CAST(l_orderkey AS HUGEINT) * 9000000000) AS BIGINT) AS s FROM lineitem GROUP BY 1"),
+    "agg_sum_int": ("FROM lineitem |> AGGREGATE SUM(l_orderkey * 1000) AS s GROUP BY l_returnflag |> SELECT l_returnflag, s", "SELECT l_returnflag, CAST(sum(CAST(l_orderkey AS HUGEINT) * 1000) AS BIGINT) AS s FROM lineitem GROUP BY 1"),
     "agg_sum_double": ("FROM lineitem |> EXTEND ROUND(l_extendedprice * 100) AS cents |> AGGREGATE SUM(cents) AS s GROUP BY l_returnflag", "SELECT l_returnflag, sum(round(l_extendedprice * 100)) AS s FROM lineitem GROUP BY 1"),
     "agg_avg_int": ("FROM lineitem |> AGGREGATE AVG(l_linenumber) AS a GROUP BY l_linestatus", "SELECT l_linestatus, CAST(sum(l_linenumber) AS DOUBLE) / count(l_linenumber) AS a FROM lineitem GROUP BY 1"),
     "agg_avg_double": ("FROM lineitem |> AGGREGATE AVG(l_quantity) AS a GROUP BY l_linestatus", "SELECT l_linestatus, sum(l_quantity) / count(l_quantity) AS a FROM lineitem GROUP BY 1"),
