@@ -12,64 +12,65 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..errors import Span
+from . import text as X
 from .scalars import NAN, failure, finite, null
+from .text import Text
 
 LIMB, MASK = 22, 2**22 - 1
 SCALE = 2.0**-32
 LARGEST = 1.7976931348623157e308
 
-Over = Callable[[Column], Column]
+Over = Callable[[Text], Text]
 
 
-def plain(column: Column) -> Column:
+def plain(column: Text) -> Text:
     return column
 
 
-def limbs(x: Column) -> list[Column]:
-    return [x.bitwiseAND(F.lit(MASK)), F.shiftright(x, LIMB).bitwiseAND(F.lit(MASK)), F.shiftright(x, 2 * LIMB)]
+def limbs(x: Text) -> list[Text]:
+    return [x.bits(MASK), Text(f"shiftright({x.sql}, {LIMB})").bits(MASK), Text(f"shiftright({x.sql}, {2 * LIMB})")]
 
 
-def combined(low: Column, middle: Column, high: Column) -> Column:
+def combined(low: Text, middle: Text, high: Text) -> Text:
     wide = "decimal(38,0)"
-    return high.cast(wide) * F.lit(Decimal(2 ** (2 * LIMB))) + middle.cast(wide) * F.lit(Decimal(2**LIMB)) + low.cast(wide)
+    return high.cast(wide) * X.lit(Decimal(2 ** (2 * LIMB))) + middle.cast(wide) * X.lit(Decimal(2**LIMB)) + low.cast(wide)
 
 
-def in_range(total: Column, span: Span) -> Column:
-    inside = total.between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
-    return F.when(~inside, failure("overflow", "SUM", span, "INT64")).otherwise(total.cast("bigint"))
+def in_range(total: Text, span: Span) -> Text:
+    inside = total.between(X.lit(Decimal(-(2**63))), X.lit(Decimal(2**63 - 1)))
+    return X.when(~inside, failure("overflow", "SUM", span, "INT64")).otherwise(total.cast("bigint"))
 
 
-def sum_int(x: Column, span: Span, over: Over = plain) -> Column:
-    return in_range(combined(*[over(F.sum(limb)) for limb in limbs(x)]), span)
+def sum_int(x: Text, span: Span, over: Over = plain) -> Text:
+    """``over`` takes each aggregate call to where its value stands: a window, or a column of a first step."""
+    return in_range(combined(*[over(X.fn("sum", limb)) for limb in limbs(x)]), span)
 
 
-def avg_int(x: Column) -> Column:
-    total = combined(*[F.sum(limb) for limb in limbs(x)])
-    return F.when(F.count(x) > 0, total.cast("double") / F.count(x))
+def avg_int(x: Text, over: Over = plain) -> Text:
+    total = combined(*[over(X.fn("sum", limb)) for limb in limbs(x)])
+    n = over(X.fn("count", x))
+    return X.when(n > 0, total.cast("double") / n)
 
 
-def sum_double(x: Column, span: Span) -> Column:
-    total, scaled = F.sum(x), F.sum(x * SCALE)
-    late = F.when(~finite(scaled), scaled).when(F.abs(scaled) <= LARGEST * SCALE, scaled / SCALE).otherwise(failure("overflow", "SUM", span, "DOUBLE"))
-    return F.when(total.isNull() | finite(total), total).otherwise(late)
+def sum_double(x: Text, span: Span, over: Over = plain) -> Text:
+    total, scaled = over(X.fn("sum", x)), over(X.fn("sum", x * SCALE))
+    late = X.when(~finite(scaled), scaled).when(X.fn("abs", scaled) <= LARGEST * SCALE, scaled / SCALE).otherwise(failure("overflow", "SUM", span, "DOUBLE"))
+    return X.when(total.is_null() | finite(total), total).otherwise(late)
 
 
-def avg_double(x: Column) -> Column:
-    total, scaled, n = F.sum(x), F.sum(x * SCALE), F.count(x)
-    late = F.when(~finite(scaled), scaled).otherwise(scaled / n / SCALE)
-    return F.when(n == 0, null("DOUBLE")).when(finite(total), total / n).otherwise(late)
+def avg_double(x: Text, over: Over = plain) -> Text:
+    total, scaled, n = over(X.fn("sum", x)), over(X.fn("sum", x * SCALE)), over(X.fn("count", x))
+    late = X.when(~finite(scaled), scaled).otherwise(scaled / n / SCALE)
+    return X.when(n == 0, null("DOUBLE")).when(finite(total), total / n).otherwise(late)
 
 
-def extreme(kind: str, x: Column, type_: str) -> Column:
+def extreme(kind: str, x: Text, type_: str, over: Over = plain) -> Text:
     """MIN or MAX; a DOUBLE NaN wins, and of both zeros MIN takes -0.0 and MAX 0.0."""
-    found = F.min(x) if kind == "MIN" else F.max(x)
+    found = over(X.fn(kind.lower(), x))
     if type_ != "DOUBLE":
         return found
-    zero = F.lit(-0.0) if kind == "MIN" else F.lit(0.0)
-    text = "-0.0" if kind == "MIN" else "0.0"
-    has_zero = F.max(F.when(x == 0.0, x.cast("string") == text).otherwise(F.lit(False)))
-    return F.when(F.max(F.isnan(x)), F.lit(NAN)).when((found == 0.0) & has_zero, zero).otherwise(found)
+    zero, written = (-0.0, "-0.0") if kind == "MIN" else (0.0, "0.0")
+    has_zero = over(X.fn("max", X.when(x == 0.0, x.cast("string") == written).otherwise(False)))
+    has_nan = over(X.fn("max", X.fn("isnan", x)))
+    return X.when(has_nan, NAN).when((found == 0.0) & has_zero, zero).otherwise(found)

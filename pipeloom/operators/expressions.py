@@ -1,29 +1,28 @@
-"""Bound expressions and predicates as Spark columns."""
+"""Bound expressions and predicates as SQL text for Spark."""
 
 from __future__ import annotations
 
 import datetime
 from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import scalars
+from ..functions import text as X
+from ..functions.text import Text
 from ..plans import logical as L
 
 ARITHMETIC = ("+", "-", "*", "neg")
 
 
-def as_double(e: L.Expr) -> Column:
+def as_double(e: L.Expr) -> Text:
     c = value(e)
     return c if e.type == "DOUBLE" else c.cast("double")
 
 
-def as_type(e: L.Expr, type_: str) -> Column:
+def as_type(e: L.Expr, type_: str) -> Text:
     return as_double(e) if type_ == "DOUBLE" else value(e)
 
 
-def value(e: L.Expr) -> Column:
+def value(e: L.Expr) -> Text:
     """The column of an expression, with its failures guarded."""
     if e.op in ARITHMETIC and e.type == "DOUBLE":
         raw, leaves = chain(e)
@@ -31,45 +30,45 @@ def value(e: L.Expr) -> Column:
     if e.op in ARITHMETIC:  # ANSI arithmetic of Spark raises on overflow
         return apply(e.op, [value(a) for a in e.args])
     if e.op == "column":
-        return F.col(e.value.id)
+        return X.col(e.value.id)
     if e.op in ("number", "text", "day"):
-        return F.lit(e.value)
+        return X.lit(e.value)
     if e.op == "null":
         return scalars.null("INT64")
     if e.op == "BYTE_LENGTH":
-        return F.octet_length(value(e.args[0])).cast("bigint")
+        return X.fn("octet_length", value(e.args[0])).cast("bigint")
     if e.op == "CHAR_LENGTH":
-        return F.char_length(value(e.args[0])).cast("bigint")
+        return X.fn("char_length", value(e.args[0])).cast("bigint")
     if e.op == "YEAR":
-        return F.year(value(e.args[0])).cast("bigint")
+        return X.fn("year", value(e.args[0])).cast("bigint")
     if e.op == "case":
         return case(e)
     return call(e)
 
 
-def apply(op: str, args: list[Column]) -> Column:
+def apply(op: str, args: list[Text]) -> Text:
     if op == "neg":
         return -args[0]
     a, b = args
     return a + b if op == "+" else a - b if op == "-" else a * b
 
 
-def chain(e: L.Expr) -> tuple[Column, list[Column]]:
+def chain(e: L.Expr) -> tuple[Text, list[Text]]:
     """A tree of DOUBLE + - * without guards inside, and the leaves that may not be finite.
 
     Non-finite values stay non-finite in such a tree, so one test at its top does.
     """
     if e.op in ARITHMETIC and e.type == "DOUBLE":
         parts = [chain(a) for a in e.args]
-        leaves: list[Column] = [x for _, found in parts for x in found]
+        leaves: list[Text] = [x for _, found in parts for x in found]
         return apply(e.op, [c for c, _ in parts]), leaves
     if e.op == "number":
-        return F.lit(float(e.value)), []
+        return X.lit(float(e.value)), []
     c = as_double(e)
     return c, [c]
 
 
-def call(e: L.Expr) -> Column:
+def call(e: L.Expr) -> Text:
     name, span = e.op, e.span
     if name in ("DIV", "MOD"):
         return (scalars.div if name == "DIV" else scalars.mod)(value(e.args[0]), value(e.args[1]), span)
@@ -77,7 +76,7 @@ def call(e: L.Expr) -> Column:
         x = value(e.args[0])
         return scalars.absolute(x, e.type, span) if name == "ABS" else scalars.sign(x, e.type)
     if name == "COALESCE":
-        return F.coalesce(*(as_type(a, e.type) for a in e.args))
+        return X.fn("coalesce", *(as_type(a, e.type) for a in e.args))
     if name == "NULLIF":
         return scalars.nullif(as_type(e.args[0], e.type), as_type(e.args[1], e.type), e.type)
     args = [as_double(a) for a in e.args]
@@ -94,56 +93,58 @@ def call(e: L.Expr) -> Column:
     return {"SQRT": scalars.sqrt, "EXP": scalars.exponential, "POW": scalars.power, "POWER": scalars.power}[name](*args, span)
 
 
-def case(e: L.Expr) -> Column:
+def case(e: L.Expr) -> Text:
     branches, results = e.value
     found = None
     for (op, a, b), result in zip(branches, results, strict=False):
         if b is None:
-            condition = value(a).isNull() if op == "null" else value(a).isNotNull()
+            condition = value(a).is_null() if op == "null" else value(a).is_not_null()
         else:
             double = "DOUBLE" in (a.type, b.type)
             x, y = (as_double(a), as_double(b)) if double else (value(a), value(b))
             condition = scalars.compare(op, x, y, a.type == "DOUBLE" and a.op != "number", b.type == "DOUBLE" and b.op != "number")
         branch = as_type(result, e.type)
-        found = F.when(condition, branch) if found is None else found.when(condition, branch)
+        found = X.when(condition, branch) if found is None else found.when(condition, branch)
     return found.otherwise(as_type(results[-1], e.type))
 
 
-def predicate(p: L.Predicate, stamps: dict[str, str]) -> Column:
+def predicate(p: L.Predicate, stamps: dict[str, tuple[str, str]]) -> Text:
     """A three-valued condition.  ``stamps``: DATE columns whose stored timestamp is at hand, to let the scan see the filter."""
     if p.op == "not":
         return ~predicate(p.args[0], stamps)
     if p.op in ("and", "or"):
         parts = [predicate(x, stamps) for x in p.args]
         return reduce((lambda a, b: a & b) if p.op == "and" else (lambda a, b: a | b), parts)
-    c, type_ = F.col(p.column.id), p.column.type
+    c, type_ = X.col(p.column.id), p.column.type
     if p.op == "null":
-        return c.isNull()
+        return c.is_null()
     if p.op == "unknown":
-        return F.lit(None).cast("boolean")
+        return X.null("boolean")
     constant = p.value
     if p.op == "distinct":
         if constant is None:
-            return c.isNotNull()
+            return c.is_not_null()
         if isinstance(constant, float) and type_ == "INT64":
             c = c.cast("double")
-        return ~c.eqNullSafe(F.lit(float(constant) if type_ == "DOUBLE" else constant))
+        return ~c.null_safe(X.lit(float(constant) if type_ == "DOUBLE" else constant))
     if type_ == "DATE" and p.column.id in stamps:
-        return on_stamp(p.comparison, F.col(stamps[p.column.id]), constant)
+        return on_stamp(p.comparison, stamps[p.column.id], constant)
     if type_ == "DOUBLE":
         constant = float(constant)
     elif isinstance(constant, float):
-        return scalars.compare(p.comparison, c.cast("double"), F.lit(constant), False, False)
-    return scalars.compare(p.comparison, c, F.lit(constant), type_ == "DOUBLE", False)
+        return scalars.compare(p.comparison, c.cast("double"), X.lit(constant), False, False)
+    return scalars.compare(p.comparison, c, X.lit(constant), type_ == "DOUBLE", False)
 
 
-def on_stamp(op: str, stamp: Column, day: datetime.date) -> Column:
-    """Compare the day of a timestamp, in terms of the timestamp."""
-    start = datetime.datetime(day.year, day.month, day.day)
+def on_stamp(op: str, stamp: tuple[str, str], day: datetime.date) -> Text:
+    """Compare the day of a timestamp, in terms of the timestamp.  ``stamp``: its column, and its type as a literal's keyword."""
+    name, kind = stamp
     if op in ("=", "!="):
         inside = on_stamp(">=", stamp, day) & on_stamp("<=", stamp, day)
         return inside if op == "=" else ~inside
+    c = X.col(name)
     if op in (">", "<=") and day == datetime.date.max:
-        return stamp.isNotNull() & F.lit(op == "<=")
-    following = F.lit(start + datetime.timedelta(days=1)) if op in (">", "<=") else F.lit(start)
-    return stamp >= following if op in (">", ">=") else stamp < following
+        return c.is_not_null() & X.lit(op == "<=")
+    edge = day + datetime.timedelta(days=1) if op in (">", "<=") else day
+    literal = Text(f"{kind} '{edge.isoformat()} 00:00:00'")
+    return c >= literal if op in (">", ">=") else c < literal

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Unsupported
 from ..functions import aggregates, scalars
+from ..functions import text as X
+from ..functions.text import Text
 from ..plans import logical as L
 from . import windows
 from .expressions import predicate, value
@@ -19,8 +21,8 @@ INT32_MAX = 2**31 - 1
 @dataclass
 class Relation:
     df: DataFrame
-    #: DATE identity -> column with the timestamp that it was stored as.
-    stamps: dict[str, str] = field(default_factory=dict)
+    #: DATE identity -> column with the timestamp that it was stored as, and that type's keyword.
+    stamps: dict[str, tuple[str, str]] = field(default_factory=dict)
 
 
 class Compiler:
@@ -34,20 +36,21 @@ class Compiler:
 
     def source(self, node: L.Source) -> Relation:
         df, stored = self.read(node.table)
-        stamps = {c.id: f"{c.id}_stamp" for c, name in node.columns if name in stored}
-        columns = [F.col(f"`{name}`").alias(c.id) for c, name in node.columns]
-        columns += [F.col(f"`{stored[name]}`").alias(f"{c.id}_stamp") for c, name in node.columns if name in stored]
-        return Relation(df.select(*columns), stamps)
+        kinds = dict(df.dtypes)
+        stamps = {c.id: (f"{c.id}_stamp", "TIMESTAMP_NTZ" if kinds[stored[name]] == "timestamp_ntz" else "TIMESTAMP") for c, name in node.columns if name in stored}
+        columns = [f"`{name}` AS {c.id}" for c, name in node.columns]
+        columns += [f"`{stored[name]}` AS {c.id}_stamp" for c, name in node.columns if name in stored]
+        return Relation(df.selectExpr(*columns), stamps)
 
     def compute(self, node: L.Compute) -> Relation:
         below = self.compile(node.input)
         if not node.computed:
             return below
-        return Relation(below.df.withColumns({c.id: value(e) for c, e in node.computed}), below.stamps)
+        return Relation(below.df.withColumns({c.id: value(e).column() for c, e in node.computed}), below.stamps)
 
     def filter(self, node: L.Filter) -> Relation:
         below = self.compile(node.input)
-        return Relation(below.df.where(predicate(node.predicate, below.stamps)), below.stamps)
+        return Relation(below.df.where(predicate(node.predicate, below.stamps).sql), below.stamps)
 
     def join(self, node: L.Join) -> Relation:
         left, right = self.compile(node.input), self.compile(node.right)
@@ -55,36 +58,50 @@ class Compiler:
         key = node.right_key.id
         if node.renewed:
             new = {old.id: c.id for old, c in node.renewed}
-            rdf = rdf.select(*(F.col(c).alias(new.get(c, c)) for c in rdf.columns))
+            rdf = rdf.selectExpr(*(f"{c} AS {new.get(c, c)}" for c in rdf.columns))
             key = new[key]
             stamps = {new.get(c, c): s for c, s in stamps.items()}
-        condition = F.col(node.left_key.id) == F.col(key)
+        condition = X.col(node.left_key.id) == X.col(key)
         if node.left_key.type == "DOUBLE":
-            condition = condition & ~F.isnan(node.left_key.id)  # NaN matches nothing
-        return Relation(left.df.join(rdf, condition, "left" if node.outer else "inner"), left.stamps | stamps)
+            condition = condition & ~X.fn("isnan", X.col(node.left_key.id))  # NaN matches nothing
+        return Relation(left.df.join(rdf, condition.column(), "left" if node.outer else "inner"), left.stamps | stamps)
 
     def aggregate(self, node: L.Aggregate) -> Relation:
         df = self.compile(node.input).df
-        entries = [self.entry(kind, e, span).alias(c.id) for c, kind, e, span in node.entries]
+        # each distinct argument is computed once, under a short name
+        arguments: dict[L.Expr, str] = {}
+        for _, _, e, _ in node.entries:
+            if e is not None and e.op != "column":
+                arguments.setdefault(e, f"argument{len(arguments)}__")
+        if arguments:
+            df = df.withColumns({name: value(e).column() for e, name in arguments.items()})
+        parts: dict[str, str] = {}
+
+        def part(x: Text) -> Text:
+            """An aggregate call as a column of the first step."""
+            return X.col(parts.setdefault(x.sql, f"part{len(parts)}__"))
+
+        entries = [self.entry(kind, e, span, arguments, part).column().alias(c.id) for c, kind, e, span in node.entries]
+        calls = [F.expr(sql).alias(name) for sql, name in parts.items()]
         if not node.keys:
-            return Relation(df.agg(*entries))
+            return Relation(df.agg(*calls).select(*entries))
         # grouping makes -0.0 and NaN payloads uniform; the first member's own bits stand for its group
         names = {old.id: f"{new.id}_key" if old.type == "DOUBLE" else new.id for old, new in node.keys}
         kept = [F.first(old.id).alias(new.id) for old, new in node.keys if old.type == "DOUBLE"]
-        grouped = df.groupBy(*(F.col(old).alias(new) for old, new in names.items())).agg(*kept, *entries)
-        return Relation(grouped.select(*(new.id for _, new in node.keys), *(c.id for c, *_ in node.entries)))
+        grouped = df.groupBy(*(F.col(old).alias(new) for old, new in names.items())).agg(*kept, *calls)
+        return Relation(grouped.select(*(new.id for _, new in node.keys), *entries))
 
-    def entry(self, kind: str, e: L.Expr | None, span) -> Column:
+    def entry(self, kind: str, e: L.Expr | None, span, arguments: dict, part) -> Text:
         if e is None:
-            return F.count(F.lit(1))
-        x = value(e)
+            return part(X.fn("count", 1))
+        x = X.col(arguments[e]) if e in arguments else value(e)
         if kind == "COUNT":
-            return F.count(x)
+            return part(X.fn("count", x))
         if kind == "SUM":
-            return aggregates.sum_int(x, span) if e.type == "INT64" else aggregates.sum_double(x, span)
+            return aggregates.sum_int(x, span, part) if e.type == "INT64" else aggregates.sum_double(x, span, part)
         if kind == "AVG":
-            return aggregates.avg_int(x) if e.type == "INT64" else aggregates.avg_double(x)
-        return aggregates.extreme(kind, x, e.type)
+            return aggregates.avg_int(x, part) if e.type == "INT64" else aggregates.avg_double(x, part)
+        return aggregates.extreme(kind, x, e.type, part)
 
     def windowcount(self, node: L.WindowCount) -> Relation:
         below = self.compile(node.input)
@@ -112,15 +129,12 @@ class Compiler:
         left, right = self.compile(node.input).df, self.compile(node.right).df
         names = [new.id for _, _, new in node.columns]
         if node.kind == "union":
-            pick = lambda df, k: df.select(*(F.col(row[k].id).alias(row[2].id) for row in node.columns))
+            pick = lambda df, k: df.selectExpr(*(f"{row[k].id} AS {row[2].id}" for row in node.columns))
             return Relation(pick(left, 0).union(pick(right, 1)))
         theirs = [f"{n}_r" for n in names]
         ours = self.classes(left, [a for a, _, _ in node.columns], names, "times__")
         other = self.classes(right, [b for _, b, _ in node.columns], theirs, "others__")
-        equal = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, theirs, strict=True)]
-        condition = equal[0]
-        for e in equal[1:]:
-            condition = condition & e
+        condition = F.expr(" AND ".join(f"{a} <=> {b}" for a, b in zip(names, theirs, strict=True)))
         if not node.all:
             return Relation(ours.join(other, condition, "left_anti" if node.kind == "except" else "left_semi").select(*names))
         both = ours.join(other, condition, "left")
@@ -147,7 +161,7 @@ class Compiler:
 
 
 def sorted_by(df: DataFrame, keys: list) -> DataFrame:
-    order = [o for k in keys for o in scalars.order_by(F.col(k.column.id), k.column.type, k.ascending, k.nulls_first)]
+    order = [o for k in keys for o in scalars.order_by(X.col(k.column.id), k.column.type, k.ascending, k.nulls_first)]
     return df.orderBy(*order) if order else df
 
 

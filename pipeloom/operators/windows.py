@@ -6,10 +6,12 @@ would be one task, so the whole-input forms are computed in a distributed way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, scalars
+from ..functions import text as X
+from ..functions.text import Text
 from ..plans import logical as L
 
 #: Ranges of the first order key into which a running total over the whole input is dealt.
@@ -25,38 +27,44 @@ def counted(df: DataFrame, node: L.WindowCount) -> DataFrame:
     return df.crossJoin(F.broadcast(total))  # one row
 
 
-def position(c: L.Column) -> Column:
+def position(c: L.Column) -> Text:
     """A number that never falls as the key grows."""
-    x = F.col(c.id)
+    x = X.col(c.id)
     if c.type == "INT64":
         return x.cast("double")
     if c.type == "DATE":
-        return F.unix_date(x).cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(x, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return X.fn("unix_date", x).cast("double")
+    return Text(f"conv(rpad(hex(substring(encode({x.sql}, 'UTF-8'), 1, 6)), 12, '0'), 16, 10)").cast("double")
 
 
 def summed(df: DataFrame, node: L.WindowSum) -> DataFrame:
-    order = [o for k in node.order for o in scalars.order_by(F.col(k.column.id), k.column.type, k.ascending, k.nulls_first)]
-    x = F.col(node.argument.id)
+    order = ", ".join(scalars.order_text(X.col(k.column.id), k.column.type, k.ascending, k.nulls_first) for k in node.order)
+    x = X.col(node.argument.id)
+
+    def over(partition: list[str]):
+        inside = f"PARTITION BY {', '.join(f'`{c}`' for c in partition)} ORDER BY {order}"
+        return lambda s: Text(f"({s.sql} OVER ({inside}))")
+
     if node.partition:
-        w = Window.partitionBy(*(c.id for c in node.partition)).orderBy(*order)
-        return df.withColumns({c.id: aggregates.sum_int(x, span, lambda s: s.over(w)) for c, span in node.outputs})
+        within = over([c.id for c in node.partition])
+        return df.withColumns({c.id: aggregates.sum_int(x, span, within).column() for c, span in node.outputs})
     key = node.order[0]
     place = position(key.column)
-    limits = df.agg(F.min(place).alias("low__"), F.max(place).alias("high__"))
-    part = F.floor((place - F.col("low__")) / F.greatest(F.col("high__") - F.col("low__"), F.lit(1e-300)) * (RANGES - 1)).cast("long")
+    limits = df.agg(X.fn("min", place).column().alias("low__"), X.fn("max", place).column().alias("high__"))
+    low, high = X.col("low__"), X.col("high__")
+    part = X.fn("floor", (place - low) / X.fn("greatest", high - low, 1e-300) * (RANGES - 1)).cast("bigint")
     part = part if key.ascending else RANGES - part
-    part = F.coalesce(part, F.lit(-1 if key.nulls_first else RANGES + 1))
-    dealt = df.crossJoin(F.broadcast(limits)).withColumn("part__", part).drop("low__", "high__")  # one row of limits
-    limbs = aggregates.limbs(x)
-    totals = dealt.groupBy("part__").agg(*(F.sum(limb).alias(f"limb{k}__") for k, limb in enumerate(limbs)))
-    earlier = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 3 rows at most
-    before = totals.select("part__", *(F.sum(f"limb{k}__").over(earlier).alias(f"limb{k}__") for k in range(3)))
+    part = X.fn("coalesce", part, -1 if key.nulls_first else RANGES + 1)
+    dealt = df.crossJoin(F.broadcast(limits)).withColumn("part__", part.column()).drop("low__", "high__")  # one row of limits
+    limbs, names = aggregates.limbs(x), [f"limb{k}__" for k in range(3)]
+    totals = dealt.groupBy("part__").agg(*(X.fn("sum", limb).column().alias(name) for name, limb in zip(names, limbs, strict=True)))
+    earlier = "(ORDER BY part__ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"  # over RANGES + 3 rows at most
+    before = totals.selectExpr("part__", *(f"sum({name}) OVER {earlier} AS {name}" for name in names))
     joined = dealt.join(F.broadcast(before), "part__")
-    w = Window.partitionBy("part__").orderBy(*order)
+    within = over(["part__"])
     parts = []
-    for k, limb in enumerate(limbs):
-        inside, outside = F.sum(limb).over(w), F.col(f"limb{k}__")
-        parts.append(F.when(inside.isNull() & outside.isNull(), F.lit(None)).otherwise(F.coalesce(inside, F.lit(0)) + F.coalesce(outside, F.lit(0))))
-    found = joined.withColumns({c.id: aggregates.in_range(aggregates.combined(*parts), span) for c, span in node.outputs})
-    return found.drop("part__", *(f"limb{k}__" for k in range(3)))
+    for name, limb in zip(names, limbs, strict=True):
+        inside, outside = within(X.fn("sum", limb)), X.col(name)
+        parts.append(X.when(inside.is_null() & outside.is_null(), X.null("bigint")).otherwise(X.fn("coalesce", inside, 0) + X.fn("coalesce", outside, 0)))
+    found = joined.withColumns({c.id: aggregates.in_range(aggregates.combined(*parts), span).column() for c, span in node.outputs})
+    return found.drop("part__", *names)
