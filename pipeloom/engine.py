@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import errors as E
@@ -39,16 +38,18 @@ def adapt(name: str, df: DataFrame, dates: tuple[str, ...] = ()) -> Table:
     """A DataFrame as a table: integers widen to INT64, float to DOUBLE, timestamps named in ``dates`` become DATE, other types go."""
     columns, selected, stamps = [], [], {}
     for f in df.schema.fields:
-        type_ = WIDENED.get(f.dataType.simpleString())
-        if f.name in dates and f.dataType.typeName().startswith("timestamp"):
+        stored = f.dataType.simpleString()
+        type_ = WIDENED.get(stored)
+        quoted = "`" + f.name.replace("`", "``") + "`"
+        if f.name in dates and stored.startswith("timestamp"):
             stamps[f.name] = f"{f.name}__stamp"
-            selected += [F.col(f.name).cast("date").alias(f.name), F.col(f.name).alias(stamps[f.name])]
+            selected += [f"CAST({quoted} AS date) AS {quoted}", f"{quoted} AS `{stamps[f.name]}`"]
             columns.append((f.name, "DATE", True))
         elif type_:
-            spark_type = {"INT64": "bigint", "DOUBLE": "double"}.get(type_)
-            selected.append(F.col(f.name).cast(spark_type).alias(f.name) if spark_type and f.dataType.simpleString() != spark_type else F.col(f.name))
+            spark_type = {"INT64": "bigint", "DOUBLE": "double"}.get(type_, stored)
+            selected.append(quoted if stored == spark_type else f"CAST({quoted} AS {spark_type}) AS {quoted}")
             columns.append((f.name, type_, True))
-    return Table(name, columns, df.select(*selected), stamps)
+    return Table(name, columns, df.selectExpr(*selected), stamps)
 
 
 class Token:

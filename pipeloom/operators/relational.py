@@ -46,7 +46,7 @@ class Compiler:
         below = self.compile(node.input)
         if not node.computed:
             return below
-        return Relation(below.df.withColumns({c.id: value(e).column() for c, e in node.computed}), below.stamps)
+        return Relation(below.df.selectExpr("*", *(f"{value(e).sql} AS {c.id}" for c, e in node.computed)), below.stamps)
 
     def filter(self, node: L.Filter) -> Relation:
         below = self.compile(node.input)
@@ -74,22 +74,22 @@ class Compiler:
             if e is not None and e.op != "column":
                 arguments.setdefault(e, f"argument{len(arguments)}__")
         if arguments:
-            df = df.withColumns({name: value(e).column() for e, name in arguments.items()})
+            df = df.selectExpr("*", *(f"{value(e).sql} AS {name}" for e, name in arguments.items()))
         parts: dict[str, str] = {}
 
         def part(x: Text) -> Text:
             """An aggregate call as a column of the first step."""
             return X.col(parts.setdefault(x.sql, f"part{len(parts)}__"))
 
-        entries = [self.entry(kind, e, span, arguments, part).column().alias(c.id) for c, kind, e, span in node.entries]
-        calls = [F.expr(sql).alias(name) for sql, name in parts.items()]
+        entries = [f"{self.entry(kind, e, span, arguments, part).sql} AS {c.id}" for c, kind, e, span in node.entries]
+        calls = [F.expr(f"{sql} AS {name}") for sql, name in parts.items()]
         if not node.keys:
-            return Relation(df.agg(*calls).select(*entries))
+            return Relation(df.agg(*calls).selectExpr(*entries))
         # grouping makes -0.0 and NaN payloads uniform; the first member's own bits stand for its group
         names = {old.id: f"{new.id}_key" if old.type == "DOUBLE" else new.id for old, new in node.keys}
-        kept = [F.first(old.id).alias(new.id) for old, new in node.keys if old.type == "DOUBLE"]
-        grouped = df.groupBy(*(F.col(old).alias(new) for old, new in names.items())).agg(*kept, *calls)
-        return Relation(grouped.select(*(new.id for _, new in node.keys), *entries))
+        kept = [F.expr(f"first({old.id}) AS {new.id}") for old, new in node.keys if old.type == "DOUBLE"]
+        grouped = df.groupBy(*(F.expr(f"{old} AS {new}") for old, new in names.items())).agg(*kept, *calls)
+        return Relation(grouped.selectExpr(*(new.id for _, new in node.keys), *entries))
 
     def entry(self, kind: str, e: L.Expr | None, span, arguments: dict, part) -> Text:
         if e is None:
@@ -168,6 +168,6 @@ def sorted_by(df: DataFrame, keys: list) -> DataFrame:
 def dataframe(plan: L.Plan, read) -> DataFrame:
     """The result, in its established order, with public names (``_N`` for the unnamed column N)."""
     df = sorted_by(Compiler(read).compile(plan.root).df, plan.order)
-    return df.select(*(F.col(c.id).alias(name or f"_{k}") for k, (name, c) in enumerate(plan.output, 1)))
+    return df.selectExpr(*(f"{c.id} AS `{name or f'_{k}'}`" for k, (name, c) in enumerate(plan.output, 1)))
 
 
