@@ -15,11 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialise
 
 #: Fixed values of the rolling hash: modulus of a line's hash, and the factor of each older line.
 MODULUS, FACTOR = 1_000_003, 31
 DIVISOR, WINDOW, MIN_LINES = 3, 2, 2
+#: Occurrences of one chunk that are compared in one group; a more frequent chunk's first text goes to several.
+SALT_ROWS = 512
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,14 +71,20 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, window: int = WINDOW, m
     found = bound(split(F.col("body")), lambda lines: F.transform(F.filter(chunk_bounds(lines, divisor, window), lambda c: c["n"] >= min_lines), lambda c: bound(joined(lines, c["at"], c["n"]), lambda t: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")))))
     chunks = plain.select(doc, key, F.explode(found).alias("c")).select(doc, key, "c.*")
     same = ["h1", "h2", "n"]
-    firsts = chunks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(doc, key, "at")).alias("first")).where("times > 1").drop("times")
-    repeated = chunks.join(firsts, same).select(doc, key, F.struct("at", "n", "h1", "h2", F.col("first").eqNullSafe(F.struct(doc, key, "at")).alias("is_first")).alias("c"))
+    firsts = chunks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(doc, key, "at")).alias("first")).where("times > 1")
+    # written, so that both sides of the join are plain exchanges, which AQE splits where a chunk is everywhere
+    firsts = materialise(firsts.withColumn("salts", F.ceil(F.col("times") / SALT_ROWS).cast("long")).drop("times"), "repeated-chunks")
+    is_first = F.col("first").eqNullSafe(F.struct(doc, key, "at"))
+    repeated = chunks.join(firsts, same).select(doc, key, F.struct("at", "n", "h1", "h2", "salts", is_first.alias("is_first")).alias("c"))
     per_doc = repeated.groupBy(doc, key).agg(F.collect_set("c").alias("cs"))
     held = plain.alias("p").join(per_doc.alias("r"), F.col(f"p.{doc}").eqNullSafe(F.col(f"r.{doc}")) & (F.col(f"p.{key}") == F.col(f"r.{key}")))
-    cut_out = bound(split(F.col("body")), lambda lines: F.transform("cs", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["h1"].alias("h1"), c["h2"].alias("h2"), c["is_first"].alias("is_first"), joined(lines, c["at"], c["n"]).alias("bytes"))))
+    cut_out = bound(split(F.col("body")), lambda lines: F.transform("cs", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), c["h1"].alias("h1"), c["h2"].alias("h2"), c["salts"].alias("salts"), c["is_first"].alias("is_first"), joined(lines, c["at"], c["n"]).alias("bytes"))))
     texts = held.select(f"p.{doc}", f"p.{key}", F.explode(cut_out).alias("c")).select(doc, key, "c.*")
-    originals = texts.where("is_first").groupBy(*same).agg(F.first("bytes").alias("original"))
-    verified = texts.where("not is_first").join(originals, same).where("bytes = original")
+    salted = [*same, "salt"]
+    copied = texts.where("is_first").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    originals = copied.groupBy(*salted).agg(F.first("bytes").alias("original"))
+    others = texts.where("not is_first").withColumn("salt", F.pmod(F.xxhash64(doc, key, "at"), F.col("salts")))
+    verified = others.join(originals, salted).where("bytes = original")
     gone_from = verified.groupBy(doc, key).agg(F.collect_set(F.struct("at", "n")).alias(gone)).withColumnRenamed(key, key_r)
     out = keyed.join(gone_from, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(key_r)), "left")
     cut = F.size(F.coalesce(gone, F.array().cast("array<struct<at:int,n:int>>")))
