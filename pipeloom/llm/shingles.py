@@ -343,14 +343,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     known = materialise(grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(survivors, kept_schema), "survivors")
     release(spark)
     tokens = known.select("doc", F.explode("tokens").alias("token"))
-    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sizes and names are written, so that both sides of their joins are plain exchanges, which AQE splits at hot keys
+    sizes = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key-sizes")
     # a link shares `least` keys, so it shares one of the rarest (keys - least + 1) of either side: hot keys fall away
     keyed = tokens.join(sizes, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("ks"))  # SKETCH keys at most
     rarest = keyed.join(known.select("doc", "least"), "doc").where("size(ks) >= least").select("doc", F.explode(F.expr("slice(ks, 1, size(ks) - least + 1)")).alias("k")).select("doc", "k.token")
     each = F.xxhash64("doc")
     # keys with the same members (count and two sums of hashes agree) are one group, named by the smallest
     members = rarest.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(each.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("size > 1")
-    named = members.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
+    named = materialise(members.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size"), "key-names")
     groups_of = materialise(rarest.join(named, "token").select("token", "size", "doc"), "groups")
 
     def dealt(of: DataFrame, whole: bool) -> DataFrame:
