@@ -37,6 +37,12 @@ def overflow_guard(value: Text, inputs: list[Text], operation: str, span: Span)
     return X.when(exceeded, failure("overflow", operation, span, "DOUBLE")).otherwise(value)
 
 
+def null_guard(value: Text, inputs: list[Text], operation: str, span: Span) -> Text:
+    """Fails where inputs that aren't NULL made a NULL."""
+    exceeded = reduce(lambda a, b: a & b, [x.is_not_null() for x in inputs], value.is_null())
+    return X.when(exceeded, failure("overflow", operation, span, "INT64")).otherwise(value)
+
+
 def divide(a: Text, b: Text, span: Span) -> Text:
     zero = a.is_not_null() & (b == 0.0)
     return X.when(zero, failure("zero", "division", span, "DOUBLE")).otherwise(overflow_guard(a / b, [a, b], "division", span))

@@ -11,6 +11,7 @@ from ..functions.text import Text
 from ..plans import logical as L
 
 ARITHMETIC = ("+", "-", "*", "neg")
+TRIED = {"+": "try_add", "-": "try_subtract", "*": "try_multiply", "neg": "try_subtract"}
 
 
 def as_double(e: L.Expr) -> Text:
@@ -27,8 +28,9 @@ def value(e: L.Expr) -> Text:
     if e.op in ARITHMETIC and e.type == "DOUBLE":
         raw, leaves = chain(e)
         return scalars.overflow_guard(raw, leaves, "arithmetic", e.span) if leaves else raw
-    if e.op in ARITHMETIC:  # ANSI arithmetic of Spark raises on overflow
-        return apply(e.op, [value(a) for a in e.args])
+    if e.op in ARITHMETIC:
+        raw, leaves = whole_chain(e)
+        return scalars.null_guard(raw, leaves, "arithmetic", e.span)
     if e.op == "column":
         return X.col(e.value.id)
     if e.op in ("number", "text", "day"):
@@ -68,6 +70,15 @@ def chain(e: L.Expr) -> tuple[Text, list[Text]]:
     return c, [c]
 
 
+def whole_chain(e: L.Expr) -> tuple[Text, list[Text]]:
+    """A tree of INT64 + - * whose overflow is NULL, and its leaves: NULL spreads, so one test at the top does."""
+    if e.op in ARITHMETIC:
+        parts = [whole_chain(a) for a in e.args]
+        args = [X.lit(0), parts[0][0]] if e.op == "neg" else [c for c, _ in parts]
+        return X.fn(TRIED[e.op], *args), [x for _, found in parts for x in found]
+    return (X.lit(e.value), []) if e.op == "number" else (c := value(e), [c])
+
+
 def call(e: L.Expr) -> Text:
     name, span = e.op, e.span
     if name in ("DIV", "MOD"):

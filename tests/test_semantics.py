@@ -192,6 +192,15 @@ def test_failures(small, expression, error, name):
         list(small.prepare(text).batches())
 
 
+def test_integer_overflow_names_its_expression(small):
+    text = "FROM edge |> SELECT id * 2 AS a, (i + 1) * 2 - id AS b, -id AS c |> WHERE a = 4 |> SELECT b"
+    with pytest.raises(E.ArithmeticOverflow) as failure:
+        rows(small, text)
+    assert text[slice(*failure.value.span)] == "(i + 1) * 2 - id"
+    assert rows(small, "FROM edge |> WHERE id = 3 |> SELECT -(i - 1) * -i + 0, i * NULL") == [(56, None)]
+    assert rows(small, "FROM edge |> WHERE id = 1 |> SELECT i + 0, i - 0, -9223372036854775807 - 1") == [(MIN, MIN, MIN)]
+
+
 def test_double_functions(spark):
     e = engine(spark, t=("x DOUBLE", [(v,) for v in (-0.4, 0.4, -0.5, 2.5, -2.5, 0.49999999999999994, -0.0, 1e300, INF, NAN)]))
     found = [[bits(v) for v in r] for r in rows(e, "FROM t |> SELECT x, FLOOR(x), CEIL(x), ROUND(x), SIGN(x), ABS(x)")]
