@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     facts = first.where("kind = 2").select("data").mapInArrow(told, "doc long, n long, s1 long, s2 long")
     facts = materialise(facts, "facts")
-    same = facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("set_id"))
+    same = materialise(facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("set_id")), "equal-sets")
     with_set = facts.where("n > 0").join(same, ["n", "s1", "s2"]).select("doc", "n", "set_id")
     found = with_set.join(final, with_set["set_id"] == final["node"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")
     none = facts.where("n = 0").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.col("doc").alias("set_id"))
