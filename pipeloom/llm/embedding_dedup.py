@@ -29,7 +29,7 @@ from .shingles import forest
 THRESHOLD = 0.93
 #: Tables, hashes joined in a table, corners probed per hash: a pair at the threshold is missed with a chance below 1e-5.
 TABLES, HASHES, PROBES = 8, 2, 2
-BLOCK = 1024
+BLOCK = 512
 
 
 def codes(x: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     usable = vectors.usable(df.where(F.col(label_col).isNotNull()), id_col, vector_col, label_col).withColumnRenamed(label_col, "label").distinct()
     usable = materialise(usable, "vectors")
     same = ["label", "data"]
-    reps = materialise(usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(usable.groupBy(*same).agg(F.first("dim").alias("dim")), same), "distinct-vectors")
+    reps = materialise(usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim")), "distinct-vectors")
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     known = materialise(reps.join(reps.select("rep", "dim", "data").mapInArrow(hashed, schema), "rep"), "hashed-vectors")
     in_bucket = known.select("rep", "label", "dim", F.explode("codes").alias("bucket"))
     key = ["label", "dim", "bucket"]
-    sizes = in_bucket.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = materialise(in_bucket.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     spread = in_bucket.join(sizes, key).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
