@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.llm import language, lines, mixing, packing, shingles
-from pipeloom.llm.common import materialise, ship_code
+from pipeloom.llm.common import discard, materialise, ship_code
 from pipeloom.llm.queries import VOCABULARY
 
 
@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # of the input, which isn't ours, nothing is deleted
     return STAGES[-1][1](spark, docs, sf_dir)

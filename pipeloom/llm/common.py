@@ -126,5 +126,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         old, labels = labels, materialise(moved.select("node", "key", F.coalesce("parent", "label").alias("label")), "cc-labels")
         for done in (before, parent, old):
             discard(done)
+    discard(live)
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

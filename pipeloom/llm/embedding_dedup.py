@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectors
-from .common import connected_components, materialise, release, shuffle_partitions
+from .common import connected_components, discard, materialise, release, shuffle_partitions
 from .shingles import forest
 
 THRESHOLD = 0.93
@@ -148,6 +148,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         return pa.table({"a": whole(a_out), "b": whole(b_out), "n": whole(n_out), "edge": np.concatenate(is_edge) if is_edge else np.zeros(0, bool)})
 
     found = materialise(carried.groupBy("task").applyInArrow(linked, "a long, b long, n long, edge boolean"), "links")
+    for done in (known, sizes):
+        discard(done)
     release(spark)
     counts = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("edge"), "a", "b")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, words
-from .common import connected_components, materialise, release, shuffle_partitions
+from .common import connected_components, discard, materialise, release, shuffle_partitions
 from .substrings import MOVED, doc_ids, group_column, rows, slices
 
 SHINGLE, PERCENT = 5, 75
@@ -377,6 +377,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     more = materialise(group_pairs(dealt(labelled.join(open_tokens, "token"), True), percent, True), "links")
     release(spark)
     final = connected_components(links.union(more), "a", "b")
+    for done in (known, sizes, named, groups_of, pairs, links, labelled, more):
+        discard(done)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,6 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     facts = first.where("kind = 2").select("data").mapInArrow(told, "doc long, n long, s1 long, s2 long")
     facts = materialise(facts, "facts")
+    discard(first)
     same = materialise(facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("set_id")), "equal-sets")
     with_set = facts.where("n > 0").join(same, ["n", "s1", "s2"]).select("doc", "n", "set_id")
     found = with_set.join(final, with_set["set_id"] == final["node"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blobs, words
 from .blobs import OCCURRENCE, PLACE
-from .common import materialise, release, shuffle_partitions
+from .common import discard, materialise, release, shuffle_partitions
 
 MIN_WORDS = 20
 #: Batches hash this many bytes of text at a time.
@@ -176,6 +176,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     windows = grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(second_level, MOVED)
     later = materialise(repeats(windows, not_first, groups), "windows")
+    discard(alive)
     release(spark)
     text_field = ", kept_text string" if with_text else ""
 
