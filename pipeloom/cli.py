@@ -28,12 +28,16 @@ def parser() -> argparse.ArgumentParser:
     def command(name: str, *options: str, **more: dict) -> None:
         sub = commands.add_parser(name, allow_abbrev=False)
         sub.add_argument("--database", required=True)
+        for budget in ("memory-limit-bytes", "temp-limit-bytes"):  # checked, then left to Spark's own memory management
+            sub.add_argument(f"--{budget}", type=positive)
         for option in options:
             sub.add_argument(f"--{option}", required=True)
         for option, how in more.items():
             sub.add_argument(f"--{option.replace('_', '-')}", **how)
 
-    number = {"type": int}
+    number = {"type": positive}
+    batches = dict.fromkeys(("record_limit_bytes", "field_limit_bytes", "batch_rows", "batch_text_bytes", "batch_limit", "encoded_limit_bytes"), number)
+    groups = dict.fromkeys(("metadata_limit_bytes", "row_group_limit", "row_group_rows", "row_group_limit_bytes", "row_group_text_bytes", "page_limit_bytes"), number)
     command("create-declared")
     command("create")
     command("open")
@@ -41,14 +45,21 @@ def parser() -> argparse.ArgumentParser:
     command("declare", "schema-file")
     command("schema", "table")
     command("load", "input")
-    command("import", "table", "input", format={"choices": ("csv", "parquet"), "default": "csv"}, row_limit=number, input_limit_bytes=number)
+    command("import", "table", "input", format={"choices": ("csv", "parquet"), "default": "csv"}, row_limit=number, input_limit_bytes=number, **batches, **groups)
     command("query", "query-file")
     command("explain", "query-file")
-    command("export", "query-file", format={"choices": ("jsonl", "parquet"), "default": "jsonl"}, row_limit=number, output_limit_bytes=number, output={})
+    command("export", "query-file", format={"choices": ("jsonl", "parquet"), "default": "jsonl"}, row_limit=number, output_limit_bytes=number, output={}, **groups)
     command("resolve", "transaction")
     return top
 
 
+def positive(text: str) -> int:
+    value = int(text)
+    if value <= 0:
+        raise ValueError("a limit is positive")
+    return value
+
+
 def _version() -> str:
     try:
         return version("pipeloom")
@@ -92,12 +103,13 @@ def execute(args: argparse.Namespace, spark: SparkSession) -> None:
         generation, token = load_lineitem(catalog, args.input)
         return say("status=loaded", f"generation={generation}", f"transaction={token}")
     if args.command == "import":
+        limits = {name: value for name, value in (("record_limit", args.record_limit_bytes), ("field_limit", args.field_limit_bytes)) if value}
         if args.format == "parquet":
             generation, token = import_parquet(catalog, args.table, args.input, args.row_limit)
         elif args.input == "-":
-            generation, _, token = import_csv(catalog, args.table, sys.stdin.buffer, args.input_limit_bytes, args.row_limit)
+            generation, _, token = import_csv(catalog, args.table, sys.stdin.buffer, args.input_limit_bytes, args.row_limit, **limits)
         else:
-            generation, _, token = import_csv_file(catalog, args.table, args.input, args.input_limit_bytes, args.row_limit)
+            generation, _, token = import_csv_file(catalog, args.table, args.input, args.input_limit_bytes, args.row_limit, **limits)
         return say("status=imported", f"generation={generation}", f"transaction={token}")
     if args.command == "resolve":
         generation = catalog.resolve(args.transaction)

@@ -34,7 +34,7 @@ _QUOTED = re.compile(rb'"((?:[^"]|"")*)"')
 Field = tuple[bytes | None, int]  # content (None: NULL), offset of the field
 
 
-def records(data: bytes) -> Iterator[tuple[list[Field], int, int]]:
+def records(data: bytes, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple[list[Field], int, int]]:
     """(fields, offset of the record, offset of its end) of each record of a whole file."""
     at, end = 0, len(data)
     while at < end:
@@ -53,7 +53,7 @@ def records(data: bytes) -> Iterator[tuple[list[Field], int, int]]:
                 content = None if found[0] == rb"\N" else found[0]
                 if data[at : at + 1] == b'"':
                     raise InputError("quote in an unquoted field", at)
-            if content is not None and len(content) > MAX_FIELD:
+            if content is not None and len(content) > field_limit:
                 raise InputError("field is too long", begin)
             fields.append((content, begin))
             mark = data[at : at + 1]
@@ -66,7 +66,7 @@ def records(data: bytes) -> Iterator[tuple[list[Field], int, int]]:
                 raise InputError("text after a closing quote", at)
             stop = at
             at += {b"": 0, b"\n": 1, b"\r": 2}[mark]
-            if at - start > MAX_RECORD:
+            if at - start > record_limit:
                 raise InputError("record is too long", start)
             yield fields, start, stop
             break
@@ -98,9 +98,9 @@ def cell(content: bytes | None, type_: str, nullable: bool, offset: int) -> obje
     raise InputError(f"not a {type_} value", offset)
 
 
-def decode(data: bytes, columns: list[tuple[str, str, bool]], row_limit: int | None = None) -> Iterator[tuple]:
+def decode(data: bytes, columns: list[tuple[str, str, bool]], row_limit: int | None = None, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple]:
     """Rows in declaration order; the header names every column once, in any order and case."""
-    found = records(data)
+    found = records(data, min(record_limit, MAX_RECORD), min(field_limit, MAX_FIELD))
     header = next(found, None)
     if header is None:
         raise InputError("missing header", 0)
@@ -191,9 +191,9 @@ def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path:
     return lines.mapInArrow(decoded, schema)
 
 
-def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int | None = None, row_limit: int | None = None) -> tuple[int, int, str]:
+def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int | None = None, row_limit: int | None = None, **limits: int) -> tuple[int, int, str]:
     """Append one complete CSV file: (generation, rows, token).  Limits, or doubt, make the decoding sequential."""
-    if input_limit is None and row_limit is None:
+    if input_limit is None and row_limit is None and not limits:
         append = catalog.begin_append(table)
         try:
             append.write_dataframe(parallel_rows(catalog, list(append.schema.columns), path))
@@ -204,11 +204,14 @@ def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int |
             pass
         append.abort()
     with open(path.removeprefix("file://"), "rb") as stream:
-        return import_csv(catalog, table, stream, input_limit, row_limit)
+        return import_csv(catalog, table, stream, input_limit, row_limit, **limits)
 
 
-def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int | None = None, row_limit: int | None = None) -> tuple[int, int, str]:
-    """Append one complete CSV input: (generation, rows, token).  Any failure commits nothing."""
+def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int | None = None, row_limit: int | None = None, **limits: int) -> tuple[int, int, str]:
+    """Append one complete CSV input: (generation, rows, token).  Any failure commits nothing.
+
+    ``limits`` may give record_limit (encoded bytes) and field_limit (decoded bytes).
+    """
     append = catalog.begin_append(table)
     rows = 0
 
@@ -222,7 +225,7 @@ def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int
         data = stream.read() if input_limit is None else stream.read(input_limit + 1)
         if input_limit is not None and len(data) > input_limit:
             raise InputError("input limit exceeded", input_limit)
-        append.write(counted(decode(data, list(append.schema.columns), row_limit)))
+        append.write(counted(decode(data, list(append.schema.columns), row_limit, **limits)))
         return append.commit(), rows, append.token
     except BaseException:
         append.abort()

@@ -110,6 +110,14 @@ def test_csv_failures(data, offset):
     assert failure.value.byte_offset == offset
 
 
+@pytest.mark.parametrize(("limits", "at"), [({"record_limit": 23}, b"3,aaa"), ({"field_limit": 8}, b"aaaaaaaaaaaaa"), ({"row_limit": 2}, b"3,aaa")])
+def test_csv_limits(limits, at):
+    data = b"amount,note,day,number\n1,a,\\N,\\N\n2,aaaaaa,\\N,1.5\n3,aaaaaaaaaaaaaaaaaaaa,\\N,2.5\n"
+    with pytest.raises(E.InputError) as failure:
+        list(decode(data, COLUMNS, **limits))
+    assert failure.value.byte_offset == data.index(at)
+
+
 def test_csv_decoder_batches():
     decoder = CsvDecoder(io.BytesIO(CSV), COLUMNS, 3)
     assert [len(decoder.next_batch()), len(decoder.next_batch()), decoder.next_batch()] == [3, 1, None]
