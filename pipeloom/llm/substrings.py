@@ -5,8 +5,10 @@ length inside it repeats.  So the first level judges windows of half the length,
 and only one per full window is needed: its anchor, the half-length window with
 the smallest hash inside it, stands at the same place in every copy.  Full
 windows whose anchor is unique are dropped; those that are left are extended to
-twice the length and judged exactly as such.  Nothing longer needs judging: every
+twice the length and judged exactly as such.  For removal nothing longer needs judging: every
 repeat beyond ``min_words`` words consists of repeated windows of ``min_words``.
+:func:`longest_repeats` goes on doubling until no candidate survives, which tells
+how long each document's repeats are.
 
 Occurrences travel as packed lists (see ``blobs``): a batch of documents sends each
 hash at most once, so a passage that stands in a third of all documents costs one
@@ -23,7 +25,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs, words
@@ -78,6 +80,30 @@ def sendable(sent: dict, known: dict, buckets: int, groups: int) -> pa.RecordBat
     return rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])
 
 
+def ordered(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[dict, np.ndarray]:
+    """The occurrences at words ``at``, sorted by hash, and where each hash begins."""
+    owner = np.searchsorted(first, at, side="right") - 1
+    return blobs.by_hash({"h": hashes[at], "doc": ids[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)})
+
+
+def seen_twice(found: dict, new: np.ndarray) -> tuple[dict, dict]:
+    """(one occurrence of each hash to send, flagged if it is known to repeat; the places known to repeat)."""
+    starts = np.flatnonzero(new)
+    times = np.diff(starts, append=len(new))
+    sent = blobs.take(found, starts)
+    sent["flag"] = (times > 1).astype(np.uint8)
+    return sent, blobs.take(found, np.flatnonzero(np.repeat(times > 1, times)))
+
+
+def live_words(ids: np.ndarray, first: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """True at the words of a batch where a listed place of its documents lies."""
+    live = np.zeros(n + 1, bool)
+    for row, (a, b) in enumerate(zip(np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right"), strict=True)):
+        if b > a:
+            live[np.minimum(first[row] + places[a:b], n)] = True
+    return live
+
+
 def doc_ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
@@ -117,23 +143,16 @@ def places_by_doc(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found["doc"][at], found["pos"][at].astype(np.int64)
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text.
+def dealing(spark: SparkSession) -> tuple[int, int]:
+    """(ranges of hashes, groups of documents) into which the work is dealt."""
+    deal = shuffle_partitions(spark)
+    return deal, 2 * deal
 
-    A word goes if a window of ``min_words`` words covers it whose words also start
-    earlier (smaller id, or earlier in the same document); windows are judged on
-    the input.  Kept words are joined by one space.  Ids are integers.  Null text
-    has no words, as has empty text; a null id counts as the smallest; rows with
-    the same id and text are the same occurrence (neither removes the other); of
-    rows with the same id and different texts a word goes if it stands at a place
-    that is removed in any of them; other columns are not read; an empty table
-    gives no rows.
-    """
+
+def anchored(docs: DataFrame, min_words: int, id_col: str, text_col: str, buckets: int, groups: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with the key of their group; per group the places of anchors that repeat): the first level."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
-    spark = docs.sparkSession
-    deal = shuffle_partitions(spark)
-    buckets, groups = deal, 2 * deal
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,19 +160,29 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             for part in slices(batch, 1):
                 hashes, first = words.words(part.column(1))
                 _, anchor, grams = anchors(hashes, first, min_words)
-                at = np.unique(anchor)
-                owner = np.searchsorted(first, at, side="right") - 1
-                found, new = blobs.by_hash({"h": grams[at], "doc": doc_ids(part.column(0))[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)})
-                starts = np.flatnonzero(new)
-                many = np.diff(starts, append=len(new)) > 1
-                sent = blobs.take(found, starts)
-                sent["flag"] = many.astype(np.uint8)
-                known = blobs.take(found, np.flatnonzero(np.repeat(many, np.diff(starts, append=len(new)))))
+                sent, known = seen_twice(*ordered(grams, np.unique(anchor), doc_ids(part.column(0)), first))
                 yield sendable(sent, known, buckets, groups)
 
     alive = materialise(repeats(source.mapInArrow(first_level, MOVED), repeated_anywhere, groups), "anchors")
-    release(spark)
-    grouped = source.withColumn("key", group_column(F.col("doc"), groups))
+    release(docs.sparkSession)
+    return source.withColumn("key", group_column(F.col("doc"), groups)), alive
+
+
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """Per document: id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text.
+
+    A word goes if a window of ``min_words`` words covers it whose words also start
+    earlier (smaller id, or earlier in the same document); windows are judged on
+    the input.  Kept words are joined by one space.  Ids are integers.  Null text
+    has no words, as has empty text; a null id counts as the smallest; rows with
+    the same id and text are the same occurrence (neither removes the other); of
+    rows with the same id and different texts a word goes if it stands at a place
+    that is removed in any of them; other columns are not read; an empty table
+    gives no rows.
+    """
+    spark = docs.sparkSession
+    buckets, groups = dealing(spark)
+    grouped, alive = anchored(docs, min_words, id_col, text_col, buckets, groups)
 
     def second_level(texts: pa.Table, places: pa.Table) -> pa.Table:
         docs_alive, pos_alive = places_by_doc(places.column("data").to_pylist())
@@ -162,15 +191,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             for part in slices(batch, 1):
                 hashes, first = words.words(part.column(1))
                 ids = doc_ids(part.column(0))
-                live = np.zeros(len(hashes) + 1, bool)
-                for row, (a, b) in enumerate(zip(np.searchsorted(docs_alive, ids, "left"), np.searchsorted(docs_alive, ids, "right"), strict=True)):
-                    if b > a:
-                        live[np.minimum(first[row] + pos_alive[a:b], len(hashes))] = True
+                live = live_words(ids, first, docs_alive, pos_alive, len(hashes))
                 starts, anchor, _ = anchors(hashes, first, min_words)
-                starts = starts[live[anchor]]
-                owner = np.searchsorted(first, starts, side="right") - 1
-                full = words.ngrams(hashes, min_words, 2)
-                found, new = blobs.by_hash({"h": full[starts], "doc": ids[owner], "pos": (starts - first[owner]).astype(np.int32), "flag": np.zeros(len(starts), np.uint8)})
+                found, new = ordered(words.ngrams(hashes, min_words, 2), starts[live[anchor]], ids, first)
                 out.append(sendable(blobs.take(found, np.flatnonzero(new)), not_first(found, new), buckets, groups))
         return pa.Table.from_batches(out or [rows([], [], [])])
 
@@ -213,6 +236,66 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     return grouped.groupBy("key").cogroup(later.groupBy("key")).applyInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string{text_field}")
 
 
+def longest_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document with a repeat: id and longest, the greatest min_words * 2**k words at which a window of it stands twice in the corpus.
+
+    Windows that repeat at one length alone are extended to twice that length, and
+    the levels go on until no candidate survives.  Ids and nulls are taken as in
+    :func:`dedup_substrings`; a repeated row repeats all its windows; an empty table
+    gives no rows.
+    """
+    spark = docs.sparkSession
+    buckets, groups = dealing(spark)
+    grouped, alive = anchored(docs, min_words, id_col, text_col, buckets, groups)
+    found, size = None, min_words
+
+    def level(size: int):
+        """Judge windows of ``size`` words: of repeated anchors, or beyond ``min_words`` those whose halves both repeat."""
+
+        def windows(texts: pa.Table, places: pa.Table) -> pa.Table:
+            docs_alive, pos_alive = places_by_doc(places.column("data").to_pylist())
+            out = []
+            for batch in texts.combine_chunks().to_batches():
+                for part in slices(batch, 1):
+                    hashes, first = words.words(part.column(1))
+                    ids = doc_ids(part.column(0))
+                    live = live_words(ids, first, docs_alive, pos_alive, len(hashes))
+                    if size == min_words:
+                        starts, anchor, _ = anchors(hashes, first, min_words)
+                        starts = starts[live[anchor]]
+                    else:
+                        starts = np.flatnonzero(live[: max(0, len(hashes) - size + 1)])
+                        ends = first[np.searchsorted(first, starts, side="right")] if len(starts) else starts
+                        starts = starts[(starts + size <= ends) & live[starts + size // 2]]
+                    whole, length = words.ngrams(hashes, min_words, 2), min_words
+                    while length < size and len(whole) > length:
+                        whole = words.ngrams(np.stack([whole[:-length], whole[length:]], 1).reshape(-1), 2, 3)[::2]
+                        length *= 2
+                    out.append(sendable(*seen_twice(*ordered(whole, starts, ids, first)), buckets, groups))
+            return pa.Table.from_batches(out or [rows([], [], [])])
+
+        return windows
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.unique(np.concatenate([blobs.unpack([d], PLACE)["doc"] for d in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc"])
+
+    while True:
+        moved = grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(level(size), MOVED)
+        before, alive = alive, materialise(repeats(moved, repeated_anywhere, groups), "windows")
+        discard(before)
+        release(spark)
+        if not alive.limit(1).count():
+            break
+        of_level = materialise(alive.select("data").mapInArrow(named, "doc long").distinct().withColumn("longest", F.lit(size).cast("long")), "repeats")
+        found = of_level if found is None else found.union(of_level)
+        size *= 2
+    if found is None:
+        found = spark.createDataFrame([], "doc long, longest long")
+    return found.groupBy("doc").agg(F.max("longest").alias("longest")).withColumnRenamed("doc", id_col)
+
+
 def group_column(doc: Column, groups: int) -> Column:
     """The group of a document; equals :func:`blobs.group_of`."""
     x = F.coalesce(doc, F.lit(NULL_ID))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -108,6 +109,22 @@ def test_substrings(spark, real, size):
     assert all(len(r["kept_text"].split()) == r["n_words"] - r["n_removed"] for r in found)
 
 
+def test_longest_repeats(spark, real):
+    docs = real[:60] + [(5000, " ".join(f"r{k}" for k in range(90))), (5001, "x " + " ".join(f"r{k}" for k in range(5, 88))), (5002, " ".join(["same"] * 41)), *ODD[:4]]
+    split = {i: brute.words(t) for i, t in docs}
+    expected, size = {}, 20
+    while True:
+        times = Counter(tuple(w[s : s + size]) for w in split.values() for s in range(len(w) - size + 1))
+        level = {i for i, w in split.items() if any(times[tuple(w[s : s + size])] > 1 for s in range(len(w) - size + 1))}
+        if not level:
+            break
+        expected |= dict.fromkeys(level, size)
+        size *= 2
+    found = substrings.longest_repeats(spark.createDataFrame(docs, DOCS).repartition(3)).collect()
+    assert {r[0]: r[1] for r in found} == expected and expected[5001] == 80 and expected[5002] == 40
+    assert substrings.longest_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_substrings_edges(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
     text = " ".join(f"w{k}" for k in range(25))
