@@ -8,7 +8,10 @@ and sends, for each range of hashes, one row with the packed list.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 #: Column types of an occurrence: its hash, its document's id, its place there, and a flag.
@@ -62,3 +65,11 @@ def split(columns: dict[str, np.ndarray], key: np.ndarray, kinds: tuple) -> list
     columns, key = take(columns, order), key[order]
     bounds = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0, append=key[-1] + 1 if len(key) else 0))
     return [(int(key[a]), pack({n: c[a:b] for n, c in columns.items()}, kinds)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def tidy() -> None:
+    """Give memory that a task is done with back to the system; a Python worker lives on and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

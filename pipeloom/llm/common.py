@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between JVM and Python.
+ARROW_BATCH = "16m"
+
+
 def with_code(query):
     """``query`` after the executors' Python workers were sent this package."""
 
@@ -39,6 +43,8 @@ def ship_code(spark: SparkSession) -> None:
                 out.write(source, source.relative_to(package.parent))
         context.addPyFile(str(archive))
         context.pipeloom_shipped = True
+    # bounds what the JVM and a worker hold of a table at a time, however long its rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:

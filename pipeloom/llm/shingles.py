@@ -42,12 +42,12 @@ SHINGLE, PERCENT = 5, 75
 #: Keys of a set; shared keys that a link must have, for sets too large for certainty.
 SKETCH, LIKELY_SHARED = 48, 14
 #: Largest group joined in one task, by bitmaps and by sets; larger ones are dealt into blocks.
-BLOCK, WHOLE_BLOCK = 512, 2048
+BLOCK, WHOLE_BLOCK = 512, 1536
 FANOUT = 8
 #: Bits a shingle of the bitmaps that travel, and of those made where the sets are at hand.
 NARROW, WIDE = 4, 16
-#: Columns of a 0/1 matrix.
-COLUMNS = 8192
+#: Columns of a 0/1 matrix, and pairs of nodes, that are at hand at a time.
+COLUMNS, PAIRS = 2048, 32_768
 KEYS = (("h", np.uint64), ("doc", np.int64), ("set", np.uint64))
 FACTS = (("doc", np.int64), ("n", np.int32), ("set", np.uint64), ("more", np.uint64))
 SHARED = (("doc", np.int64), ("h", np.uint64))
@@ -109,8 +109,8 @@ def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     fits = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
     most = np.zeros(len(i), np.int64)
     at = np.flatnonzero(fits)
-    for lo in range(0, len(at), 65_536):
-        part = at[lo : lo + 65_536]
+    for lo in range(0, len(at), 8_192):
+        part = at[lo : lo + 8_192]
         common = np.bitwise_count(ors_a[i[part]] & ors_b[j[part]]).sum(axis=1, dtype=np.int64)
         most[part] = common + np.minimum(beyond_a[i[part]], beyond_b[j[part]])
     most = np.minimum(most, np.minimum(high_a[i], high_b[j]))
@@ -119,16 +119,22 @@ def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
 
 def candidates(a: Tree, b: Tree, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dual traversal from both roots: (leaf of a, leaf of b, possible overlap); ``same``: each pair of one tree once."""
-    da, db = len(a.levels) - 1, len(b.levels) - 1
-    i = j = np.zeros(1, np.int64)
-    while True:
+    found = [(np.zeros(0, np.int64),) * 3]
+    # depth first, some pairs at a time, so that the pairs at hand stay few
+    waiting = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while waiting:
+        da, db, i, j = waiting.pop()
+        if len(i) > PAIRS:
+            waiting += [(da, db, i[lo : lo + PAIRS], j[lo : lo + PAIRS]) for lo in range(0, len(i), PAIRS)]
+            continue
         most = possible(a.levels[da], b.levels[db], i, j, percent)
         keep = most >= 0
         if same and da == db:
             keep &= (i <= j) if da else (i < j)
         i, j, most = i[keep], j[keep], most[keep]
         if not da and not db:
-            return i, j, most
+            found.append((i, j, most))
+            continue
         step = np.arange(FANOUT)
         if da >= db:
             i, j = (np.repeat(i * FANOUT, FANOUT) + np.tile(step, len(i))), np.repeat(j, FANOUT)
@@ -140,6 +146,8 @@ def candidates(a: Tree, b: Tree, percent: int, same: bool) -> tuple[np.ndarray,
             db -= 1
             inside = j < len(b.levels[db][1])
             i, j = i[inside], j[inside]
+        waiting.append((da, db, i, j))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -246,6 +254,8 @@ def group_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 xs.append(x)
                 ys.append(y)
         pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+        del data, column
+        blobs.tidy()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return members.groupBy("bucket").applyInArrow(joined, "a long, b long").distinct()

@@ -34,7 +34,7 @@ from .common import discard, materialise, release, shuffle_partitions
 
 MIN_WORDS = 20
 #: Batches hash this many bytes of text at a time.
-BATCH = 8_000_000
+BATCH = 4_000_000
 NULL_ID = -(2**63)
 MOVED = "kind int, key long, data binary"
 
@@ -47,6 +47,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + BATCH, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    blobs.tidy()
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +118,8 @@ def repeats(table: DataFrame, judge, groups: int) -> DataFrame:
         occurrences = blobs.unpack([d for a, d in zip(kind, data, strict=True) if a == 0], OCCURRENCE)
         found = judge(*blobs.by_hash(occurrences))
         out += [(1, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), PLACE)]
+        del occurrences, found
+        blobs.tidy()
         return pa.Table.from_batches([rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])])
 
     return table.groupBy("kind", "key").applyInArrow(judged, MOVED).select("key", "data")

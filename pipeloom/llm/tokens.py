@@ -46,12 +46,20 @@ class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, as bytes of uint32."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
-            found = ranks(json.load(f))
+            model = json.load(f)
+        self.special = [t["content"] for t in model.get("added_tokens", [])]
+        found = ranks(model)
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=found, special_tokens={}) if found else None
 
+    @property
+    def library(self) -> Tokenizer:
+        """Loaded only when a text needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def ids(self, text: str) -> bytes:
         if self.fast is None or any(mark in text for mark in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
