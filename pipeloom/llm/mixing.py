@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shuffle_partitions
+from .common import fresh, materialise, shuffle_partitions
 
 #: At most so many sources are broadcast (a few hundred bytes each); more are joined by shuffle.
 MOST_BROADCAST = 10_000
@@ -44,7 +44,7 @@ def rates(docs: DataFrame, source_col: str, size: Column, weights: dict[str, flo
     ``weights`` are relative target shares (an unlisted source gets 0).  Without
     them a source's share is its size to the power ``1 / temperature``.
     """
-    sizes = docs.groupBy(source_col).agg(F.sum(size).alias("mass"))
+    sizes = materialise(docs.groupBy(source_col).agg(F.sum(size).alias("mass")), "source-sizes")  # the corpus is counted once
     if weights is None:
         share = F.pow(F.col("mass").cast("double"), F.lit(1.0 / temperature))
     else:
@@ -52,9 +52,9 @@ def rates(docs: DataFrame, source_col: str, size: Column, weights: dict[str, flo
         for name, weight in weights.items():
             share = F.when(F.col(source_col) == name, F.lit(float(weight))).otherwise(share)
     shares = sizes.withColumn("share", F.floor(share * SCALE).cast("long"))
-    total = shares.agg(F.sum("share").alias("all_share"), F.sum("mass").alias("all_mass"))
-    wanted = F.col("share").cast("double") / F.col("all_share").cast("double") * F.col("all_mass").cast("double") / F.col("mass").cast("double")
-    return shares.join(F.broadcast(total)).select(source_col, F.when(F.col("mass") > 0, wanted).otherwise(0.0).alias("rate"))  # one row
+    all_share, all_mass = shares.agg(F.sum("share"), F.sum("mass")).first()
+    wanted = F.col("share").cast("double") / F.lit(float(all_share or 1)) * F.lit(float(all_mass or 0)) / F.col("mass").cast("double")
+    return shares.select(source_col, F.when(F.col("mass") > 0, wanted).otherwise(0.0).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
