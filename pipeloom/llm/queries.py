@@ -96,6 +96,17 @@ SELECT q.pair_id, chosen_id, rejected_id, CAST(s AS INTEGER) AS prompt_turns, sh
 FROM shared q LEFT JOIN prompts USING (pair_id) LEFT JOIN rest a ON a.pair_id = q.pair_id AND a.side = 0 LEFT JOIN rest b ON b.pair_id = q.pair_id AND b.side = 1
 """
 
+#: Words covered by a window of 20 words that also starts earlier are removed.
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, unnest(list_transform(range(1, len(ws) - 18), lambda s: array_to_string(ws[s:s + 19], ' '))) AS body FROM w),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM ranked WHERE r > 1),
+placed AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS body FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 #: Content-defined chunks of lines; those of two lines or more that occur before are cut out.
 OP6_SQL = """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -126,4 +137,4 @@ FROM (SELECT doc_id, source, text, unnest(range(0, len(list_filter(cs, lambda x:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": op2_sql(), "op9_chat_preferences": OP9_SQL, "op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_license_scan": op2_sql(), "op9_chat_preferences": OP9_SQL, "op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
