@@ -15,6 +15,14 @@ from pipeloom.llm.common import discard, materialise, ship_code
 from pipeloom.llm.queries import VOCABULARY
 
 
+def one_per_text(docs: DataFrame) -> DataFrame:
+    """Of rows with equal text the one with the smallest id, a null id last.  Rows with null text all stay."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *rest)).alias("row")
+    kept = docs.where(F.col("text").isNotNull()).groupBy("text").agg(first).select("text", "row.*").select(*docs.columns)
+    return kept.unionByName(docs.where(F.col("text").isNull()))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; the others (null, or without letters) go."""
     ship_code(spark)
@@ -64,9 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again.
+
+    Exact copies go before the first stage.  ``dedup_lines`` keeps one-line chunks, so
+    of a copy with several lines it would leave scattered lines that resemble no other
+    document; the stages by themselves, as in ``STAGES``, do that.
+    """
+    ship_code(spark)
+    docs = materialise(one_per_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), "one-per-text")
     for name, stage in STAGES[:-1]:
         before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(before)  # of the input, which isn't ours, nothing is deleted
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
