@@ -155,25 +155,28 @@ def parser_of(samples: list[tuple[str, bytes]]) -> Parser:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> list[tuple[str, bytes]]:
-    """The bounded training sample: per language the rows first in a hash order, up to ``train_rows`` rows and ``train_bytes`` bytes.
+    """The bounded training sample: per language the distinct texts first in a hash order, up to ``train_rows`` texts and ``train_bytes`` bytes.
 
-    Only training is bounded so; prediction reads whole texts.
+    Only training is bounded so; prediction reads whole texts.  A language whose
+    texts have no letters has no sample.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     rows = usable.select(F.col(lang_col).alias("l"), F.substring(text_col, 1, train_chars).alias("t")).withColumn("k", F.xxhash64("t"))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(TRAIN_LANGUAGES).collect()
-    # of each language about 4 x train_rows rows, whatever the corpus size; copies of a text count once
-    chance = F.lit(0)
-    for lang, n in counts:
-        chance = F.when(F.col("l") == lang, F.lit(n)).otherwise(chance)
-    drawn = rows.where((chance > 0) & (F.pmod(F.xxhash64("t", F.lit("cut")), F.greatest(chance, F.lit(1))) < 4 * train_rows)).distinct()
-    texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang, _ in counts}
+    counted = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("k").alias("n_texts"))
+    counts = counted.orderBy(F.desc("n"), "l").limit(TRAIN_LANGUAGES).collect()
+    # of each language about 4 x train_rows texts, whatever the corpus size and the number of copies; the first train_rows are among them
+    last = F.lit(None).cast("long")
+    for lang, _, n_texts in counts:
+        last = F.when(F.col("l") == lang, F.lit(min(2**63 - 1, -(2**63) + 2**64 * 4 * train_rows // max(1, n_texts)))).otherwise(last)
+    drawn = rows.where(F.col("k") <= last).distinct()
+    texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang, _, _ in counts}
     for lang, text, k in drawn.collect():
         texts[lang].append((k, text))
     samples = []
     for lang in sorted(texts):
         data = b"".join(normalise(text).tobytes() + b"\0" for _, text in sorted(texts[lang])[:train_rows])
-        samples.append((lang, data[:train_bytes]))
+        if any(data[:train_bytes]):
+            samples.append((lang, data[:train_bytes]))
     return samples
 
 
