@@ -3,8 +3,10 @@
 For each language a suffix automaton of labelled text is built.  A text is parsed
 greedily into phrases, each the longest match of what comes next with anything in
 that language's training text.  Few phrases mean text like the training text:
-phrases x log2(training length) / length of the text estimates the cross entropy
-in bits a byte, and the language with the least wins.
+phrases x log2(longest training length) / length of the text estimates the cross
+entropy in bits a byte, and the language with the least wins.  A phrase costs the
+same in every language: were it cheaper with little training text, a sample of a
+few bytes would win nearly every document with a phrase for each byte.
 
 Parsing runs over whole texts in lockstep: texts are cut into segments, every
 segment and language is one lane, and a step moves all lanes by one byte through a
@@ -88,12 +90,14 @@ class Parser:
     """The automata of all languages as one table; entry: next state x width, negative where a phrase ends first."""
 
     def __init__(self, samples: list[tuple[str, bytes]]):
+        samples = [(name, sample) for name, sample in samples if any(sample)]
         self.languages = [name for name, _ in samples]
         used = sorted({c for _, s in samples for c in s})
         self.alphabet = np.full(256, len(used), np.int64)
         self.alphabet[used] = np.arange(len(used))
         self.width = width = len(used) + 1
-        parts, self.starts, self.bits, base = [], [], [], 0
+        self.bits = np.log2(max([2, *(len(s) for _, s in samples)]))
+        parts, self.starts, base = [], [], 0
         for _, sample in samples:
             moves = suffix_automaton([int(c) for c in self.alphabet[np.frombuffer(sample, np.uint8)]])
             restart = np.full(width, base * width, np.int64)
@@ -105,7 +109,6 @@ class Parser:
                     table[state, code] = (base + to) * width
             parts.append(table.astype(np.int32).reshape(-1))
             self.starts.append(base * width)
-            self.bits.append(np.log2(max(2, len(sample))))
             base += len(moves)
         self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
@@ -184,7 +187,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str =
     """All columns of ``docs`` plus lang_pred and score (0 to 1: how far the runner-up's entropy is above the winner's).
 
     Null text, text without letters and an empty training sample give ``und`` with
-    score 0.  Ties go to the language first in name order.  Only the text is looked
+    score 0.  A language whose own sample is empty never wins.  Ties go to the language first in name order.  Only the text is looked
     at.  Where ``docs`` has columns of these names the new ones get underscores.
     """
     name, score = fresh(docs, "lang_pred", "score")
@@ -204,7 +207,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str =
                     texts.append(normalise(text) if text and any(map(str.isalpha, text)) else np.zeros(0, np.uint8))
                     mass += len(texts[-1])
                     hi += 1
-                bits = parser.phrases(texts) * np.array(parser.bits)
+                bits = parser.phrases(texts) * parser.bits
                 for text, row in zip(texts, bits, strict=True):
                     if not len(text) or not len(row):
                         names.append(UNDETERMINED)

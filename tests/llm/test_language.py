@@ -38,3 +38,26 @@ def test_the_sample_is_first_in_hash_order(spark):
 def test_labels_without_letters_have_no_sample(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "123", "zz"), (3, "-- 4", "zz"), (4, "", "yy")]
     assert [name for name, _ in language.train(spark.createDataFrame(rows, SCHEMA))] == ["en"]
+
+
+@pytest.mark.parametrize("rare", [[("ok", 1)], [("123", 1)], [("The", 1)], [("ok then", 5_000)]])
+def test_a_rare_label_wins_no_other_documents(spark, real, rare):
+    rows = [*real, *((10**6 + k, text, "zz") for text, times in rare for k in range(times))]
+    samples = language.train(spark.createDataFrame(rows, SCHEMA))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(real, SCHEMA).select("doc_id", "text"), samples).collect()}
+    assert sum(found[i] == lang for i, t, lang in real if t and any(map(str.isalpha, t))) >= 0.97 * len(real)
+
+
+def test_an_empty_sample_never_wins(spark, real):
+    samples = language.train(spark.createDataFrame(real, SCHEMA))
+    docs = spark.createDataFrame(real, SCHEMA).select("doc_id", "text")
+    with_empty = language.identify(docs, [*samples, ("zz", b""), ("zy", b"\0")]).collect()
+    assert sorted(map(tuple, with_empty)) == sorted(map(tuple, language.identify(docs, samples).collect()))
+
+
+def test_a_language_with_little_text_is_still_found(spark, real):
+    samples = language.train(spark.createDataFrame(real, SCHEMA))
+    short = [(name, sample[:1_000] if name == "de" else sample) for name, sample in samples]
+    german = [(i, t) for i, t, lang in real if lang == "de" and t and any(map(str.isalpha, t))]
+    found = language.identify(spark.createDataFrame(german, "doc_id long, text string"), short).collect()
+    assert sum(r["lang_pred"] == "de" for r in found) >= 0.95 * len(german)
