@@ -40,11 +40,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates.
+
+    Of rows with equal text one stays, also where their ids are equal or null.  A row
+    with a null id resembles no other; only its exact copies go.
+    """
     ship_code(spark)
     found = shingles.near_duplicates(docs)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return one_per_text(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

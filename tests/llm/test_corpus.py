@@ -33,3 +33,13 @@ def test_of_planted_exact_copies_one_document_stays(spark, data, real, tmp_path,
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     planted = sorted((row["doc_id"] or -1, row["text"]) for row in found if row["doc_id"] is None or row["doc_id"] >= 10_000)
     assert planted == [(10_000 + k, t) for k, t in enumerate(texts)]
+
+
+def test_rows_with_equal_ids_and_with_null_ids_stay_once(spark, data):
+    r = random.Random(8)
+    a, b, c, d = (invented(r, 3) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, c), (None, c), (None, b), (4, d)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    assert found.columns == docs.columns
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in found.collect()) == [(-1, c), (1, a), (3, b), (4, d)]
