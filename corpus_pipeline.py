@@ -24,9 +24,14 @@ def one_per_text(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; the others (null, or without letters) go."""
+    """Documents whose language is determined; the others (null, or without letters) go.
+
+    Where no training row has a label, all documents with letters stay.
+    """
     ship_code(spark)
     samples = language.train(docs.where(~language.held_out()))
+    if not samples:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, samples)
     return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
 

@@ -157,16 +157,17 @@ def parser_of(samples: list[tuple[str, bytes]]) -> Parser:
     return _parsers[key]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> list[tuple[str, bytes]]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_languages: int = TRAIN_LANGUAGES) -> list[tuple[str, bytes]]:
     """The bounded training sample: per language the distinct texts first in a hash order, up to ``train_rows`` texts and ``train_bytes`` bytes.
 
-    Only training is bounded so; prediction reads whole texts.  A language whose
+    Only the ``train_languages`` labels with the most rows are learnt; documents of others
+    get one of those.  Only training is bounded so; prediction reads whole texts.  A language whose
     texts have no letters has no sample.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     rows = usable.select(F.col(lang_col).alias("l"), F.substring(text_col, 1, train_chars).alias("t")).withColumn("k", F.xxhash64("t"))
     counted = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("k").alias("n_texts"))
-    counts = counted.orderBy(F.desc("n"), "l").limit(TRAIN_LANGUAGES).collect()
+    counts = counted.orderBy(F.desc("n"), "l").limit(train_languages).collect()
     # of each language about 4 x train_rows texts, whatever the corpus size and the number of copies; the first train_rows are among them
     last = F.lit(None).cast("long")
     for lang, _, n_texts in counts:

@@ -43,3 +43,10 @@ def test_rows_with_equal_ids_and_with_null_ids_stay_once(spark, data):
     found = corpus_pipeline.drop_near_duplicates(spark, docs, data)
     assert found.columns == docs.columns
     assert sorted((x["doc_id"] or -1, x["text"]) for x in found.collect()) == [(-1, c), (1, a), (3, b), (4, d)]
+
+
+def test_without_labels_documents_stay(spark, data):
+    rows = [(1, "The cat.", None), (2, "日本語", None), (3, "12 !", None), (4, "", None), (5, None, None), (None, "ok", None), (6, "7", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "src0", 1) for i, t, lang in rows], SCHEMA)
+    found = corpus_pipeline.identify_language(spark, docs, data)
+    assert found.columns == docs.columns and sorted(x["text"] for x in found.collect()) == ["The cat.", "ok", "日本語"]

@@ -61,3 +61,8 @@ def test_a_language_with_little_text_is_still_found(spark, real):
     german = [(i, t) for i, t, lang in real if lang == "de" and t and any(map(str.isalpha, t))]
     found = language.identify(spark.createDataFrame(german, "doc_id long, text string"), short).collect()
     assert sum(r["lang_pred"] == "de" for r in found) >= 0.95 * len(german)
+
+
+def test_the_number_of_languages_is_a_parameter(spark, real):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "a c", "x"), (3, "b b", "y"), (4, "c c", "w")], SCHEMA)
+    assert [name for name, _ in language.train(docs, train_languages=2)] == ["w", "x"]
