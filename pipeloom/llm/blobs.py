@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-#: Column types of an occurrence: its hash, its document's id, its place there, and a flag.
-OCCURRENCE = (("h", np.uint64), ("doc", np.int64), ("pos", np.int32), ("flag", np.uint8))
-PLACE = OCCURRENCE[1:3]
+#: Column types of an occurrence: its hash in 128 bits, its document's id, its place there, and a flag.
+OCCURRENCE = (("h", np.uint64), ("g", np.uint64), ("doc", np.int64), ("pos", np.int32), ("flag", np.uint8))
+#: A repeated place, its class, and whether the class occurs earlier.
+PLACE = (("doc", np.int64), ("pos", np.int32), ("h", np.uint64), ("flag", np.uint8))
 
 
 def pack(columns: dict[str, np.ndarray], kinds: tuple) -> bytes:
@@ -43,14 +44,24 @@ def take(columns: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray
     return {name: c[at] for name, c in columns.items()}
 
 
+def concat(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
 def by_hash(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The columns sorted by (hash, document, place), and True where a new hash begins."""
-    at = np.lexsort((columns["pos"], columns["doc"], columns["h"]))
+    """The columns sorted by (hash, document, place), equal ones once, and True where a new hash begins."""
+    at = np.lexsort((columns["pos"], columns["doc"], columns["g"], columns["h"]))
     columns = take(columns, at)
-    h = columns["h"]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    return columns, new
+    new = np.ones(len(at), bool)
+    new[1:] = (columns["h"][1:] != columns["h"][:-1]) | (columns["g"][1:] != columns["g"][:-1])
+    own = new.copy()
+    own[1:] |= (columns["doc"][1:] != columns["doc"][:-1]) | (columns["pos"][1:] != columns["pos"][:-1])
+    if own.all():
+        return columns, new
+    starts = np.flatnonzero(own)
+    once = take(columns, starts)
+    once["flag"] = np.maximum.reduceat(columns["flag"], starts)
+    return once, new[starts]
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:

@@ -6,19 +6,24 @@ Intermediate tables are written below the folder that the session names in
 
 from __future__ import annotations
 
+import contextlib
 import functools
-import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of an Arrow batch between JVM and Python.
-ARROW_BATCH = "16m"
+#: Bytes of an Arrow batch between JVM and Python, unless the session sets its own.
+ARROW_BATCH, BATCH_SETTING = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Removes a finished query's shuffle files.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Work is dealt into parts of about so many bytes, however large the input is.
+PART_BYTES = 32 << 20
 
 
 def with_code(query):
@@ -43,35 +48,47 @@ def ship_code(spark: SparkSession) -> None:
                 out.write(source, source.relative_to(package.parent))
         context.addPyFile(str(archive))
         context.pipeloom_shipped = True
-    # bounds what the JVM and a worker hold of a table at a time, however long its rows
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    # bounds what the JVM and a worker hold of a table at a time, however long its rows; lazy results need it after this call
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, ARROW_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables.  A temporary one is set only where the session names none."""
+    """The folder for intermediate tables.  Only on a local master, where all share one disk, a temporary one is set if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pipeloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """``value`` of a setting while the block runs, then what was there before."""
+    before = spark.conf.getAll.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and is computed once."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, is computed once, and leaves no shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP_SETTING, "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished steps: it acts on what the driver has collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialise`; only for tables that no later plan reads."""
     path = getattr(df, "materialised_at", None)
@@ -89,6 +106,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def parts_of(spark: SparkSession, size: int | None) -> int:
+    """Into how many parts ``size`` bytes are dealt: by their number, and no fewer than the session's shuffle partitions."""
+    return max(shuffle_partitions(spark), -(-(size or 0) // PART_BYTES))
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` in at least ``parts`` partitions by ``keys``; up to the session's number the next operator's own exchange does it."""
+    return df.repartition(parts, *keys) if parts > shuffle_partitions(df.sparkSession) else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash (ignoring case) with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectors
-from .common import connected_components, discard, materialise, release, shuffle_partitions
+from .common import connected_components, discard, materialise, shuffle_partitions
 from .shingles import forest
 
 THRESHOLD = 0.93
@@ -150,7 +150,6 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     found = materialise(carried.groupBy("task").applyInArrow(linked, "a long, b long, n long, edge boolean"), "links")
     for done in (known, sizes):
         discard(done)
-    release(spark)
     counts = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("edge"), "a", "b")
     per_rep = reps.select("label", "data", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("node"), "left")

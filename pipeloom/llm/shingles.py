@@ -3,12 +3,10 @@
 Documents are sets of word shingles; two link when their Jaccard similarity is at
 least ``percent`` in a hundred.  The steps, each over all documents:
 
-1. Equal sets collapse to their smallest document (a digest, pre-aggregated).
-2. Each set's ``SKETCH`` smallest shingle hashes are its keys.  The smallest hashes
-   of a union are a uniform sample of it, so linked sets share at least
-   ``least_shared`` keys: certain up to about 100 shingles, and beyond with a miss
-   probability below 1e-11 a pair.  Sets with fewer keys that anyone shares can't
-   link and end here.
+1. Equal sets collapse to their smallest document (a 128-bit digest, pre-aggregated).
+2. Each set's smallest shingle hashes are its keys, so many that two linked sets are
+   certain to share ``least_shared`` of them, whatever their sizes (see ``key_count``).
+   Sets with fewer keys that any other set has can't link and end here.
 3. The sets that share a key form a group.  In a group a *signature tree* is built:
    its leaves are sets, its nodes hold OR-combined bitmaps and size ranges, and a
    dual traversal drops every pair of nodes whose greatest possible overlap is too
@@ -19,13 +17,18 @@ least ``percent`` in a hundred.  The steps, each over all documents:
 4. Pairs that come through are compared exactly, shingle by shingle, in two rounds.
    The first takes a spanning forest of each group, most similar pairs first; its
    links give components.  The second judges *all* remaining pairs between
-   different components where their sets meet, and reports links that span them:
-   no link between components is lost, and thousands of near copies never become
-   millions of rows.
+   different components where their sets meet, and reports links that span them.
+   There a large group is split by component and by range of sizes first, so that
+   sets which are linked already, or too unlike in size, never meet: no link between
+   components is lost, and thousands of near copies never become millions of rows.
+
+Shingles are compared by 64-bit hashes that no structure of words makes collide (see
+``words``), and only between sets that meet; equal sets by 128 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,46 +38,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, words
-from .common import connected_components, discard, materialise, release, shuffle_partitions
-from .substrings import MOVED, doc_ids, group_column, rows, slices
+from .common import connected_components, dealt, discard, materialise, parts_of
+from .substrings import MOVED, doc_ids, group_column, slices, table_of
 
 SHINGLE, PERCENT = 5, 75
-#: Keys of a set; shared keys that a link must have, for sets too large for certainty.
-SKETCH, LIKELY_SHARED = 48, 14
-#: Largest group joined in one task, by bitmaps and by sets; larger ones are dealt into blocks.
-BLOCK, WHOLE_BLOCK = 512, 1536
+#: Of the shingles that a link must have in common, this fraction is looked for among the keys.
+SHARE = 1 / 8
+#: Largest block of a group that meets another one in a task, by bitmaps and by sets.
+BLOCK, WHOLE_BLOCK = 512, 512
 FANOUT = 8
 #: Bits a shingle of the bitmaps that travel, and of those made where the sets are at hand.
 NARROW, WIDE = 4, 16
-#: Columns of a 0/1 matrix, and pairs of nodes, that are at hand at a time.
-COLUMNS, PAIRS = 2048, 32_768
-KEYS = (("h", np.uint64), ("doc", np.int64), ("set", np.uint64))
-FACTS = (("doc", np.int64), ("n", np.int32), ("set", np.uint64), ("more", np.uint64))
-SHARED = (("doc", np.int64), ("h", np.uint64))
-
-
-def sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a shorter text is one shingle, one without words none."""
-    hashes, first = words.words(texts, fold=True)
-    grams = words.ngrams(hashes, size)
-    out = []
+#: Columns of a 0/1 matrix, and pairs of nodes, that are at hand at a time; keys that are packed at a time.
+COLUMNS, PAIRS, PACKED = 2048, 32_768, 1_000_000
+#: Kinds of moved rows: keys by range of hashes, shared keys by group of documents, facts.
+KEY, SHARED_KEY, FACT = 0, 1, 2
+KEYS = (("h", np.uint64), ("doc", np.int64), ("set", np.uint64), ("named", np.uint8))
+FACTS = (("doc", np.int64), ("n", np.int32), ("set", np.uint64), ("more", np.uint64), ("named", np.uint8))
+SHARED = (("doc", np.int64), ("h", np.uint64), ("times", np.int32))
+
+
+def sets(texts: pa.Array, size: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """(sorted distinct shingle hashes of each text; a 128-bit digest of each set).  A shorter text is one shingle, one without words none."""
+    hashes, first = words.words(texts, fold=True, keys=2)
+    grams, more = words.ngrams(hashes[0], size), words.ngrams(hashes[1], size, 5)
+    out, digests = [], []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
+            found, at = np.unique(grams[a : b - size + 1], return_index=True)
+            second = more[a : b - size + 1][at]
         elif b > a:
-            out.append(words.ngrams(hashes[a:b], b - a, b - a))
+            found, second = words.ngrams(hashes[0, a:b], b - a, b - a), words.ngrams(hashes[1, a:b], b - a, b - a)
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            found = second = np.zeros(0, np.uint64)
+        out.append(found)
+        digests.append((xxhash.xxh3_64_intdigest(found.tobytes()), xxhash.xxh3_64_intdigest(second.tobytes(), 1)))
+    return out, digests
+
+
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` has in common with any set that it links to."""
+    return -(-n * percent // 100)
 
 
 def least_shared(n: int, percent: int) -> int:
     """Keys that a set of ``n`` shingles shares with any set that it links to."""
-    overlap = -(-n * percent // 100)
-    union = n * 100 // percent
-    if union <= SKETCH:
-        return overlap
-    return max(LIKELY_SHARED if percent >= 75 else 1, min(overlap, SKETCH - (union - overlap)), 1)
+    return math.ceil(least_overlap(n, percent) * SHARE)
+
+
+def key_count(n: int, percent: int) -> int:
+    """How many of the smallest hashes are keys.
+
+    Let o be ``least_overlap`` and l ``least_shared``.  n - o + l keys leave out
+    o - l shingles.  Two linked sets have v >= both o in common; of the v, sorted,
+    each set's keys hold all but the last o - l at most, so both hold the first
+    v - max(o - l) >= l.  (l and o - l never fall as n grows.)
+    """
+    return n - least_overlap(n, percent) + least_shared(n, percent)
 
 
 def bitmap(found: np.ndarray, bits_each: int = NARROW) -> np.ndarray:
@@ -93,20 +113,21 @@ def fold(signature: np.ndarray, width: int) -> np.ndarray:
 class Tree:
     """Levels of nodes over one block of sets, the leaves (single sets, sorted by size) first."""
 
-    def __init__(self, n: np.ndarray, signatures: np.ndarray):
+    def __init__(self, n: np.ndarray, signatures: np.ndarray, comp: np.ndarray):
         bits = np.bitwise_count(signatures).sum(axis=1, dtype=np.int64)
-        #: Per level: OR-combined bitmaps, least and greatest size, most shingles beyond the bits set.
-        self.levels = [(signatures, n, n, n - bits)]
+        #: Per level: OR-combined bitmaps, least and greatest size, most shingles beyond the bits set, least and greatest component.
+        self.levels = [(signatures, n, n, n - bits, comp, comp)]
         while len(self.levels[-1][1]) > 1:
-            ors, low, high, beyond = self.levels[-1]
-            at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(ors, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(beyond, at)))
+            at = np.arange(0, len(self.levels[-1][1]), FANOUT)
+            combine = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            self.levels.append(tuple(f.reduceat(x, at, axis=0) for f, x in zip(combine, self.levels[-1], strict=True)))
 
 
 def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of nodes may hold a link, and the overlap that is possible at most."""
-    (ors_a, low_a, high_a, beyond_a), (ors_b, low_b, high_b, beyond_b) = a, b
+    """The overlap that is possible at most of pairs of nodes that may hold a link between two components, else -1."""
+    (ors_a, low_a, high_a, beyond_a, *comps_a), (ors_b, low_b, high_b, beyond_b, *comps_b) = a, b
     fits = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
+    fits &= (comps_a[0][i] != comps_b[1][j]) | (comps_a[1][i] != comps_b[0][j])
     most = np.zeros(len(i), np.int64)
     at = np.flatnonzero(fits)
     for lo in range(0, len(at), 8_192):
@@ -216,11 +237,9 @@ def join_group(left: dict, right: dict | None, percent: int, every: bool) -> tup
     trees = []
     for part, bitmaps, _ in parts:
         signatures = np.stack([fold(x, width) for x in bitmaps])
-        trees.append(Tree(part["n"], np.ascontiguousarray(signatures).view(np.uint64)))
+        trees.append(Tree(part["n"], np.ascontiguousarray(signatures).view(np.uint64), part["comp"]))
     (a, _, sets_a), (b, _, sets_b) = parts[0], parts[-1]
     i, j, most = candidates(trees[0], trees[-1], percent, right is None)
-    keep = (a["doc"][i] != b["doc"][j]) & (a["comp"][i] != b["comp"][j])
-    i, j, most = i[keep], j[keep], most[keep]
     total = a["n"][i] + b["n"][j]
     if every:
         most = overlaps(sets_a, sets_b, i, j)
@@ -281,126 +300,159 @@ def compare(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(linked, "a long, b long")
 
 
+def blocks(labelled: DataFrame, percent: int) -> DataFrame:
+    """(token, doc, comp, i, j, side): which blocks of a group meet, for the rows (token, size, doc, n, comp) of groups that span components.
+
+    A group of up to ``WHOLE_BLOCK`` sets is one block.  A larger one is dealt by
+    component (those of more than a block) and by range of sizes, each range as wide
+    as a link allows, into blocks; a block meets those of its own and the next range,
+    but none of its own component.
+    """
+    small = labelled.where(F.col("size") <= WHOLE_BLOCK).select("token", "doc", "comp", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    large = labelled.where(F.col("size") > WHOLE_BLOCK)
+    big = large.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("of_comp")).where(F.col("of_comp") > WHOLE_BLOCK).select("token", "comp", F.col("comp").alias("tag"))
+    step = math.log(100 / percent) * 1.0001 if percent < 100 else 0.0001
+    ranged = large.join(big, ["token", "comp"], "left").withColumn("range", F.floor(F.log("n") / step))
+    place = ["token", "tag", "range"]
+    many = ranged.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / WHOLE_BLOCK).cast("long").alias("blocks"))
+    same = (F.col("r.token") == F.col("m.token")) & F.col("r.tag").eqNullSafe(F.col("m.tag")) & (F.col("r.range") == F.col("m.range"))
+    dealt_to = F.pmod(F.xxhash64("r.token", "doc"), F.col("blocks"))
+    ranged = ranged.alias("r").join(many.alias("m"), same).select(*(f"r.{c}" for c in place), "doc", "comp", F.xxhash64("r.tag", "r.range", dealt_to).alias("block"))
+    ranged = materialise(ranged, "ranged")  # read several times
+    found = ranged.select(*place, "block").distinct()
+    a = found.select("token", F.col("tag").alias("tag_a"), F.col("block").alias("i"), F.col("range").alias("range_a"), F.explode(F.array("range", F.col("range") + 1)).alias("range"))
+    b = found.select("token", F.col("tag").alias("tag_b"), F.col("block").alias("j"), "range")
+    meet = a.join(b, ["token", "range"]).where("(range_a < range OR i <= j) AND (tag_a IS NULL OR tag_b IS NULL OR tag_a != tag_b)").select("token", "i", "j")
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))
+    tasks = meet.select("token", "i", "j", F.explode(sides).alias("x")).select("token", "i", "j", "x.*")
+    return small.unionByName(ranged.join(tasks, ["token", "block"]).select("token", "doc", "comp", "i", "j", "side"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included), set_id (smallest id with an equal set).
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links, itself included), set_id (smallest id with an equal set).
 
     A-Z count as a-z; words are longest runs of bytes other than 0x20 and
     0x09-0x0D.  Null text and text without words have no shingles and link with
-    nothing.  Ids are integers and name one text each; a repeated row gives
-    repeated results; a null id gives nulls; other columns
-    are not read; an empty table gives no rows.
+    nothing.  Ids are integers.  A repeated row gives repeated results; rows of one id
+    with different texts are one document that has the links of all of them; a row
+    with a null id links with nothing and has null component_id and set_id; other
+    columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    deal = shuffle_partitions(spark)
-    buckets, groups = deal, 2 * deal
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
+    parts = parts_of(spark, source.agg(F.sum(F.octet_length("body"))).first()[0])
+
+    def packed(sent: dict) -> list[tuple[int, int, bytes]]:
+        """A batch's keys, one for each key and set."""
+        sent = blobs.take(sent, np.lexsort((sent["doc"], sent["set"], sent["h"])))
+        new = np.ones(len(sent["h"]), bool)
+        new[1:] = (sent["h"][1:] != sent["h"][:-1]) | (sent["set"][1:] != sent["set"][:-1])
+        sent = blobs.take(sent, np.flatnonzero(new))
+        return [(KEY, *x) for x in blobs.split(sent, (sent["h"] % np.uint64(1 << 40) >> np.uint64(8)).astype(np.int64) % parts, KEYS)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, 1):
-                ids, found = doc_ids(part.column(0)), sets(part.column(1), shingle)
-                digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in found]
-                low = np.array([d & (2**64 - 1) for d in digests], np.uint64)
-                facts = {"doc": ids, "n": np.array([len(s) for s in found], np.int32), "set": low, "more": np.array([d >> 64 for d in digests], np.uint64)}
-                owner = np.repeat(np.arange(len(found)), [min(SKETCH, len(s)) for s in found])
-                sent = {"h": np.concatenate([s[:SKETCH] for s in found]), "doc": ids[owner], "set": low[owner]}
-                order = np.lexsort((sent["doc"], sent["set"], sent["h"]))
-                sent = blobs.take(sent, order)
-                new = np.ones(len(order), bool)
-                new[1:] = (sent["h"][1:] != sent["h"][:-1]) | (sent["set"][1:] != sent["set"][:-1])
-                sent = blobs.take(sent, np.flatnonzero(new))
-                out = [(0, *x) for x in blobs.split(sent, (sent["h"] >> np.uint64(20)).astype(np.int64) % buckets, KEYS)]
-                out.append((2, 0, blobs.pack(facts, FACTS)))
-                yield rows(*map(list, zip(*out, strict=True)))
-
-    first = materialise(source.mapInArrow(keys, MOVED), "keys")
+                ids, (found, digests) = doc_ids(part.column(0)), sets(part.column(1), shingle)
+                named = part.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+                low = np.array([d[0] for d in digests], np.uint64)
+                facts = {"doc": ids, "n": np.array([len(s) for s in found], np.int32), "set": low, "more": np.array([d[1] for d in digests], np.uint64), "named": named}
+                counts = [key_count(len(s), percent) if k else 0 for s, k in zip(found, named, strict=True)]
+                owner = np.repeat(np.arange(len(found)), counts)
+                held.append({"h": np.concatenate([s[:k] for s, k in zip(found, counts, strict=True)]), "doc": ids[owner], "set": low[owner], "named": named[owner]})
+                size += len(owner)
+                yield table_of([(FACT, int(blobs.group_of(ids[:1], parts)[0]), blobs.pack(facts, FACTS))])
+                if size >= PACKED:
+                    yield table_of(packed(blobs.concat(held)))
+                    held, size = [], 0
+        if size:
+            yield table_of(packed(blobs.concat(held)))
+        blobs.tidy()
 
     def shared(table: pa.Table) -> pa.Table:
+        """Keys of two different sets or more, with their number of sets, at the smallest document of each."""
+        if table.column("kind")[0].as_py() != KEY:
+            return table
         found = blobs.unpack(table.column("data").to_pylist(), KEYS)
-        order = np.lexsort((found["doc"], found["set"], found["h"]))
-        found = blobs.take(found, order)
-        new = np.ones(len(order), bool)
+        found = blobs.take(found, np.lexsort((found["doc"], found["set"], found["h"])))
+        new = np.ones(len(found["h"]), bool)
         new[1:] = (found["h"][1:] != found["h"][:-1]) | (found["set"][1:] != found["set"][:-1])
-        found = blobs.take(found, np.flatnonzero(new))  # one for each distinct set: its smallest document
+        found = blobs.take(found, np.flatnonzero(new))
         _, at, times = np.unique(found["h"], return_inverse=True, return_counts=True)
-        found = blobs.take(found, np.flatnonzero(times[at] > 1) if len(at) else at)
-        out = [(1, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), SHARED)]
-        return pa.Table.from_batches([rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])])
-
-    alive = first.where("kind = 0").groupBy("key").applyInArrow(shared, MOVED).select("key", "data")
-    kept_schema = "doc long, n long, least int, signature binary, shingles binary, tokens array<long>"
-
-    def survivors(texts: pa.Table, places: pa.Table) -> pa.Table:
-        found = blobs.unpack(places.column("data").to_pylist(), SHARED)
-        order = np.lexsort((found["h"], found["doc"]))
-        docs_of, tokens_of = found["doc"][order], found["h"][order]
-        texts = texts.filter(pa.array(np.isin(doc_ids(texts.column("doc").combine_chunks()), docs_of)))
-        out: dict[str, list] = {"doc": [], "n": [], "least": [], "signature": [], "shingles": [], "tokens": []}
-        seen: set[int] = set()
+        alive = np.flatnonzero(times[at] > 1) if len(at) else at
+        out = {"doc": found["doc"][alive], "h": found["h"][alive], "times": times[at][alive] if len(at) else at}
+        return pa.Table.from_batches([table_of([(SHARED_KEY, *x) for x in blobs.split(out, blobs.group_of(out["doc"], parts), SHARED)])])
+
+    first = materialise(dealt(source.mapInArrow(keys, MOVED), parts, "kind", "key").groupBy("kind", "key").applyInArrow(shared, MOVED), "keys")
+    kept_schema = "doc long, n long, signature binary, shingles binary, tokens array<long>"
+
+    def survivors(texts: pa.Table, moved: pa.Table) -> pa.Table:
+        found = blobs.unpack(moved.column("data").to_pylist(), SHARED)
+        # rarest first: a link shares `least` keys, so it shares one of the rarest (keys - least + 1) of either side, and hot keys fall away
+        found = blobs.take(found, np.lexsort((found["h"], found["times"], found["doc"])))
+        texts = texts.filter(pa.array(np.isin(doc_ids(texts.column("doc").combine_chunks()), found["doc"])))
+        out: dict[str, list] = {"doc": [], "n": [], "signature": [], "shingles": [], "tokens": []}
+        seen: set[tuple] = set()
         for batch in texts.combine_chunks().to_batches():
             for part in slices(batch, 1):
-                for doc, s in zip(part.column(0).to_pylist(), sets(part.column(1), shingle), strict=True):
-                    own = tokens_of[np.searchsorted(docs_of, doc, "left") : np.searchsorted(docs_of, doc, "right")]
+                for doc, s, digest in zip(part.column(0).to_pylist(), *sets(part.column(1), shingle), strict=True):
+                    if doc is None or (doc, *digest) in seen:
+                        continue
+                    own = found["h"][np.searchsorted(found["doc"], doc, "left") : np.searchsorted(found["doc"], doc, "right")]
+                    own = own[np.isin(own, s[: key_count(len(s), percent)])]
                     least = least_shared(len(s), percent)
-                    if len(own) >= least and len(s) and doc not in seen:
-                        seen.add(doc)
-                        for name, value in (("doc", doc), ("n", len(s)), ("least", least), ("signature", bitmap(s).tobytes()), ("shingles", s.tobytes()), ("tokens", own.view(np.int64))):
+                    if len(s) and len(own) >= least:
+                        seen.add((doc, *digest))
+                        for name, value in (("doc", doc), ("n", len(s)), ("signature", bitmap(s).tobytes()), ("shingles", s.tobytes()), ("tokens", own[: len(own) - least + 1].view(np.int64))):
                             out[name].append(value)
-        kinds = {"doc": pa.int64(), "n": pa.int64(), "least": pa.int32(), "signature": pa.binary(), "shingles": pa.binary(), "tokens": pa.list_(pa.int64())}
+        kinds = {"doc": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "shingles": pa.binary(), "tokens": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    grouped = source.withColumn("key", group_column(F.col("doc"), groups))
-    known = materialise(grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(survivors, kept_schema), "survivors")
-    release(spark)
-    tokens = known.select("doc", F.explode("tokens").alias("token"))
-    # sizes and names are written, so that both sides of their joins are plain exchanges, which AQE splits at hot keys
-    sizes = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key-sizes")
-    # a link shares `least` keys, so it shares one of the rarest (keys - least + 1) of either side: hot keys fall away
-    keyed = tokens.join(sizes, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("ks"))  # SKETCH keys at most
-    rarest = keyed.join(known.select("doc", "least"), "doc").where("size(ks) >= least").select("doc", F.explode(F.expr("slice(ks, 1, size(ks) - least + 1)")).alias("k")).select("doc", "k.token")
+    texts = dealt(source.where(F.col("doc").isNotNull()).withColumn("key", group_column(F.col("doc"), parts)), parts, "key")
+    alive = dealt(first.where(F.col("kind") == SHARED_KEY).select("key", "data"), parts, "key")
+    known = materialise(texts.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(survivors, kept_schema), "survivors")
+    rarest = known.select("doc", F.explode("tokens").alias("token")).distinct()
     each = F.xxhash64("doc")
     # keys with the same members (count and two sums of hashes agree) are one group, named by the smallest
     members = rarest.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(each.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("size > 1")
+    # written, so that both sides of the join are plain exchanges, which AQE splits at hot keys
     named = materialise(members.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size"), "key-names")
     groups_of = materialise(rarest.join(named, "token").select("token", "size", "doc"), "groups")
 
-    def dealt(of: DataFrame, whole: bool) -> DataFrame:
-        """Rows per group and pair of blocks; ``whole``: pairs of different blocks too."""
-        blocks = F.ceil(F.col("size") / (WHOLE_BLOCK if whole else BLOCK)).cast("long")
-        b = F.pmod(F.xxhash64("token", "doc"), blocks)
-        own = F.array(F.struct(b.alias("i"), b.alias("j"), F.lit(0).alias("side")))
-        if whole:
-            later = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: k > b), lambda k: F.struct(b.alias("i"), k.alias("j"), F.lit(0).alias("side")))
-            earlier = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: k < b), lambda k: F.struct(k.alias("i"), b.alias("j"), F.lit(1).alias("side")))
-            own = F.concat(own, later, earlier)
-        spread = of.select("token", "doc", "comp", F.explode(own).alias("x")).select("token", "doc", "comp", "x.*")
-        signed = spread.join(known.select("doc", "n", F.col("shingles" if whole else "signature").alias("data")), "doc")
-        return signed.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets)))
-
-    pairs = materialise(group_pairs(dealt(groups_of.withColumn("comp", F.col("doc")), False), percent, False), "pairs")
+    def carried(spread: DataFrame, data: str) -> DataFrame:
+        signed = spread.join(known.select("doc", "n", F.col(data).alias("data")), "doc")
+        return signed.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4 * parts)))
+
+    own = F.pmod(F.xxhash64("token", "doc"), F.ceil(F.col("size") / BLOCK).cast("long"))
+    alone = groups_of.select("token", "doc", F.col("doc").alias("comp"), own.alias("i"), own.alias("j"), F.lit(0).alias("side"))
+    pairs = materialise(group_pairs(carried(alone, "signature"), percent, False), "pairs")
     links = materialise(compare(pairs, known, percent), "links")
-    release(spark)
     comps = connected_components(links, "a", "b")
     labelled = groups_of.join(comps, groups_of["doc"] == comps["node"], "left").select("token", "size", "doc", F.coalesce("component", "doc").alias("comp"))
     labelled = materialise(labelled, "labelled")
     open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
-    more = materialise(group_pairs(dealt(labelled.join(open_tokens, "token"), True), percent, True), "links")
-    release(spark)
-    final = connected_components(links.union(more), "a", "b")
-    for done in (known, sizes, named, groups_of, pairs, links, labelled, more):
-        discard(done)
+    sizes = known.select("doc", "n").distinct()
+    spread = blocks(labelled.join(open_tokens, "token").join(sizes, "doc"), percent)
+    more = materialise(group_pairs(carried(spread, "shingles"), percent, True), "links")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = blobs.unpack(batch.column(0).to_pylist(), FACTS)
-            yield pa.RecordBatch.from_arrays([pa.array(found["doc"]), pa.array(found["n"].astype(np.int64)), pa.array(found["set"].view(np.int64)), pa.array(found["more"].view(np.int64))], names=["doc", "n", "s1", "s2"])
-
-    facts = first.where("kind = 2").select("data").mapInArrow(told, "doc long, n long, s1 long, s2 long")
-    facts = materialise(facts, "facts")
-    discard(first)
-    same = materialise(facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("set_id")), "equal-sets")
-    with_set = facts.where("n > 0").join(same, ["n", "s1", "s2"]).select("doc", "n", "set_id")
+            named = found["named"].astype(bool)
+            columns = [pa.array(found["doc"], mask=~named), pa.array(found["n"].astype(np.int64)), pa.array(found["set"].view(np.int64)), pa.array(found["more"].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "s1", "s2"])
+
+    facts = materialise(first.where(F.col("kind") == FACT).select("data").mapInArrow(told, "doc long, n long, s1 long, s2 long"), "facts")
+    some = facts.where("n > 0 AND doc IS NOT NULL")
+    same = materialise(some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("set_id")), "equal-sets")
+    with_set = materialise(some.join(same, ["n", "s1", "s2"]).select("doc", "n", "set_id"), "sets-of-documents")
+    # rows of one id with different sets are one document
+    several = with_set.groupBy("doc").agg(F.min("set_id").alias("a"), F.max("set_id").alias("most")).where("a < most")
+    own_sets = with_set.join(several, "doc").select("a", F.col("set_id").alias("b")).where("a != b").distinct()
+    final = connected_components(links.union(more).union(own_sets), "a", "b")
     found = with_set.join(final, with_set["set_id"] == final["node"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")
-    none = facts.where("n = 0").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.col("doc").alias("set_id"))
-    unnamed = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("set_id"))
-    return found.unionByName(none).unionByName(unnamed)
+    none = facts.where("n = 0 OR doc IS NULL").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.col("doc").alias("set_id"))
+    for done in (first, known, named, groups_of, pairs, links, labelled, more, same):
+        discard(done)
+    return found.unionByName(none)

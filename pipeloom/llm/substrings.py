@@ -1,42 +1,49 @@
 """Exact substring dedup by level-wise doubling (operator 1).
 
-A window of ``min_words`` words can only repeat if every window of half that
-length inside it repeats.  So the first level judges windows of half the length,
-and only one per full window is needed: its anchor, the half-length window with
-the smallest hash inside it, stands at the same place in every copy.  Full
-windows whose anchor is unique are dropped; those that are left are extended to
-twice the length and judged exactly as such.  For removal nothing longer needs judging: every
-repeat beyond ``min_words`` words consists of repeated windows of ``min_words``.
-:func:`longest_repeats` goes on doubling until no candidate survives, which tells
-how long each document's repeats are.
+A window of words can only repeat if every window of half that length inside it
+repeats.  The levels:
+
+1. Half windows (10 words), of which one per full window is enough: its anchor, the
+   half window with the smallest hash inside it, stands at the same place in every
+   copy.  Full windows whose anchor is unique are dropped.
+2. Full windows (20 words) of repeated anchors are judged as such, by 128 bits of
+   hash under two keys.  These decide what is removed: every longer repeat consists
+   of repeated full windows.
+3. Windows that repeat are extended to twice their length as long as any survive: a
+   window of 2n words is the pair of its two halves, so its class follows from the
+   halves' classes alone and no text is read again.  They tell how long each
+   document's repeats are.
 
 Occurrences travel as packed lists (see ``blobs``): a batch of documents sends each
 hash at most once, so a passage that stands in a third of all documents costs one
-entry a batch.  Window hashes have 64 bits and are compared only among windows
-whose anchors (independent 64-bit hashes) repeat.
+entry a batch.  The number of lists, and of groups of documents, follows from the
+bytes of text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, words
 from .blobs import OCCURRENCE, PLACE
-from .common import discard, materialise, release, shuffle_partitions
+from .common import dealt, discard, materialise, parts_of
 
 MIN_WORDS = 20
-#: Batches hash this many bytes of text at a time.
-BATCH = 4_000_000
+#: Bytes of text that are hashed at a time, and occurrences that are packed at a time.
+BATCH, PACKED = 4_000_000, 2_000_000
 NULL_ID = -(2**63)
+#: Kinds of moved rows: occurrences to judge by range of hashes, places known to repeat by group of documents, longest levels by group.
+JUDGED, KNOWN, LONGEST = 0, 1, 2
 MOVED = "kind int, key long, data binary"
+LEVEL = (("doc", np.int64), ("size", np.int64))
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -74,26 +81,40 @@ def rows(kinds: list[int], keys: list[int], data: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["kind", "key", "data"])
 
 
-def sendable(sent: dict, known: dict, buckets: int, groups: int) -> pa.RecordBatch:
-    """Kind 0: occurrences to judge, by range of hashes.  Kind 1: places judged already, by group of documents."""
-    out = [(0, *x) for x in blobs.split(sent, (sent["h"] >> np.uint64(40)).astype(np.int64) % buckets, OCCURRENCE)]
-    out += [(1, *x) for x in blobs.split(known, blobs.group_of(known["doc"], groups), PLACE)]
-    return rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])
+def table_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return rows(*map(list, zip(*found, strict=True))) if found else rows([], [], [])
 
 
-def ordered(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[dict, np.ndarray]:
-    """The occurrences at words ``at``, sorted by hash, and where each hash begins."""
+def occurrences(h: np.ndarray, g: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> dict:
+    """The windows that start at words ``at``, by document and place there."""
     owner = np.searchsorted(first, at, side="right") - 1
-    return blobs.by_hash({"h": hashes[at], "doc": ids[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)})
+    return {"h": h[at], "g": g[at], "doc": ids[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)}
 
 
-def seen_twice(found: dict, new: np.ndarray) -> tuple[dict, dict]:
-    """(one occurrence of each hash to send, flagged if it is known to repeat; the places known to repeat)."""
+def sendable(found: dict, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
+    """Rows for one batch's occurrences: one of each hash to judge, flagged if it repeats here, and the others, which are known to occur earlier."""
+    found, new = blobs.by_hash(found)
     starts = np.flatnonzero(new)
-    times = np.diff(starts, append=len(new))
     sent = blobs.take(found, starts)
-    sent["flag"] = (times > 1).astype(np.uint8)
-    return sent, blobs.take(found, np.flatnonzero(np.repeat(times > 1, times)))
+    sent["flag"] = (np.diff(starts, append=len(new)) > 1).astype(np.uint8)
+    known = blobs.take(found, np.flatnonzero(~new))
+    known["flag"][:] = 1
+    out = [(JUDGED, *x) for x in blobs.split(sent, (sent["h"] >> np.uint64(20)).astype(np.int64) % buckets, OCCURRENCE)]
+    return out + [(KNOWN, *x) for x in blobs.split(known, blobs.group_of(known["doc"], groups), PLACE)]
+
+
+def sent(parts: Iterable[dict], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """:func:`sendable` rows of occurrences that are gathered until they are worth packing."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part["h"])
+        if size >= PACKED:
+            yield table_of(sendable(blobs.concat(held), buckets, groups))
+            held, size = [], 0
+    if size:
+        yield table_of(sendable(blobs.concat(held), buckets, groups))
+    blobs.tidy()
 
 
 def live_words(ids: np.ndarray, first: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
@@ -109,194 +130,183 @@ def doc_ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def repeats(table: DataFrame, judge, groups: int) -> DataFrame:
-    """Judge the occurrences of each range of hashes together; what was known passes through.  Result: (key: group, data: places)."""
+def repeats(moved: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """Judge the occurrences of each range of hashes together; other rows pass through.  Result: moved rows by group of documents.
+
+    A class repeats if it stands at two places (rows that repeat a whole document
+    are one place); its places after the first are flagged.
+    """
 
     def judged(group: pa.Table) -> pa.Table:
-        kind, keys, data = (group.column(c).to_pylist() for c in ("kind", "key", "data"))
-        out = [(1, k, d) for a, k, d in zip(kind, keys, data, strict=True) if a == 1]
-        occurrences = blobs.unpack([d for a, d in zip(kind, data, strict=True) if a == 0], OCCURRENCE)
-        found = judge(*blobs.by_hash(occurrences))
-        out += [(1, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), PLACE)]
-        del occurrences, found
+        if group.column("kind")[0].as_py() != JUDGED:
+            return group
+        found, new = blobs.by_hash(blobs.unpack(group.column("data").to_pylist(), OCCURRENCE))
+        if not len(new):
+            return group.slice(0, 0)
+        at = np.cumsum(new) - 1
+        many = np.bincount(at) + np.bincount(at, found["flag"])
+        found["flag"] = (~new).astype(np.uint8)
+        found = blobs.take(found, np.flatnonzero(many[at] > 1))
+        out = [(KNOWN, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), PLACE)]
+        del found
         blobs.tidy()
-        return pa.Table.from_batches([rows(*map(list, zip(*out, strict=True))) if out else rows([], [], [])])
+        return pa.Table.from_batches([table_of(out)])
 
-    return table.groupBy("kind", "key").applyInArrow(judged, MOVED).select("key", "data")
+    return dealt(moved, buckets, "kind", "key").groupBy("kind", "key").applyInArrow(judged, MOVED)
 
 
-def repeated_anywhere(found: dict, new: np.ndarray) -> dict:
-    """Occurrences of hashes that occur twice; those flagged were known to be repeated where they come from."""
-    at = np.cumsum(new) - 1
-    many = np.bincount(at) + np.bincount(at, found["flag"]) if len(at) else np.zeros(0)
-    return blobs.take(found, np.flatnonzero((many[at] > 1) & (found["flag"] == 0)) if len(at) else at)
+def places(moved: pa.Table, kind: tuple = PLACE, of: int = KNOWN) -> dict:
+    """The packed columns in a group's rows of one kind, sorted by document and place."""
+    data = [d for k, d in zip(moved.column("kind").to_pylist(), moved.column("data").to_pylist(), strict=True) if k == of]
+    found = blobs.unpack(data, kind)
+    return blobs.take(found, np.lexsort((found[kind[1][0]], found["doc"])))
 
 
-def not_first(found: dict, new: np.ndarray) -> dict:
-    """Occurrences after the first of their hash; equal places (repeated rows) count as one."""
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
-    later = (found["doc"] != found["doc"][first]) | (found["pos"] != found["pos"][first])
-    return blobs.take(found, np.flatnonzero(later))
+class Levels:
+    """The levels of one corpus: documents dealt into groups, and how to judge a level."""
 
+    def __init__(self, docs: DataFrame, min_words: int, id_col: str, text_col: str):
+        if min_words < 2:
+            raise ValueError("min_words must be at least 2")
+        self.spark, self.size = docs.sparkSession, min_words
+        source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
+        self.buckets = parts_of(self.spark, source.agg(F.sum(F.octet_length("body"))).first()[0])
+        self.groups = self.buckets
+        self.source = source
+        self.grouped = source.withColumn("key", group_column(F.col("doc"), self.groups))
 
-def places_by_doc(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, places), sorted by both."""
-    found = blobs.unpack(data, PLACE)
-    at = np.lexsort((found["pos"], found["doc"]))
-    return found["doc"][at], found["pos"][at].astype(np.int64)
+    def with_places(self, table: DataFrame, function, schema: str) -> DataFrame:
+        """``function(texts, moved rows)`` for each group of documents."""
+        texts, moved = dealt(self.grouped, self.groups, "key"), dealt(table, self.groups, "key")
+        return texts.groupBy("key").cogroup(moved.groupBy("key")).applyInArrow(function, schema)
 
+    def judge(self, moved: DataFrame, tag: str) -> DataFrame:
+        return materialise(repeats(moved, self.buckets, self.groups), tag)
 
-def dealing(spark: SparkSession) -> tuple[int, int]:
-    """(ranges of hashes, groups of documents) into which the work is dealt."""
-    deal = shuffle_partitions(spark)
-    return deal, 2 * deal
+    def half(self) -> DataFrame:
+        """Anchors that repeat."""
+        size, buckets, groups = self.size, self.buckets, self.groups
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                for part in slices(batch, 1):
+                    hashes, first = words.words(part.column(1))
+                    _, anchor, grams = anchors(hashes, first, size)
+                    yield occurrences(grams, np.zeros_like(grams), np.unique(anchor), doc_ids(part.column(0)), first)
 
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from sent(windows(batches), buckets, groups)
 
-def anchored(docs: DataFrame, min_words: int, id_col: str, text_col: str, buckets: int, groups: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with the key of their group; per group the places of anchors that repeat): the first level."""
-    if min_words < 2:
-        raise ValueError("min_words must be at least 2")
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
+        return self.judge(self.source.mapInArrow(moved, MOVED), "anchors")
 
-    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                hashes, first = words.words(part.column(1))
-                _, anchor, grams = anchors(hashes, first, min_words)
-                sent, known = seen_twice(*ordered(grams, np.unique(anchor), doc_ids(part.column(0)), first))
-                yield sendable(sent, known, buckets, groups)
+    def full(self, alive: DataFrame) -> DataFrame:
+        """Full windows that repeat, of anchors that do."""
+        size, buckets, groups = self.size, self.buckets, self.groups
 
-    alive = materialise(repeats(source.mapInArrow(first_level, MOVED), repeated_anywhere, groups), "anchors")
-    release(docs.sparkSession)
-    return source.withColumn("key", group_column(F.col("doc"), groups)), alive
+        def windows(texts: pa.Table, found: dict) -> Iterator[dict]:
+            for batch in texts.combine_chunks().to_batches():
+                for part in slices(batch, 1):
+                    hashes, first = words.words(part.column(1), keys=2)
+                    ids = doc_ids(part.column(0))
+                    live = live_words(ids, first, found["doc"], found["pos"].astype(np.int64), hashes.shape[1])
+                    starts, anchor, _ = anchors(hashes[0], first, size)
+                    yield occurrences(words.ngrams(hashes[0], size, 2), words.ngrams(hashes[1], size, 3), starts[live[anchor]], ids, first)
+
+        def moved(texts: pa.Table, table: pa.Table) -> pa.Table:
+            found = places(table)
+            texts = texts.filter(pa.array(np.isin(doc_ids(texts.column("doc").combine_chunks()), found["doc"])))
+            return pa.Table.from_batches([*sent(windows(texts, found), buckets, groups), rows([], [], [])])
+
+        return self.judge(self.with_places(alive, moved, MOVED), "windows")
+
+    def doubled(self, alive: DataFrame, size: int) -> DataFrame:
+        """Windows of ``2 * size`` words that repeat, of those of ``size`` that do; with them the documents that had the latter."""
+        buckets, groups = self.buckets, self.groups
+
+        def moved(table: pa.Table) -> pa.Table:
+            found = places(table)
+            docs, owner = np.unique(found["doc"], return_inverse=True)
+            at = (owner.astype(np.int64) << 32) + found["pos"]
+            other = np.minimum(np.searchsorted(at, at + size), len(at) - 1)
+            both = np.flatnonzero(at[other] == at + size)
+            pair = words.ngrams(np.stack([found["h"][both], found["h"][other[both]]], 1).reshape(-1), 2, 4)[::2]
+            longer = {"h": pair, "g": words.mix(pair), "doc": found["doc"][both], "pos": found["pos"][both], "flag": np.zeros(len(both), np.uint8)}
+            out = sendable(longer, buckets, groups)
+            out += [(LONGEST, *x) for x in blobs.split({"doc": docs, "size": np.full(len(docs), size)}, blobs.group_of(docs, groups), LEVEL)]
+            del found, longer
+            blobs.tidy()
+            return pa.Table.from_batches([table_of(out)])
+
+        per_group = dealt(alive.where(F.col("kind") == KNOWN), groups, "key").groupBy("key")
+        return self.judge(per_group.applyInArrow(moved, MOVED), "windows")
+
+    def all(self) -> tuple[DataFrame, DataFrame]:
+        """(full windows that repeat; the longest levels of documents): goes on until no window survives."""
+        anchors_alive = self.half()
+        first = alive = self.full(anchors_alive)
+        discard(anchors_alive)
+        size, longest = self.size, None
+        while alive.where(F.col("kind") == KNOWN).limit(1).count():
+            alive = self.doubled(alive, size)
+            of_level = alive.where(F.col("kind") == LONGEST)
+            longest = of_level if longest is None else longest.union(of_level)
+            size *= 2
+        return first, first.limit(0) if longest is None else longest
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text.
+    """Per document: id, n_words, n_removed, kept_sha256, longest_repeat and, with ``with_text``, kept_text.
 
     A word goes if a window of ``min_words`` words covers it whose words also start
     earlier (smaller id, or earlier in the same document); windows are judged on
-    the input.  Kept words are joined by one space.  Ids are integers.  Null text
-    has no words, as has empty text; a null id counts as the smallest; rows with
-    the same id and text are the same occurrence (neither removes the other); of
-    rows with the same id and different texts a word goes if it stands at a place
-    that is removed in any of them; other columns are not read; an empty table
-    gives no rows.
+    the input.  Kept words are joined by one space.  ``longest_repeat`` is the
+    greatest min_words * 2**k words at which a window of the document stands at two
+    places of the corpus, 0 if none does.  Ids are integers.  Null text has no
+    words, as has empty text; a null id counts as the smallest; rows with the same
+    id and text are the same places (neither removes the other); rows with the same
+    id and different texts are one document with the windows of all, and a word goes
+    if it stands at a place that is removed in any of them; other columns are not
+    read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets, groups = dealing(spark)
-    grouped, alive = anchored(docs, min_words, id_col, text_col, buckets, groups)
-
-    def second_level(texts: pa.Table, places: pa.Table) -> pa.Table:
-        docs_alive, pos_alive = places_by_doc(places.column("data").to_pylist())
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for part in slices(batch, 1):
-                hashes, first = words.words(part.column(1))
-                ids = doc_ids(part.column(0))
-                live = live_words(ids, first, docs_alive, pos_alive, len(hashes))
-                starts, anchor, _ = anchors(hashes, first, min_words)
-                found, new = ordered(words.ngrams(hashes, min_words, 2), starts[live[anchor]], ids, first)
-                out.append(sendable(blobs.take(found, np.flatnonzero(new)), not_first(found, new), buckets, groups))
-        return pa.Table.from_batches(out or [rows([], [], [])])
-
-    windows = grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(second_level, MOVED)
-    later = materialise(repeats(windows, not_first, groups), "windows")
-    discard(alive)
-    release(spark)
+    levels = Levels(docs, min_words, id_col, text_col)
+    windows, longest = levels.all()
     text_field = ", kept_text string" if with_text else ""
 
-    def cut(texts: pa.Table, places: pa.Table) -> pa.Table:
-        docs_cut, pos_cut = places_by_doc(places.column("data").to_pylist())
+    def cut(texts: pa.Table, moved: pa.Table) -> pa.Table:
+        found = places(moved)
+        found = blobs.take(found, np.flatnonzero(found["flag"]))
+        level = places(moved, LEVEL, LONGEST)
         n_words, n_removed, digests, kept_texts = [], [], [], []
         ids = doc_ids(texts.column("doc").combine_chunks())
-        lo, hi = np.searchsorted(docs_cut, ids, "left"), np.searchsorted(docs_cut, ids, "right")
+        lo, hi = np.searchsorted(found["doc"], ids, "left"), np.searchsorted(found["doc"], ids, "right")
+        last = np.searchsorted(level["doc"], ids, "right")
+        best = [int(level["size"][k - 1]) if k and level["doc"][k - 1] == i else 0 for k, i in zip(last.tolist(), ids.tolist(), strict=True)]
         for row, text in enumerate(texts.column("body")):
-            found = (text.as_py() or "").encode().split()
+            split = (text.as_py() or "").encode().split()
             removed = 0
-            n_words.append(len(found))
+            n_words.append(len(split))
             if hi[row] > lo[row]:
-                starts = pos_cut[lo[row] : hi[row]]
-                starts = starts[starts + min_words <= len(found)]
-                edge = np.zeros(len(found) + 1, np.int64)
+                starts = found["pos"][lo[row] : hi[row]].astype(np.int64)
+                starts = starts[starts + min_words <= len(split)]
+                edge = np.zeros(len(split) + 1, np.int64)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + min_words, -1)
                 stays = np.cumsum(edge[:-1]) == 0
-                removed = len(found) - int(stays.sum())
-                found = list(compress(found, stays.tolist()))
-            kept = b" ".join(found)
+                removed = len(split) - int(stays.sum())
+                split = list(compress(split, stays.tolist()))
+            kept = b" ".join(split)
             n_removed.append(removed)
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 kept_texts.append(kept.decode())
-        columns = [texts.column("doc").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
-        names = [id_col, "n_words", "n_removed", "kept_sha256"]
+        columns = [texts.column("doc").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(best, pa.int64())]
+        names = [id_col, "n_words", "n_removed", "kept_sha256", "longest_repeat"]
         if with_text:
             columns.append(pa.array(kept_texts, pa.string()))
             names.append("kept_text")
         return pa.Table.from_arrays(columns, names=names)
 
-    return grouped.groupBy("key").cogroup(later.groupBy("key")).applyInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string{text_field}")
-
-
-def longest_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with a repeat: id and longest, the greatest min_words * 2**k words at which a window of it stands twice in the corpus.
-
-    Windows that repeat at one length alone are extended to twice that length, and
-    the levels go on until no candidate survives.  Ids and nulls are taken as in
-    :func:`dedup_substrings`; a repeated row repeats all its windows; an empty table
-    gives no rows.
-    """
-    spark = docs.sparkSession
-    buckets, groups = dealing(spark)
-    grouped, alive = anchored(docs, min_words, id_col, text_col, buckets, groups)
-    found, size = None, min_words
-
-    def level(size: int):
-        """Judge windows of ``size`` words: of repeated anchors, or beyond ``min_words`` those whose halves both repeat."""
-
-        def windows(texts: pa.Table, places: pa.Table) -> pa.Table:
-            docs_alive, pos_alive = places_by_doc(places.column("data").to_pylist())
-            out = []
-            for batch in texts.combine_chunks().to_batches():
-                for part in slices(batch, 1):
-                    hashes, first = words.words(part.column(1))
-                    ids = doc_ids(part.column(0))
-                    live = live_words(ids, first, docs_alive, pos_alive, len(hashes))
-                    if size == min_words:
-                        starts, anchor, _ = anchors(hashes, first, min_words)
-                        starts = starts[live[anchor]]
-                    else:
-                        starts = np.flatnonzero(live[: max(0, len(hashes) - size + 1)])
-                        ends = first[np.searchsorted(first, starts, side="right")] if len(starts) else starts
-                        starts = starts[(starts + size <= ends) & live[starts + size // 2]]
-                    whole, length = words.ngrams(hashes, min_words, 2), min_words
-                    while length < size and len(whole) > length:
-                        whole = words.ngrams(np.stack([whole[:-length], whole[length:]], 1).reshape(-1), 2, 3)[::2]
-                        length *= 2
-                    out.append(sendable(*seen_twice(*ordered(whole, starts, ids, first)), buckets, groups))
-            return pa.Table.from_batches(out or [rows([], [], [])])
-
-        return windows
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.unique(np.concatenate([blobs.unpack([d], PLACE)["doc"] for d in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc"])
-
-    while True:
-        moved = grouped.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(level(size), MOVED)
-        before, alive = alive, materialise(repeats(moved, repeated_anywhere, groups), "windows")
-        discard(before)
-        release(spark)
-        if not alive.limit(1).count():
-            break
-        of_level = materialise(alive.select("data").mapInArrow(named, "doc long").distinct().withColumn("longest", F.lit(size).cast("long")), "repeats")
-        found = of_level if found is None else found.union(of_level)
-        size *= 2
-    if found is None:
-        found = spark.createDataFrame([], "doc long, longest long")
-    return found.groupBy("doc").agg(F.max("longest").alias("longest")).withColumnRenamed("doc", id_col)
+    return levels.with_places(windows.union(longest), cut, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, longest_repeat long{text_field}")
 
 
 def group_column(doc: Column, groups: int) -> Column:

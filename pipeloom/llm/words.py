@@ -1,19 +1,22 @@
 """Words and word n-gram hashes of whole Arrow text columns, computed with array operations.
 
-A word is a longest run of bytes other than 0x20 and 0x09-0x0D.  Its hash is a
-polynomial over the bytes modulo 2**64, taken from prefix sums and then mixed; an
-n-gram's hash combines the mixed hashes of its words.
+A word is a longest run of bytes other than 0x20 and 0x09-0x0D.  Its hash chains its
+8-byte parts through a 64-bit finaliser, started from its length and a key, so no
+two words collide by their structure; a long word is hashed as a whole.  An
+n-gram's hash combines the hashes of its words.  Two keys give 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Blocks of about so many bytes are hashed at a time; a block ends where no word is cut.
 BLOCK = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
+KEYS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def _is_word() -> np.ndarray:
@@ -22,6 +25,15 @@ def _is_word() -> np.ndarray:
     return table
 
 
+def _folded() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("A") : ord("Z") + 1] += 32
+    return table
+
+
+IS_WORD, FOLDED = _is_word(), _folded()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
@@ -32,29 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-IS_WORD = _is_word()
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
-
-
-class _Powers:
-    """base**0, base**1, ... as far as asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.values = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.values) < n:
-            steps = np.full(max(n, 2 * len(self.values)), self.base, np.uint64)
-            steps[0] = 1
-            self.values = np.cumprod(steps, dtype=np.uint64)
-        return self.values[:n]
-
-
-_UP, _DOWN = _Powers(BASE), _Powers(BASE_INVERSE)
-
-
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets of the texts among them); null is empty."""
     if texts.null_count:
@@ -66,11 +55,34 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first[i] .. first[i + 1] = those of text i).  ``fold`` takes A-Z for a-z."""
+def spans(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Hash of each span of bytes."""
+    padded = np.concatenate([block, np.zeros(8, np.uint8)])
+    parts = np.ndarray((len(block) + 1,), np.dtype("<u8"), padded, 0, (1,))  # the 8 bytes from each place on
+    size = ends - starts
+    found = mix(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(key))
+    at, begin, left, h = None, starts, size, found
+    while len(begin):
+        part = parts[begin]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h = mix((h ^ part) + np.uint64(key))
+        if at is None:
+            found = h
+        else:
+            found[at] = h
+        more = np.flatnonzero((left > 8) & (left <= LONG) if at is None else left > 8)
+        at = more if at is None else at[more]
+        begin, left, h = begin[more] + 8, left[more] - 8, h[more]
+    for k in np.flatnonzero(size > LONG).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(block[starts[k] : ends[k]].tobytes(), key)
+    return found
+
+
+def words(texts: pa.Array, fold: bool = False, keys: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words [keys, words], or [words] for one key; first[i] .. first[i + 1] = those of text i).  ``fold`` takes A-Z for a-z."""
     raw, offsets = text_buffer(texts)
-    values = FOLDED_VALUES if fold else BYTE_VALUES
-    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+    hashes, counts = [np.zeros((keys, 0), np.uint64)], np.zeros(len(texts) + 1, np.int64)
     lo = 0
     while lo < len(raw):
         hi = min(lo + BLOCK, len(raw))
@@ -88,15 +100,15 @@ def words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
         after[-1] = False
         after[:-1] = word[1:]
         after[breaks[breaks > 0] - 1] = False
-        ends = np.flatnonzero(word & ~after)
-        sums = np.empty(len(block) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values[block] * _UP.upto(len(block)), out=sums[1:])
-        hashes.append(mix((sums[ends + 1] - sums[starts]) * _DOWN.upto(len(block))[starts]))
+        ends = np.flatnonzero(word & ~after) + 1
+        if fold:
+            block = FOLDED[block]
+        hashes.append(np.stack([spans(block, starts, ends, key) for key in KEYS[:keys]]))
         owner = np.searchsorted(offsets, starts + lo, side="right")
         counts += np.bincount(owner, minlength=len(counts))[: len(counts)]
         lo = hi
-    return np.concatenate(hashes), np.cumsum(counts)
+    found = np.concatenate(hashes, axis=1)
+    return found[0] if keys == 1 else found, np.cumsum(counts)
 
 
 def _safe_cut(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> int:

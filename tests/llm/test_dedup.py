@@ -77,7 +77,7 @@ def test_words_across_blocks(monkeypatch):
 
 
 def test_blobs_round_trip():
-    columns = {"h": np.array([3, 2**64 - 1], np.uint64), "doc": np.array([-5, 7]), "pos": np.array([1, 2], np.int32), "flag": np.array([0, 1], np.uint8)}
+    columns = {"h": np.array([3, 2**64 - 1], np.uint64), "g": np.array([5, 6], np.uint64), "doc": np.array([-5, 7]), "pos": np.array([1, 2], np.int32), "flag": np.array([0, 1], np.uint8)}
     found = blobs.unpack([blobs.pack(columns, blobs.OCCURRENCE)] * 2, blobs.OCCURRENCE)
     assert all((found[k] == np.tile(v, 2)).all() for k, v in columns.items())
     assert blobs.unpack([], blobs.OCCURRENCE)["h"].size == 0
@@ -100,29 +100,53 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def doubles(docs, size):
+    """{id: greatest size * 2**k at which a window of the document stands twice, or 0}."""
+    split, found = {i: brute.words(t) for i, t in docs}, dict.fromkeys([i for i, _ in docs], 0)
+    while True:
+        times = Counter(tuple(w[s : s + size]) for w in split.values() for s in range(len(w) - size + 1))
+        level = {i for i, w in split.items() if any(times[tuple(w[s : s + size])] > 1 for s in range(len(w) - size + 1))}
+        if not level:
+            return found
+        found |= dict.fromkeys(level, size)
+        size *= 2
+
+
 @pytest.mark.parametrize("size", [4, 20])
-def test_substrings(spark, real, size):
-    docs = real[:120] + copies() + ODD
+def test_substrings(spark, real, size, monkeypatch):
+    monkeypatch.setattr(substrings, "PACKED", 5_000)
+    runs = [(5000, " ".join(f"r{k}" for k in range(90))), (5001, "x " + " ".join(f"r{k}" for k in range(5, 88))), (5002, " ".join(["same"] * 41))]
+    docs = real[:120] + copies() + ODD + runs
     df = spark.createDataFrame(docs, DOCS).repartition(5)
     found = substrings.dedup_substrings(df, size).collect()
     assert {r[0]: tuple(r[1:4]) for r in found} == brute.substrings(docs, size)
     assert all(len(r["kept_text"].split()) == r["n_words"] - r["n_removed"] for r in found)
+    longest = {r[0]: r["longest_repeat"] for r in found}
+    assert longest == doubles(docs, size) and (longest[5001], longest[5002]) == ((80, 40) if size == 20 else (64, 32))
 
 
-def test_longest_repeats(spark, real):
-    docs = real[:60] + [(5000, " ".join(f"r{k}" for k in range(90))), (5001, "x " + " ".join(f"r{k}" for k in range(5, 88))), (5002, " ".join(["same"] * 41)), *ODD[:4]]
-    split = {i: brute.words(t) for i, t in docs}
-    expected, size = {}, 20
-    while True:
-        times = Counter(tuple(w[s : s + size]) for w in split.values() for s in range(len(w) - size + 1))
-        level = {i for i, w in split.items() if any(times[tuple(w[s : s + size])] > 1 for s in range(len(w) - size + 1))}
-        if not level:
-            break
-        expected |= dict.fromkeys(level, size)
-        size *= 2
-    found = substrings.longest_repeats(spark.createDataFrame(docs, DOCS).repartition(3)).collect()
-    assert {r[0]: r[1] for r in found} == expected and expected[5001] == 80 and expected[5002] == 40
-    assert substrings.longest_repeats(spark.createDataFrame([], DOCS)).count() == 0
+def thue_morse(steps):
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("steps", [4, 6, 10])
+def test_words_that_a_polynomial_confuses(spark, steps):
+    a, b = thue_morse(steps)
+    rest = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b)], DOCS)
+    assert sorted((r[0], r[2]) for r in substrings.dedup_substrings(docs).collect()) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    parts = {r[0]: r[2] for r in shingles.near_duplicates(docs).collect()}
+    assert parts[3] == 3 and parts[4] == 4
+
+
+@given(st.lists(st.text(alphabet="abAB\x00é", min_size=1, max_size=140), min_size=2, max_size=20, unique=True))
+@settings(max_examples=100, deadline=None)
+def test_word_hashes_differ(found):
+    hashes, first = W.words(pa.array([" ".join(found)]), keys=2)
+    assert hashes.shape == (2, len(found)) and all(len(set(h.tolist())) == len(found) for h in hashes)
 
 
 def test_substrings_edges(spark):
@@ -131,6 +155,11 @@ def test_substrings_edges(spark):
     rows = [(1, text, 9), (1, text, 9), (None, text, 9), (2, text, 9)]
     found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, n_words long")).collect()
     assert sorted((str(r[0]), r[2]) for r in found) == [("1", 25), ("1", 25), ("2", 25), ("None", 0)]
+    # one row, however often repeated, is one place; of one id's different texts, what repeats elsewhere later goes
+    found = substrings.dedup_substrings(spark.createDataFrame([(1, text), (1, text), (2, "other " + text), (2, text[:40])], DOCS).repartition(3)).collect()
+    assert sorted((r[0], r[1], r[2], r["longest_repeat"]) for r in found) == [(1, 25, 0, 20), (1, 25, 0, 20), (2, 12, 0, 20), (2, 26, 25, 20)]
+    found = substrings.dedup_substrings(spark.createDataFrame([(1, text), (1, text)], DOCS).repartition(2)).collect()
+    assert [(r[2], r["longest_repeat"]) for r in found] == [(0, 0), (0, 0)]
 
 
 @pytest.mark.parametrize("block", [512, 8])
@@ -146,7 +175,42 @@ def test_near_duplicates_edges(spark):
     assert shingles.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (2, "A B C d e f", 0), (None, "a b c d e f", 0), (3, None, 0)]
     found = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()
-    assert sorted((r[0] or -1, r[1], r[2]) for r in found) == [(-1, None, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    assert sorted((r[0] or -1, r[1], r[2]) for r in found) == [(-1, 2, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    # rows of one id with different texts are one document
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(7, text("a")), (7, text("b")), (5, text("a") + " z"), (6, "y " + text("b")), (8, text("c")), (9, text("b"))]
+    found = shingles.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted((r[0], r[1], r[2]) for r in found) == [(5, 37, 5), (6, 37, 5), (7, 36, 5), (7, 36, 5), (8, 36, 8), (9, 36, 5)]
+
+
+def test_keys_are_certain():
+    """Linked sets share as many keys as is claimed, at the threshold and for all pairs of sizes."""
+    for percent in (50, 75, 90):
+        for n in range(1, 120):
+            for m in range(n, 200):
+                least = -(-percent * (n + m) // (100 + percent))
+                if least <= n:
+                    # worst case: what only one of them has sorts before what both have
+                    shared = min(shingles.key_count(n, percent) - (n - least), shingles.key_count(m, percent) - (m - least), least)
+                    assert shared >= max(shingles.least_shared(n, percent), shingles.least_shared(m, percent)), (percent, n, m)
+
+
+def test_a_hot_key_among_many_sets(spark, monkeypatch):
+    """One passage in every document: groups larger than a block, near copies and strangers of many sizes."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    monkeypatch.setattr(shingles, "WHOLE_BLOCK", 16)
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(30)]
+    docs = []
+    for k in range(60):
+        docs.append((k, " ".join(passage + [f"own{k}x{j}" for j in range(r.randrange(0, 40))])))
+    base = [f"c{k}" for k in range(25)]
+    for k in range(60):
+        w = passage + base
+        w[r.randrange(len(w))] = f"e{k}"
+        docs.append((1000 + k, " ".join(w)))
+    found = shingles.near_duplicates(spark.createDataFrame(docs, DOCS).repartition(5)).collect()
+    assert {r[0]: tuple(r[1:3]) for r in found} == brute.near(docs)
 
 
 def test_tree_prunes_no_link():
