@@ -2,11 +2,15 @@
 
 A hash rotates the unit vector by signs and fast Hadamard transforms and names the
 largest coordinate with its sign: the nearest corner of a cross-polytope.  A table
-joins ``HASHES`` of them, and each vector probes the buckets of its ``PROBES`` best
+joins several of them, and each vector probes the buckets of its ``PROBES`` best
 corners per hash; vectors that share a bucket of any table, and the label, are
 compared in double precision.  A pair is counted only in the first bucket that it
 shares, so links are counted once without listing them.
 
+How many hashes a table joins follows from the number of vectors of the most
+frequent label, so that buckets stay small however large the table is; the number of
+tables grows with it, so that about as many pairs are found at every size.
+
 Equal vectors collapse first.  A large bucket is dealt into blocks, whose pairs are
 separate tasks; only link counts and spanning links leave a task.
 """
@@ -22,58 +26,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import vectors
-from .common import connected_components, discard, materialise, shuffle_partitions
+from . import blobs, vectors, words
+from .common import connected_components, dealt, discard, materialise, parts_of
 from .shingles import forest
 
 THRESHOLD = 0.93
-#: Tables, hashes joined in a table, corners probed per hash: a pair at the threshold is missed with a chance below 1e-5.
-TABLES, HASHES, PROBES = 8, 2, 2
-BLOCK = 512
+#: Corners probed per hash.
+PROBES = 2
+#: Vectors that a bucket holds by chance at most (on average), and hashes of a table at least and at most.
+BY_CHANCE, LEAST_HASHES, MOST_HASHES = 16, 2, 6
+#: Rows of a block of a large bucket; buckets up to SMALL rows are compared together; pairs at hand at a time.
+BLOCK, SMALL, PAIRS = 1024, 48, 32_768
+
+
+def hashes_for(vectors_of_label: int, dim: int) -> int:
+    """Hashes that a table joins for this many vectors of one label."""
+    share, corners = 1.0, 2 << max(0, dim - 1).bit_length()
+    for hashes in range(1, MOST_HASHES + 1):
+        share *= min(PROBES, corners) / corners
+        if hashes >= LEAST_HASHES and vectors_of_label * share <= BY_CHANCE:
+            return hashes
+    return MOST_HASHES
 
 
-def codes(x: np.ndarray) -> np.ndarray:
-    """Buckets of each row: [rows, TABLES * PROBES ** HASHES], tables in order and sorted within; a bucket's number names its table."""
-    unit = vectors.padded(x / np.linalg.norm(x, axis=1, keepdims=True))
+def tables_for(hashes: int) -> int:
+    """Tables that find all but about 6 in a million pairs at the threshold, in 64 dimensions (each hash agrees with a chance of 0.88)."""
+    return 3 * hashes + 2
+
+
+def codes(x: np.ndarray, hashes: int) -> np.ndarray:
+    """Buckets of each unit vector: [rows, tables * PROBES ** hashes], tables in order and sorted within; the table is a bucket's first byte."""
+    unit = vectors.padded(x)
     width = unit.shape[1]
     out = []
-    for table in range(TABLES):
+    for table in range(tables_for(hashes)):
         corners = []
-        for k in range(HASHES):
+        for k in range(hashes):
             turned = vectors.rotated(unit, 1000 * table + k)
             best = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, : min(PROBES, width)]
-            corners.append(best * 2 + (np.take_along_axis(turned, best, 1) < 0))
-        own = np.stack([sum(c[:, p] * (2 * width) ** k for k, (c, p) in enumerate(zip(corners, probe, strict=True))) for probe in product(range(corners[0].shape[1]), repeat=HASHES)], 1)
-        out.append(np.sort(own, axis=1) + table * (2 * width) ** HASHES)
+            corners.append((best * 2 + (np.take_along_axis(turned, best, 1) < 0)).astype(np.uint64))
+        own = []
+        for probe in product(range(corners[0].shape[1]), repeat=hashes):
+            h = np.zeros(len(x), np.uint64)
+            for c, p in zip(corners, probe, strict=True):
+                h = words.mix(h * np.uint64(0x9E3779B97F4A7C15) + c[:, p] + np.uint64(1))
+            own.append(h >> np.uint64(8))
+        out.append(np.sort(np.stack(own, 1), axis=1) | np.uint64(table << 56))
     return np.concatenate(out, 1).astype(np.int64)
 
 
-def first_shared(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+def first_shared(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, tables: int) -> np.ndarray:
     """Which pairs of rows of buckets share no bucket before ``bucket``."""
-    each = a.shape[1] // TABLES
+    each = a.shape[1] // tables
     shared = np.zeros(len(a), bool)
-    for t in range(TABLES):
+    for t in range(tables):
         x, y = a[:, t * each : (t + 1) * each], b[:, t * each : (t + 1) * each]
         for p in range(each):
-            shared |= ((x[:, p : p + 1] == y) & (y < bucket)).any(axis=1)
+            shared |= ((x[:, p : p + 1] == y) & (y < bucket[:, None])).any(axis=1)
     return ~shared
 
 
-def judge(left: dict, right: dict | None, bucket: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of the left, rows of the right, cosines) of the linked pairs first shared here; without ``right`` among the left."""
-    a, b = left, left if right is None else right
-    near = a["unit"] @ b["unit"].T >= threshold - 1e-9
-    if right is None:
-        near &= np.triu(np.ones(near.shape, bool), 1)
-    i, j = np.nonzero(near)
-    cosine = np.zeros(len(i))
-    good = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 100_000):
-        x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
-        dot = np.einsum("ij,ij->i", a["x"][x], b["x"][y])
-        cosine[lo : lo + len(x)] = dot / (a["norm"][x] * b["norm"][y])
-        good[lo : lo + len(x)] = (cosine[lo : lo + len(x)] >= threshold) & first_shared(a["codes"][x], b["codes"][y], bucket)
-    return i[good], j[good], cosine[good]
+class Judge:
+    """Rows of one length in one task: which pairs link, judged in double precision."""
+
+    def __init__(self, x: np.ndarray, own: np.ndarray, bucket: np.ndarray, tables: int, threshold: float):
+        self.x, self.own, self.bucket, self.tables, self.threshold = x, own, bucket, tables, threshold
+        self.norm = np.linalg.norm(x, axis=1)
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Keep the pairs that link, where the bucket is the first that they share."""
+        for lo in range(0, len(i), PAIRS):
+            a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            cosine = np.einsum("ij,ij->i", self.x[a], self.x[b]) / (self.norm[a] * self.norm[b])
+            near = cosine >= self.threshold
+            a, b = a[near], b[near]
+            good = first_shared(self.own[a], self.own[b], self.bucket[a], self.tables)
+            self.left.append(a[good])
+            self.right.append(b[good])
+
+    def small(self, group: np.ndarray) -> None:
+        """All pairs of rows that are neighbours in sorted order and of one group."""
+        for step in range(1, SMALL):
+            at = np.flatnonzero(group[step:] == group[:-step])
+            if not len(at):
+                break
+            self.pairs(at, at + step)
+
+    def block(self, a: np.ndarray, b: np.ndarray | None) -> None:
+        """All pairs of rows ``a`` (with ``b``: of a and b): a product of matrices names those that may link."""
+        unit = lambda rows: self.x[rows] / self.norm[rows, None]
+        near = unit(a) @ unit(a if b is None else b).T >= self.threshold - 1e-9
+        if b is None:
+            near &= np.triu(np.ones(near.shape, bool), 1)
+        i, j = np.nonzero(near)
+        self.pairs(a[i], (a if b is None else b)[j])
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -81,80 +129,99 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     Vectors are compared if their labels are equal and not null and their lengths
     are equal.  A vector that is null, empty, zero or holds null or non-finite
-    components, or has a null label or id, links with nothing.  Rows repeated with
-    the same id count as one vector.  Other columns are not read; an empty table
-    gives no rows.
+    components, or has a null label or id, links with nothing.  Rows that repeat id,
+    label and vector are one vector; rows of one id with different vectors are
+    different vectors.  Vectors of any finite size are compared (each is scaled by a
+    power of two first).  Other columns are not read; an empty table gives no rows.
     """
     spark = df.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
-    usable = vectors.usable(df.where(F.col(label_col).isNotNull()), id_col, vector_col, label_col).withColumnRenamed(label_col, "label").distinct()
-    usable = materialise(usable, "vectors")
-    same = ["label", "data"]
-    reps = materialise(usable.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim")), "distinct-vectors")
-    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
+    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
+    rows = vectors.read(named.withColumn("vector", F.expr("CASE WHEN id IS NOT NULL AND label IS NOT NULL THEN vector END")), "id", "vector", "label", whole=True)
+    rows = materialise(rows.withColumn("digest", F.sha2("data", 256)), "vectors")
+    usable = rows.where(F.col("data").isNotNull())
+    once = usable.groupBy("label", "digest", "id").agg(F.first("dim").alias("dim"), F.first("data").alias("data"))
+    reps = once.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("data").alias("data"))
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # numbers are fixed once written
+    most, dim = reps.groupBy("label", "dim").count().agg(F.max("count"), F.min("dim")).first()
+    hashes = hashes_for(most or 0, dim or 1)
+    tables = tables_for(hashes)
+    schema = T.StructType([*(T.StructField(c, reps.schema[c].dataType) for c in ("node", "label", "dim", "copies", "data")), T.StructField("codes", T.ArrayType(T.LongType()))])
+    names = [f.name for f in schema.fields]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(1).to_numpy()
+            dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                found = codes(vectors.matrix([batch.column(2)[int(k)].as_py() for k in at]))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * found.shape[1], pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), flat], names=["rep", "codes"])
-
-    known = materialise(reps.join(reps.select("rep", "dim", "data").mapInArrow(hashed, schema), "rep"), "hashed-vectors")
-    in_bucket = known.select("rep", "label", "dim", F.explode("codes").alias("bucket"))
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                x = vectors.scaled(vectors.matrix(part.column("data").to_pylist()))
+                found = codes(x / np.linalg.norm(x, axis=1, keepdims=True), hashes)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], names=names)
+
+    known = materialise(reps.select(*names[:-1]).mapInArrow(hashed, schema), "hashed-vectors")
+    in_bucket = known.select("node", "label", "dim", F.explode("codes").alias("bucket"))
     key = ["label", "dim", "bucket"]
-    sizes = materialise(in_bucket.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    spread = in_bucket.join(sizes, key).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")))
+    # written, so that both sides of the join are plain exchanges, which AQE splits at a hot bucket
+    sizes = materialise(in_bucket.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", blocks), "bucket-sizes")
+    moved = sizes.agg(F.sum(F.col("size") * F.col("blocks") * (F.col("dim") * 8 + 8 * tables * PROBES**hashes))).first()[0]
+    tasks = parts_of(spark, moved)
+    spread = in_bucket.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
-    members = spread.select("rep", *key, F.explode(others).alias("b")).select("rep", *key, "b.*")
-    carried = members.join(known.select("rep", "copies", "data", "codes"), "rep").withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(buckets)))
+    members = spread.select("node", *key, F.explode(others).alias("b")).select("node", *key, "b.*")
+    carried = members.join(known.select("node", "copies", "data", "codes"), "node").withColumn("task", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(4 * tasks)))
 
     def linked(table: pa.Table) -> pa.Table:
-        frame = {c: table.column(c).to_numpy() for c in ("rep", "label", "dim", "bucket", "i", "j", "side", "copies")}
-        data, own = table.column("data").to_pylist(), table.column("codes").combine_chunks()
-        order = np.lexsort([frame[c] for c in ("side", "j", "i", "bucket", "dim", "label")])
-        names = [frame[c][order] for c in ("label", "dim", "bucket", "i", "j")]
-        change = np.ones(len(order) + 1, bool)
-        change[1:-1] = np.any([x[1:] != x[:-1] for x in names], axis=0)
-        bounds = np.flatnonzero(change)
-        a_out, b_out, n_out = [], [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            at = order[lo:hi]
-            diagonal = frame["i"][at[0]] == frame["j"][at[0]]
-            mid = int(np.searchsorted(frame["side"][at], 1))
-            if len(at) < 2 or not diagonal and mid in (0, len(at)):
-                continue
-
-            def part(rows: np.ndarray) -> dict:
-                x = vectors.matrix([data[k] for k in rows])
-                norm = np.linalg.norm(x, axis=1)
-                return {"x": x, "norm": norm, "unit": x / norm[:, None], "codes": np.stack([own[int(k)].values.to_numpy() for k in rows]), "rep": frame["rep"][rows], "copies": frame["copies"][rows]}
-
-            left, right = part(at if diagonal else at[:mid]), None if diagonal else part(at[mid:])
-            i, j, cosine = judge(left, right, int(frame["bucket"][at[0]]), threshold)
-            other = left if right is None else right
+        table = table.combine_chunks()
+        column = {c: table.column(c).to_numpy() for c in ("node", "dim", "bucket", "i", "j", "side", "copies")}
+        labels = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        nodes, others, counts = [], [], []
+        for dim in np.unique(column["dim"]):
+            at = np.flatnonzero(column["dim"] == dim)
+            at = at[np.lexsort((column["node"][at], column["side"][at], column["j"][at], column["i"][at], column["bucket"][at], labels[at]))]
+            part = {c: v[at] for c, v in column.items()}
+            new = np.ones(len(at), bool)
+            new[1:] = np.any([v[1:] != v[:-1] for v in (labels[at], part["bucket"], part["i"], part["j"])], axis=0)
+            bounds = np.flatnonzero(np.append(new, True))
+            taken = table.take(pa.array(at))
+            own = taken.column("codes").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+            judge = Judge(vectors.scaled(vectors.matrix(taken.column("data").to_pylist())), own, part["bucket"], tables, threshold)
+            group, alone = np.cumsum(new), part["i"] == part["j"]
+            size = np.diff(bounds)
+            # a group that isn't small, or that meets two blocks, is judged by itself
+            apart = (size > SMALL) | ~alone[bounds[:-1]]
+            judge.small(np.where(apart[group - 1], -np.arange(1, len(at) + 1), group))
+            for lo, hi in zip(bounds[:-1][apart].tolist(), bounds[1:][apart].tolist(), strict=True):
+                whole = np.arange(lo, hi)
+                mid = lo + int(np.searchsorted(part["side"][lo:hi], 1))
+                if alone[lo]:
+                    judge.block(whole, None)
+                elif lo < mid < hi:
+                    judge.block(whole[: mid - lo], whole[mid - lo :])
+            i, j = np.concatenate([*judge.left, np.zeros(0, np.int64)]), np.concatenate([*judge.right, np.zeros(0, np.int64)])
             if len(i):
-                n_left, n_right = np.bincount(i, other["copies"][j], len(left["rep"])), np.bincount(j, left["copies"][i], len(other["rep"]))
-                shift = 0 if right is None else len(left["rep"])
-                e = forest(len(left["rep"]) + shift + len(other["rep"]), i, j + shift, cosine)
-                a_out += [left["rep"][n_left > 0], other["rep"][n_right > 0], left["rep"][i[e]]]
-                b_out += [np.full(int((n_left > 0).sum() + (n_right > 0).sum()), -1), other["rep"][j[e]]]  # -1: a count, no link
-                n_out += [n_left[n_left > 0], n_right[n_right > 0], np.zeros(len(e))]
-        is_edge = [np.concatenate([np.zeros(len(a_out[3 * k]) + len(a_out[3 * k + 1]), bool), np.ones(len(a_out[3 * k + 2]), bool)]) for k in range(len(a_out) // 3)]
-        whole = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": whole(a_out), "b": whole(b_out), "n": whole(n_out), "edge": np.concatenate(is_edge) if is_edge else np.zeros(0, bool)})
-
-    found = materialise(carried.groupBy("task").applyInArrow(linked, "a long, b long, n long, edge boolean"), "links")
-    for done in (known, sizes):
+                names_, place = np.unique(np.concatenate([part["node"][i], part["node"][j]]), return_inverse=True)
+                a, b = place[: len(i)], place[len(i) :]
+                n = np.bincount(a, part["copies"][j], len(names_)) + np.bincount(b, part["copies"][i], len(names_))
+                e = forest(len(names_), a, b, np.zeros(len(a)))
+                nodes += [names_, names_[a[e]]]
+                others += [np.full(len(names_), -1), names_[b[e]]]  # -1: a count, no link
+                counts += [n.astype(np.int64), np.zeros(len(e), np.int64)]
+        blobs.tidy()
+        whole = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
+        return pa.table({"a": whole(nodes), "b": whole(others), "n": whole(counts)})
+
+    found = materialise(dealt(carried, tasks, "task").groupBy("task").applyInArrow(linked, "a long, b long, n long"), "links")
+    counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n"))
+    comps = connected_components(found.where("b >= 0").select("a", "b"), "a", "b")
+    in_comp = comps.join(reps.select("node", "rep"), "node")
+    least = in_comp.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = in_comp.join(least, "component").select("node", "component_id")
+    per_rep = reps.select("label", "digest", "node", "rep", "copies").join(counts, F.col("node") == F.col("a"), "left").join(of_node, "node", "left")
+    per_rep = per_rep.select("label", "digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    per_rep = materialise(per_rep, "linked-vectors")
+    for done in (known, sizes, found, reps):
         discard(done)
-    counts = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.where("edge"), "a", "b")
-    per_rep = reps.select("label", "data", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("node"), "left")
-    per_rep = per_rep.select("label", "data", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    per_vector = usable.join(per_rep, same).select(F.col("id"), "n_links", "component_id")
-    out = df.select(F.col(id_col).cast("long").alias(id_col)).join(per_vector, F.col(id_col) == F.col("id"), "left")
-    out = out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", id_col).alias("component_id"))
+    out = rows.select("id", "label", "digest").join(per_rep, ["label", "digest"], "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

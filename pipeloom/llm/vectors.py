@@ -16,32 +16,35 @@ def matrix(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1) if data else np.zeros((0, 1))
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
+def read(df: DataFrame, id_col: str, vector_col: str, *others: str, whole: bool = False) -> DataFrame:
     """(id long, others..., dim int, data binary of doubles) of the vectors that take part.
 
     A row with a null id, or a vector that is null, empty, zero or holds a null or
-    non-finite component, is left out.
+    non-finite component, is left out; with ``whole`` it stays, with null dim and data.
     """
     fields = [T.StructField("id", T.LongType()), *(df.schema[c] for c in others), T.StructField("dim", T.IntegerType()), T.StructField("data", T.BinaryType())]
     names = [f.name for f in fields]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, dims, data = [], [], []
-            for row, v in enumerate(batch.column(1)):
-                if not v.is_valid:
-                    continue
-                x = np.array(v.as_py(), np.float64)  # a null component becomes NaN
-                if len(x) and np.isfinite(x).all() and x.any():
-                    rows.append(row)
-                    dims.append(len(x))
-                    data.append(x.tobytes())
-            at = pa.array(rows, pa.int64())
-            kept = [batch.column(0).take(at), *(batch.column(k).take(at) for k in range(2, len(batch.columns))), pa.array(dims, pa.int32()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(kept, names=names)
-
-    source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector_col, *others)
-    return source.mapInArrow(read, T.StructType(fields))
+            dims, data = [], []
+            for v in batch.column(1):
+                x = np.array(v.as_py() if v.is_valid else [], np.float64)  # a null component becomes NaN
+                good = len(x) and np.isfinite(x).all() and x.any()
+                dims.append(len(x) if good else None)
+                data.append(x.tobytes() if good else None)
+            kept = [batch.column(0), *(batch.column(k) for k in range(2, len(batch.columns))), pa.array(dims, pa.int32()), pa.array(data, pa.binary())]
+            out = pa.RecordBatch.from_arrays(kept, names=names)
+            yield out if whole else out.filter(out.column("data").is_valid())
+
+    source = df.select(F.col(id_col).cast("long").alias("id"), vector_col, *others)
+    return (source if whole else source.where("id IS NOT NULL")).mapInArrow(checked, T.StructType(fields))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to between 1/2 and 1: lengths can be taken of any finite vector."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))
+    return np.ldexp(x, -exponent[:, None])
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

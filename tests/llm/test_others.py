@@ -153,6 +153,45 @@ def test_embedding_dedup_edges(spark):
     rows = [(1, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (2, [1.0, 0.0], 1, "x"), (None, [1.0, 0.0], 1, "x")]
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA + ", n_links string")).collect()
     assert sorted((r[0] or -1, *tuple(r)[1:]) for r in found if r[0]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)] and len(found) == 4
+    # rows of one id with different vectors are different vectors
+    r = np.random.default_rng(1)
+    a, b = r.normal(size=(2, 64))
+    rows = [(1, a.tolist(), 1), (1, b.tolist(), 1), (2, (a * 2).tolist(), 1), (3, (b + 0.01).tolist(), 1), (4, (b * 3).tolist(), 1), (4, a.tolist(), 2)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 2, 1, False)]
+
+
+def test_embedding_dedup_of_any_size_and_width(spark):
+    schema = "vec_id long, embedding array<double>, label string"
+    rows = [(1, [1e200, 2e200], "a"), (2, [1e-200, 2e-200], "a"), (3, [1.0, 2.0], "a"), (4, [5e-324, 1e-323], "a"), (5, [-1.0, -2.0], "a"), (6, [1.7e308, 1.7e308], "a")]
+    found = {r[0]: tuple(r[1:]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {1: (4, 1, True), 2: (4, 1, False), 3: (4, 1, False), 4: (4, 1, False), 5: (0, 5, True), 6: (4, 1, False)}
+    r = np.random.default_rng(2)
+    base = r.normal(size=(6, 768))
+    wide = [(k, (base[k % 6] + r.normal(size=768) * 0.1 * (k // 6)).tolist(), "w") for k in range(24)]
+    union, links = brute.Union(range(24)), Counter()
+    x = np.array([v for _, v, _ in wide])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True):
+        links[int(i)] += 1
+        links[int(j)] += 1
+        union.join(int(i), int(j))
+    found = {r[0]: (r[1], r[2]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(wide, schema)).collect()}
+    assert found == {k: (links[k], union.root(k)) for k in range(24)} and sum(links.values()) > 20
+
+
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**7, 10**9])
+def test_pairs_at_the_threshold_share_a_bucket_at_every_size(n):
+    """Hashes and tables follow from the number of vectors; what is found stays about the same."""
+    hashes = embedding_dedup.hashes_for(n, 64)
+    assert n * (embedding_dedup.PROBES / 128) ** hashes <= embedding_dedup.BY_CHANCE or hashes == embedding_dedup.MOST_HASHES
+    r = np.random.default_rng(n)
+    x, y = r.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = embedding_dedup.codes(x, hashes), embedding_dedup.codes(y, hashes)
+    assert sum(len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)) >= 399
 
 
 def test_hadamard_is_orthogonal():
@@ -160,8 +199,10 @@ def test_hadamard_is_orthogonal():
     assert np.allclose(x @ x.T, np.eye(16))
 
 
-def test_nearest_neighbours(spark):
-    rows = clusters() + ODD_VECTORS
+@pytest.mark.parametrize("dim", [48, 200])
+def test_nearest_neighbours(spark, dim, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 8)
+    rows = clusters(dim=dim) + ODD_VECTORS
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     found = neighbours.nearest(df, F.col("id") % 20 == 0).collect()
     by = {}
@@ -180,6 +221,8 @@ def test_nearest_neighbours(spark):
         hits += len({v for _, v, _ in got} & {i for _, i in exact})
     assert hits >= 0.97 * sum(map(len, by.values()))
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), F.col("id") % 20 == 0).count() == 0
+    again = spark.createDataFrame([(0, [1.0, 2.0], 1)] * 3 + [(1, [1.0, 2.5], 1)] * 30 + [(2, [3.0, 4.0], 1), (2, [9.0, 9.0], 1), (0, [9.0, 8.0], 1)], SCHEMA).repartition(3)
+    assert [tuple(r)[:3] for r in neighbours.nearest(again, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     few = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [3.0, 4.0], 1)], SCHEMA)
     assert [tuple(r)[1:3] for r in neighbours.nearest(few, F.col("id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
