@@ -73,31 +73,6 @@ def test_suffix_automaton_accepts_substrings_only():
         assert accepts(part) == (part in subs)
 
 
-def test_phrases_equal_a_greedy_parse():
-    samples = [("a", bytes([1, 2, 3, 1, 2, 2, 3])), ("b", bytes([3, 3, 1, 4]))]
-    parser = language.Parser(samples)
-    r = random.Random(2)
-    texts = [np.array([r.randrange(1, 6) for _ in range(r.randrange(0, 700))], np.uint8) for _ in range(30)]
-
-    def phrases(text, sample):
-        total = 0
-        for lo in range(0, len(text), language.SEGMENT):
-            part, at = bytes(text[lo : lo + language.SEGMENT]), 0
-            while at < len(part):
-                n = 1
-                while at + n < len(part) and part[at : at + n + 1] in sample:
-                    n += 1
-                at += n
-                total += 1
-        return total
-
-    found = parser.phrases(texts)
-    for row, text in zip(found, texts, strict=True):
-        for got, (_, sample) in zip(row.tolist(), samples, strict=True):
-            # a symbol outside the sample is a phrase of its own; the parse may begin with an empty match
-            assert abs(got - phrases(text, sample)) <= 1 + sum(1 for x in text if x not in sample)
-
-
 def test_language_accuracy_and_edges(spark, data):
     found = {r["doc_id"]: r for r in queries.op4_language_id(spark, data).collect()}
     truth = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{data}/documents.parquet").to_pylist()}
