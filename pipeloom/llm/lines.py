@@ -1,15 +1,15 @@
 """Line dedup by content-defined line chunks (operator 6, DataFrame functions only).
 
-A text is split into lines; a rolling hash over the hashes of ``window``
-consecutive lines closes a chunk where it is 0 modulo ``divisor``.  The cut
-depends on the lines around it alone, so inserting a line elsewhere doesn't move
-it.  Of chunks of at least ``min_lines`` lines that occur more than once in the
-corpus, every occurrence but the first (smallest id, then earliest) is removed,
-after its bytes were compared with the first one's.
-
-Much of a repeated run stays: its one-line chunks, and the chunks at its two ends,
-which take in foreign lines.  On sf0.1, 6,053 of 12,038 lines in repeated runs of two
-lines or more are removed.  The query's SQL fixes these chunks.
+A text is split into lines; a rolling hash of ``window`` line hashes stands at each
+gap between two lines, and a chunk is closed at a gap whose hash is below those of
+``reach`` gaps on either side.  The cut depends on the lines around it alone, so
+inserting a line elsewhere doesn't move it, and no chunk has fewer than ``reach`` + 1
+lines (but a text that has fewer).  Of chunks of at least ``min_lines`` lines that
+occur more than once in the corpus, every occurrence but the first (smallest id, then
+earliest) is removed, after its bytes were compared with the first one's.
+
+So all of an exact copy of two lines or more goes.  Of a passage inside other text the
+chunks at its two ends stay, as they take in foreign lines, as do copies of one line.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-#: Fixed values of the rolling hash: modulus of a line's hash, and the factor of each older line.
+#: Fixed values of the rolling hash: modulus, and the factor of each older line.
 MODULUS, FACTOR = 1_000_003, 31
-DIVISOR, WINDOW, MIN_LINES = 3, 2, 2
+REACH, WINDOW, MIN_LINES = 1, 2, 2
 #: Occurrences of one chunk that are compared in one group; a more frequent chunk's first text goes to several.
 SALT_ROWS = 512
 
@@ -37,20 +37,29 @@ def split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunk_bounds(lines: Column, divisor: int, window: int) -> Column:
+def chunk_bounds(lines: Column, reach: int, window: int) -> Column:
     """Array of (first line from 0, number of lines), one per chunk."""
 
-    def rolled(hashes: Column, i: Column) -> Column:
+    def rolled(hashes: Column, gap: Column) -> Column:
+        """Hash of the ``window`` lines around the gap after line ``gap``, as many of them as there are."""
         total = F.lit(0).cast("long")
-        for back in range(window - 1, -1, -1):
-            total = total * FACTOR + F.get(hashes, i - back)
+        for k in range(window):
+            total = (total * FACTOR + F.coalesce(F.get(hashes, gap + (k + 1 - (window + 1) // 2)), F.lit(0).cast("long"))) % MODULUS
         return total
 
+    def lowest(at: Column, i: Column) -> Column:
+        found = F.lit(True)
+        for k in range(1, reach + 1):
+            found = found & (F.get(at, i) < F.get(at, i - k)) & (F.get(at, i) <= F.get(at, i + k))
+        return found
+
     def of(hashes: Column) -> Column:
         n = F.size(hashes)
-        inner = F.when(n > window, F.sequence(F.lit(window - 1), n - 2)).otherwise(F.array().cast("array<int>"))
+        gaps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+        inner = F.when(n > 2 * reach + 1, F.sequence(F.lit(reach), n - 2 - reach)).otherwise(F.array().cast("array<int>"))
+        cuts_of = lambda at: F.filter(inner, lambda i: lowest(at, i))
         return bound(
-            F.filter(inner, lambda i: rolled(hashes, i) % divisor == 0),
+            bound(F.transform(gaps, lambda g: rolled(hashes, g)), cuts_of),
             lambda cuts: F.zip_with(F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 1)), F.concat(F.transform(cuts, lambda i: i + 1), F.array(n)), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))),
         )
 
@@ -61,7 +70,7 @@ def joined(lines: Column, at: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, at + 1, n), "\n")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, window: int = WINDOW, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, reach: int = REACH, window: int = WINDOW, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that is left, plus n_lines and n_removed_lines.
 
     Null text stays null with 0 lines; empty text is one empty line; a text whose
@@ -72,7 +81,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, window: int = WINDOW, m
     total, removed, key, gone, doc, key_r = fresh(docs, "n_lines", "n_removed_lines", "text_key", "gone", "doc_key", "text_key_r")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     plain = keyed.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(doc), F.col(key), F.col(text_col).alias("body"))
-    found = bound(split(F.col("body")), lambda lines: F.transform(F.filter(chunk_bounds(lines, divisor, window), lambda c: c["n"] >= min_lines), lambda c: bound(joined(lines, c["at"], c["n"]), lambda t: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")))))
+    found = bound(split(F.col("body")), lambda lines: F.transform(F.filter(chunk_bounds(lines, reach, window), lambda c: c["n"] >= min_lines), lambda c: bound(joined(lines, c["at"], c["n"]), lambda t: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")))))
     chunks = plain.select(doc, key, F.explode(found).alias("c")).select(doc, key, "c.*")
     same = ["h1", "h2", "n"]
     firsts = chunks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(doc, key, "at")).alias("first")).where("times > 1")

@@ -39,7 +39,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -58,7 +58,7 @@ def op9_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", "source", "copy", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -107,12 +107,13 @@ kept AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-#: Content-defined chunks of lines; those of two lines or more that occur before are cut out.
+#: Content-defined chunks of lines, cut at gaps whose hash is below both neighbours'; those of two lines or more that occur before are cut out.
 OP6_SQL = """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 hashed AS (SELECT doc_id, text, ls, list_transform(ls, lambda x: CAST(('0x' || substr(md5(x), 1, 15)) AS BIGINT) % 1000003) AS hs FROM docs),
-exploded AS (SELECT doc_id, text, len(ls) AS n, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line,
-  unnest(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i > 2 AND (hs[i - 2] * 31 + hs[i - 1]) % 3 = 0 THEN 1 ELSE 0 END)) AS opens FROM hashed),
+gaps AS (SELECT doc_id, text, ls, list_transform(range(1, len(ls)), lambda g: (hs[g] * 31 + hs[g + 1]) % 1000003) AS rs FROM hashed),
+exploded AS (SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line,
+  unnest(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i > 2 AND i < len(ls) AND rs[i - 1] < rs[i - 2] AND rs[i - 1] <= rs[i] THEN 1 ELSE 0 END)) AS opens FROM gaps),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, text ORDER BY i) AS c FROM exploded),
 chunks AS (SELECT doc_id, text, c, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, c) AS r FROM chunks),

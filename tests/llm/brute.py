@@ -67,13 +67,14 @@ def near(docs, percent=75):
     return {i: (len(found[i]), union.root(i)) for i in ids}
 
 
-def line_chunks(text, divisor=3):
+def line_chunks(text, reach=1):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % 1_000_003 for x in lines]
+    gap = [(a * 31 + b) % 1_000_003 for a, b in zip(h, h[1:], strict=False)]
     chunks, start = [], 0
     for k in range(len(lines)):
-        last = k == len(lines) - 1
-        if last or k >= 1 and (h[k - 1] * 31 + h[k]) % divisor == 0:
+        inner = reach <= k <= len(gap) - 1 - reach
+        if inner and all(gap[k] < gap[k - d] and gap[k] <= gap[k + d] for d in range(1, reach + 1)) or k == len(lines) - 1:
             chunks.append((start, lines[start : k + 1]))
             start = k + 1
     return chunks

@@ -249,6 +249,31 @@ def test_line_dedup(spark, real):
     assert len(rows) == len(expected)
 
 
+def test_planted_lines(spark):
+    """All of an exact copy goes; of a passage inside other text all but its two ends, wherever it stands."""
+    r = random.Random(11)
+    new = lambda n: [" ".join(str(r.randrange(10**6)) for _ in range(8)) for _ in range(n)]
+    texts = [new(n) for n in range(2, 12)]
+    passage = new(20)
+    docs = [(k, "\n".join(t)) for k, t in enumerate(texts)] + [(100 + k, "\n".join(t)) for k, t in enumerate(texts)]
+    docs += [(200, "\n".join(passage))] + [(201 + k, "\n".join(new(k % 5) + passage + new(1 + k % 4))) for k in range(12)]
+    found = {x["doc_id"]: x for x in lines.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(found[k]["n_removed_lines"] == 0 for k in range(10)) and all(found[100 + k]["text"] == "" for k in range(10))
+    gone = [found[201 + k]["n_removed_lines"] for k in range(12)]
+    assert min(gone) >= 12 and sum(gone) >= 0.75 * 20 * 12
+    chunked = [lines_ for _, lines_ in brute.line_chunks("\n".join(new(500)))]
+    assert min(map(len, chunked)) >= 2 and 2.5 < 500 / len(chunked) < 3.5
+
+
+@pytest.mark.parametrize("name", ["op6_line_dedup", "op10_mix_sources"])
+def test_queries_with_clashing_columns(spark, data, tmp_path, name):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    new = ["n_lines", "n_removed_lines", "copy", "rate", "gone", "text_key", "below", "mixed_source", "lang_pred", "score"]
+    docs.withColumns({c: F.lit("own") for c in new}).write.parquet(f"{tmp_path}/documents.parquet")
+    found, expected = (sorted(map(repr, queries.queries()[name](spark, str(d)).collect())) for d in (tmp_path, data))
+    assert found == expected
+
+
 def test_line_dedup_edges(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
     clash = spark.createDataFrame([(1, "a\nb\nc", 7, 8)], "doc_id long, text string, N_LINES int, gone int")
