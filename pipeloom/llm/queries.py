@@ -123,17 +123,20 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(gone AS BIGINT) AS n_removed_l
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
-#: Poisson counts with mean target share / share of characters, inverted at a number hashed from the id.
+#: Poisson counts with mean target share / share of characters, as sums of parts with a mean of 16 at most, each inverted at a number hashed from the id.
 OP10_SQL = """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS mass FROM documents GROUP BY source),
 shares AS (SELECT source, mass, CAST(floor(pow(CAST(mass AS DOUBLE), 0.5) * 1000000) AS BIGINT) AS share FROM sizes),
 rates AS (SELECT source, CAST(share AS DOUBLE) / CAST(sum(share) OVER () AS DOUBLE) * CAST(sum(mass) OVER () AS DOUBLE) / CAST(mass AS DOUBLE) AS rate FROM shares WHERE mass > 0),
-terms AS (SELECT source, rate, k, exp(sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(CAST(k AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY k)) AS p
-  FROM rates, range(0, 200) AS ks(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
-below AS (SELECT source, list(c ORDER BY k) AS cs FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
-drawn AS (SELECT doc_id, d.source, text, CAST(('0x' || substr(md5('mix:' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u, cs FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.source)
+parts AS (SELECT source, CAST(greatest(ceil(rate / 16), 1) AS BIGINT) AS m, rate / greatest(ceil(rate / 16), 1) AS mean FROM rates),
+terms AS (SELECT source, m, k, exp(sum(CASE WHEN k = 0 THEN -mean ELSE ln(mean) - ln(CAST(k AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY k)) AS p
+  FROM parts, range(0, 105) AS ks(k) WHERE k <= ceil(mean + 12 * sqrt(mean) + 40)),
+below AS (SELECT source, m, list(c ORDER BY k) AS cs FROM (SELECT source, m, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source, m),
+drawn AS (SELECT doc_id, d.source, text, cs, list_transform(range(0, m), lambda i: CAST(('0x' || substr(md5('mix:' || doc_id || CASE i WHEN 0 THEN '' ELSE ':' || i END), 1, 13)) AS BIGINT) / 4503599627370496.0) AS us
+  FROM documents d JOIN below b ON d.source IS NOT DISTINCT FROM b.source),
+counted AS (SELECT doc_id, source, text, list_sum(list_transform(us, lambda u: len(list_filter(cs, lambda x: u >= x)))) AS n FROM drawn)
 SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, sha256(text) AS text_sha256
-FROM (SELECT doc_id, source, text, unnest(range(0, len(list_filter(cs, lambda x: u >= x)))) AS copy FROM drawn)
+FROM (SELECT doc_id, source, text, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM counted)
 """
 
 

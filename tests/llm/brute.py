@@ -112,6 +112,13 @@ def poisson(rate, u):
     return k
 
 
+def copies(rate, name, seed="mix"):
+    """Drawn in equal parts with a mean of 16 at most."""
+    parts = max(1, math.ceil(rate / 16))
+    uniform = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+    return sum(poisson(rate / parts, uniform(f"{seed}:{name}" + (f":{k}" if k else ""))) for k in range(parts))
+
+
 def mix(docs, temperature=2.0, seed="mix"):
     """Counter of ids for rows (id, source, text)."""
     mass = defaultdict(int)
@@ -120,9 +127,8 @@ def mix(docs, temperature=2.0, seed="mix"):
     share = {s: math.floor(m ** (1 / temperature) * 1_000_000) for s, m in mass.items()}
     out = Counter()
     for i, s, _ in docs:
-        digest = hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
         rate = share[s] / sum(share.values()) * sum(mass.values()) / mass[s] if mass[s] else 0
-        n = poisson(rate, int(digest[:13], 16) / 2**52) if rate else 0
+        n = copies(rate, "" if i is None else i, seed) if rate else 0
         if n:
             out[i] += n
     return out

@@ -295,8 +295,21 @@ def test_mixing_hits_the_target(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "a").otherwise("b").alias("source"), F.lit("x" * 10).alias("text"))
     n = {r["source"]: r["count"] for r in mixing.mix(docs, {"a": 1.0, "b": 3.0}).groupBy("source").count().collect()}
     assert n["a"] == pytest.approx(5000, rel=0.06) and n["b"] == pytest.approx(15_000, rel=0.03)
-    rate = spark.createDataFrame([(0.3,), (900.0,)], "r double").select(mixing.cumulative(F.col("r"))).collect()
-    assert all(r[0][-1] == pytest.approx(1, abs=1e-9) for r in rate)
+    rate = spark.createDataFrame([(0.3,), (16.0,)], "r double").select(mixing.cumulative(F.col("r"))).collect()
+    assert all(r[0][-1] == pytest.approx(1, abs=1e-9) for r in rate) and max(len(r[0]) for r in rate) <= 106
+
+
+def test_mixing_with_large_rates(spark, monkeypatch):
+    """A rare source that is to be half of the corpus: rates in the hundreds, thousands and above what one array holds."""
+    docs = [(k, "common", "x" * 1000) for k in range(3000)] + [(5000 + k, "rare", "y" * 250) for k in range(20)] + [(6000, "one", "z" * 50)]
+    weights = {"common": 1.0, "rare": 1.0, "one": 1.0}
+    found = Counter(r["doc_id"] for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3), weights).select("doc_id", "copy").distinct().collect())
+    mass = {"common": 3_000_000, "rare": 5_000, "one": 50}
+    rate = {s: 333_333 / 999_999 * sum(mass.values()) / m for s, m in mass.items()} | {s: 1_000_000 / 3_000_000 * sum(mass.values()) / m for s, m in mass.items()}
+    assert found == +Counter({i: brute.copies(rate[s], i) for i, s, _ in docs})
+    assert found[6000] == pytest.approx(20_033, rel=0.03)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), weights).count() == sum(found.values())
 
 
 # pipeline
