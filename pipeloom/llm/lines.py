@@ -75,19 +75,21 @@ def dedup_lines(docs: DataFrame, reach: int = REACH, window: int = WINDOW, min_l
 
     Null text stays null with 0 lines; empty text is one empty line; a text whose
     every line goes becomes empty.  Rows equal in id and text are one document
-    (none of them removes the others' chunks).  New columns whose names ``docs``
-    has already get underscores after their names.
+    (none of them removes the others' chunks); a null id comes after all others; of
+    rows of one id with different texts the one with the smaller hash is first.  New
+    columns whose names ``docs`` has already get underscores after their names.  An
+    empty table gives no rows.
     """
-    total, removed, key, gone, doc, key_r = fresh(docs, "n_lines", "n_removed_lines", "text_key", "gone", "doc_key", "text_key_r")
+    total, removed, key, gone, doc, key_r, unnamed = fresh(docs, "n_lines", "n_removed_lines", "text_key", "gone", "doc_key", "text_key_r", "unnamed")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     plain = keyed.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(doc), F.col(key), F.col(text_col).alias("body"))
     found = bound(split(F.col("body")), lambda lines: F.transform(F.filter(chunk_bounds(lines, reach, window), lambda c: c["n"] >= min_lines), lambda c: bound(joined(lines, c["at"], c["n"]), lambda t: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")))))
     chunks = plain.select(doc, key, F.explode(found).alias("c")).select(doc, key, "c.*")
     same = ["h1", "h2", "n"]
-    firsts = chunks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(doc, key, "at")).alias("first")).where("times > 1")
+    firsts = chunks.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col(doc).isNull().alias(unnamed), doc, key, "at")).alias("first")).where("times > 1")
     # written, so that both sides of the join are plain exchanges, which AQE splits where a chunk is everywhere
     firsts = materialise(firsts.withColumn("salts", F.ceil(F.col("times") / SALT_ROWS).cast("long")).drop("times"), "repeated-chunks")
-    is_first = F.col("first").eqNullSafe(F.struct(doc, key, "at"))
+    is_first = F.struct(F.col("first")[doc], F.col("first")[key], F.col("first")["at"]).eqNullSafe(F.struct(doc, key, "at"))
     repeated = chunks.join(firsts, same).select(doc, key, F.struct("at", "n", "h1", "h2", "salts", is_first.alias("is_first")).alias("c"))
     per_doc = repeated.groupBy(doc, key).agg(F.collect_set("c").alias("cs"))
     held = plain.alias("p").join(per_doc.alias("r"), F.col(f"p.{doc}").eqNullSafe(F.col(f"r.{doc}")) & (F.col(f"p.{key}") == F.col(f"r.{key}")))

@@ -6,6 +6,7 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -50,3 +51,25 @@ def test_without_labels_documents_stay(spark, data):
     docs = spark.createDataFrame([(i, t, lang, "src0", 1) for i, t, lang in rows], SCHEMA)
     found = corpus_pipeline.identify_language(spark, docs, data)
     assert found.columns == docs.columns and sorted(x["text"] for x in found.collect()) == ["The cat.", "ok", "日本語"]
+
+
+def test_stages_with_nothing_and_with_odd_rows(spark, data):
+    """Empty tables, nulls in all columns, and columns named like the operators' results."""
+    r = random.Random(9)
+    names = ["lang_pred", "score", "n_lines", "n_removed_lines", "copy", "rate", "unnamed", "row", "component_id", "n_shingles", "key", "body", "sequence_id"]
+    rows = [(k, invented(r, 1 + k % 4), "en", "src0", 1) for k in range(20)] + [(None,) * 5, (30, None, None, None, None), (31, "", "en", "src1", 0), (32, "12", None, "src1", 2), (33, "\n\n", "en", None, 2), (34, "w" * 50_000, "en", None, 1), (35, "long words " * 20_000, "en", "src1", 1)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    clash = plain.select("*", *(F.lit("own").alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), data).count() == 0, name
+        assert stage(spark, clash.limit(0), data).count() == 0, name
+        found, same = stage(spark, clash, data), stage(spark, plain, data)
+        if name == "best_fit_packing":
+            assert found.count() == same.count() > len(rows)
+            continue
+        assert found.columns == clash.columns and same.columns == plain.columns, name
+        kept = found.collect()
+        assert {x[c] for x in kept for c in names} == {"own"}, name
+        assert sorted(map(repr, (tuple(x)[:5] for x in kept))) == sorted(map(repr, map(tuple, same.collect()))), name
+    no_counts = plain.drop("n_chars")
+    assert corpus_pipeline.dedup_lines(spark, no_counts, data).columns == no_counts.columns
