@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import textwrap
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_id", "canonical_sha256")
 
 
+def known_texts() -> list[tuple[int, str]]:
+    """Every known text as it stands, in capitals, and wrapped under a notice; ids below 0."""
+    wrapped = lambda t: "\n\n".join("\n".join(textwrap.wrap(part, 72)) for part in t.split("\n"))
+    forms = [form for _, t in licences.KNOWN for form in (t, t.upper(), "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + wrapped(t))]
+    return [(-1 - k, form) for k, form in enumerate(forms)]
+
+
+def license_scan_known_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over ``documents`` and the known texts in several forms, so that there is something to find."""
+    known = spark.createDataFrame(known_texts(), "doc_id long, text string")
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(known))
+    return found.select("doc_id", "license_id", "canonical_sha256")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +67,19 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.preference_pairs(table(spark, sf_dir, "conversations"))
+    return digested(chat.preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+def chat_preferences_shared_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference formatting where each conversation is chosen over itself with another last turn, so that all turns before are the prompt."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    other = turns.join(last, "conv_id").select((F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", "role", F.when(F.col("turn") == F.col("last"), F.lit("No.")).otherwise(F.col("text")).alias("text"))
+    found = chat.preference_pairs(turns.withColumn("conv_id", F.col("conv_id") * 2).unionByName(other))
+    return digested(found)
+
+
+def digested(found: DataFrame) -> DataFrame:
     texts = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
     return found.select("pair_id", "chosen_id", "rejected_id", "prompt_turns", *texts, chat.shown(F.col("chosen_mask")).alias("chosen_mask"), chat.shown(F.col("rejected_mask")).alias("rejected_mask"))
 
@@ -63,20 +90,32 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op2_license_scan, op3_ngram_jaccard, op4_language_id, op5_embedding_dedup, op6_line_dedup, op7_best_fit_packing, op8_nearest_neighbours, op9_chat_preferences, op10_mix_sources)}
+    return {f.__name__: with_code(f) for f in (op1_substring_dedup, op2_license_scan, op3_ngram_jaccard, op4_language_id, op5_embedding_dedup, op6_line_dedup, op7_best_fit_packing, op8_nearest_neighbours, op9_chat_preferences, op10_mix_sources, license_scan_known_texts, chat_preferences_shared_prefix)}
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def op2_sql() -> str:
+def op2_sql(source: str = "SELECT doc_id, text FROM documents") -> str:
     cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licences.EQUIVALENT.items())
-    known = ", ".join(f"('{digest}', '{name}')" for digest, name in sorted(licences.digests(licences.KNOWN).items()))
+    known = ", ".join(f"('{digest}', '{name}')" for digest, name in sorted((licences.digests(licences.KNOWN) | licences.KNOWN_DIGESTS).items()))
     lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    notice, year, body = (f"regexp_matches(l, {quoted(p)})" for p in (licences.NOTICE, licences.YEAR, licences.BODY))
     return f"""
-WITH bare AS (SELECT doc_id, trim(regexp_replace(regexp_replace({lower}, '{licences.COPYRIGHT_LINE}', chr(10), 'g'), '{licences.SEPARATORS}', ' ', 'g'), ' ') AS b FROM documents),
+WITH rows AS ({source}),
+lined AS (SELECT doc_id, array_to_string(list_filter(string_split({lower}, chr(10)), lambda l: NOT ({notice} AND ({year} OR NOT {body}))), chr(10)) AS t, text FROM rows),
+bare AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN trim(regexp_replace(t, '{licences.SEPARATORS}', ' ', 'g'), ' ') END AS b FROM lined),
 digests AS (SELECT doc_id, sha256(array_to_string(list_transform(string_split(b, ' '), lambda w: CASE w {cases} ELSE w END), ' ')) AS canonical_sha256 FROM bare)
 SELECT doc_id, license_id, canonical_sha256 FROM digests LEFT JOIN (VALUES {known}) AS k(d, license_id) ON d = canonical_sha256
 """
 
 
+def known_texts_sql() -> str:
+    rows = ", ".join(f"({i}, {quoted(t)})" for i, t in known_texts())
+    return op2_sql(f"SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}) AS k(doc_id, text)")
+
+
 #: The common turns of conversations 2k and 2k + 1, and what follows them in each.
 OP9_SQL = """
 WITH turns AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
@@ -96,17 +135,42 @@ SELECT q.pair_id, chosen_id, rejected_id, CAST(s AS INTEGER) AS prompt_turns, sh
 FROM shared q LEFT JOIN prompts USING (pair_id) LEFT JOIN rest a ON a.pair_id = q.pair_id AND a.side = 0 LEFT JOIN rest b ON b.pair_id = q.pair_id AND b.side = 1
 """
 
-#: Words covered by a window of 20 words that also starts earlier are removed.
-OP1_SQL = r"""
+#: The same over conversations of which each is chosen over itself with another last turn.
+SHARED_PREFIX_SQL = OP9_SQL.replace("FROM conversations", "FROM both_sides").replace(
+    "WITH turns AS",
+    """WITH last_turns AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+both_sides AS (SELECT conv_id * 2 AS conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT c.conv_id * 2 + 1, turn, role, CASE WHEN turn = last THEN 'No.' ELSE text END FROM conversations c JOIN last_turns l ON c.conv_id = l.conv_id),
+turns AS""",
+)
+
+#: Levels of doubling in the SQL: windows of 20 words up to 20 * 2 ** LEVELS.
+LEVELS = 24
+
+
+def op1_sql() -> str:
+    """Words covered by a window of 20 words that also starts earlier are removed; a window of twice the length is the pair of its halves."""
+    doubled = ",\n".join(
+        f"l{k + 1} AS MATERIALIZED (SELECT doc_id, s, c FROM (SELECT a.doc_id, a.s, min(a.doc_id * 4294967296 + a.s) OVER same AS c, count(*) OVER same AS n "
+        f"FROM l{k} a JOIN l{k} b ON a.doc_id = b.doc_id AND b.s = a.s + {20 * 2**k} WINDOW same AS (PARTITION BY a.c, b.c)) WHERE n > 1)"
+        for k in range(LEVELS)
+    )
+    longest = " UNION ALL ".join(f"SELECT doc_id, {20 * 2**k} AS size FROM l{k}" for k in range(LEVELS + 1))
+    return rf"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 windows AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, unnest(list_transform(range(1, len(ws) - 18), lambda s: array_to_string(ws[s:s + 19], ' '))) AS body FROM w),
-ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS r FROM windows),
+ranked AS MATERIALIZED (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS r, min(doc_id * 4294967296 + s) OVER (PARTITION BY body) AS c, count(*) OVER (PARTITION BY body) AS n FROM windows),
+l0 AS MATERIALIZED (SELECT doc_id, s, c FROM ranked WHERE n > 1),
+{doubled},
+longest AS (SELECT doc_id, max(size) AS size FROM ({longest}) GROUP BY doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM ranked WHERE r > 1),
 placed AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
 kept AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS body FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256, CAST(coalesce(size, 0) AS BIGINT) AS longest_repeat
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
+
 #: Content-defined chunks of lines, cut at gaps whose hash is below both neighbours'; those of two lines or more that occur before are cut out.
 OP6_SQL = """
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -141,4 +205,4 @@ FROM (SELECT doc_id, source, text, unnest(range(0, CAST(n AS BIGINT))) AS copy F
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_license_scan": op2_sql(), "op9_chat_preferences": OP9_SQL, "op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": op1_sql(), "op2_license_scan": op2_sql(), "op9_chat_preferences": OP9_SQL, "op6_line_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL, "license_scan_known_texts": known_texts_sql(), "chat_preferences_shared_prefix": SHARED_PREFIX_SQL}

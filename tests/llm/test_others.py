@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +54,42 @@ def test_licences(spark):
     assert [r[0] for r in known] == [licences.canonical_text(t) for _, t in licences.KNOWN]
 
 
+def wrapped(text, width):
+    return "\n\n".join("\n".join(textwrap.wrap(part, width)) for part in re.split(r"\n[ \t]*\n", text))
+
+
+@pytest.mark.parametrize("width", [40, 55, 60, 66, 72, 79, 90, 120])
+def test_wrapping_changes_no_digest(width):
+    for name, text in licences.KNOWN:
+        parts = re.sub(r"\n+", "\n\n", text)
+        again = "/* Copyright 1999-2021 The Authors */\nCopyright (c) 2020 A. Person <a@b.c>\n(C) 2001 B\nAll rights reserved.\n\n" + wrapped(parts, width)
+        assert licences.canonical_text(again) == licences.canonical_text(text), (name, width)
+        assert licences.canonical_text("\n".join("# " + line for line in again.split("\n"))) == licences.canonical_text(text), (name, width)
+
+
+#: Where these texts are on the machine, by the names of their files.
+COMMON = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_long_licences(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no licence texts on this machine")
+    rows = [(name, (folder / name).read_text()) for name in COMMON]
+    apache = (folder / "Apache-2.0").read_text()
+    rows += [("Apache-2.0", wrapped(apache, width)) for width in (50, 70, 100)] + [("Apache-2.0", re.sub(r"\bLICENSE\b", "LICENCE", apache.upper()))]
+    found = licences.scan(spark.createDataFrame(rows, "file string, text string")).collect()
+    assert [(r["file"], r["license_id"]) for r in found] == [(name, COMMON[name]) for name, _ in rows]
+
+
+def test_evidence_queries_find_something(spark, data):
+    found = queries.queries()["license_scan_known_texts"](spark, data).where("doc_id < 0").collect()
+    forms = [name for name, _ in licences.KNOWN for _ in range(3)]
+    assert {r["doc_id"]: r["license_id"] for r in found} == {-1 - k: name for k, name in enumerate(forms)}
+    found = queries.queries()["chat_preferences_shared_prefix"](spark, data).collect()
+    assert sum(r["prompt_turns"] for r in found) > len(found) > 0 and all(r["chosen_sha256"] != r["rejected_sha256"] for r in found)
+
+
 # language
 
 
