@@ -14,16 +14,26 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-#: Column types of an occurrence: its hash in 128 bits, its document's id, its place there, and a flag.
+#: Column types of an occurrence: its hash in 64 or 128 bits, its document's id, its place there, and a flag.
+SHORT = (("h", np.uint64), ("doc", np.int64), ("pos", np.int32), ("flag", np.uint8))
 OCCURRENCE = (("h", np.uint64), ("g", np.uint64), ("doc", np.int64), ("pos", np.int32), ("flag", np.uint8))
 #: A repeated place, its class, and whether the class occurs earlier.
 PLACE = (("doc", np.int64), ("pos", np.int32), ("h", np.uint64), ("flag", np.uint8))
 
 
+#: Columns that are stored as differences: they compress well where the rows are sorted by them.
+STEPS = ("doc", "pos")
+
+
 def pack(columns: dict[str, np.ndarray], kinds: tuple) -> bytes:
     """Columns of equal length, as planes of bytes (like bytes together), compressed."""
     n = len(columns[kinds[0][0]])
-    planes = [np.ascontiguousarray(columns[name].astype(kind).view(np.uint8).reshape(n, -1).T).tobytes() for name, kind in kinds]
+    planes = []
+    for name, kind in kinds:
+        column = columns[name].astype(kind)
+        if name in STEPS and n:
+            column = np.concatenate([column[:1], column[1:] - column[:-1]])  # modulo the type's size
+        planes.append(np.ascontiguousarray(column.view(np.uint8).reshape(n, -1).T).tobytes())
     return zstandard.compress(n.to_bytes(8, "little") + b"".join(planes), 1)
 
 
@@ -35,7 +45,8 @@ def unpack(blobs: list[bytes], kinds: tuple) -> dict[str, np.ndarray]:
         for name, kind in kinds:
             size = np.dtype(kind).itemsize
             planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
-            parts[name].append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+            column = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+            parts[name].append(np.cumsum(column, dtype=kind) if name in STEPS else column)
             at += n * size
     return {name: np.concatenate(p) for name, p in parts.items()}
 
@@ -50,10 +61,11 @@ def concat(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def by_hash(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The columns sorted by (hash, document, place), equal ones once, and True where a new hash begins."""
-    at = np.lexsort((columns["pos"], columns["doc"], columns["g"], columns["h"]))
+    names = [c for c in ("h", "g") if c in columns]
+    at = np.lexsort((columns["pos"], columns["doc"], *(columns[c] for c in reversed(names))))
     columns = take(columns, at)
     new = np.ones(len(at), bool)
-    new[1:] = (columns["h"][1:] != columns["h"][:-1]) | (columns["g"][1:] != columns["g"][:-1])
+    new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in names], axis=0)
     own = new.copy()
     own[1:] |= (columns["doc"][1:] != columns["doc"][:-1]) | (columns["pos"][1:] != columns["pos"][:-1])
     if own.all():
@@ -70,9 +82,9 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(7)).astype(np.int64) % groups
 
 
-def split(columns: dict[str, np.ndarray], key: np.ndarray, kinds: tuple) -> list[tuple[int, bytes]]:
-    """(key, packed columns) for each key."""
-    order = np.argsort(key, kind="stable")
+def split(columns: dict[str, np.ndarray], key: np.ndarray, kinds: tuple, by: tuple = ()) -> list[tuple[int, bytes]]:
+    """(key, packed columns) for each key, sorted by the columns ``by``."""
+    order = np.lexsort((*(columns[c] for c in reversed(by)), key)) if by else np.argsort(key, kind="stable")
     columns, key = take(columns, order), key[order]
     bounds = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0, append=key[-1] + 1 if len(key) else 0))
     return [(int(key[a]), pack({n: c[a:b] for n, c in columns.items()}, kinds)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

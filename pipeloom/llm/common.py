@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 ARROW_BATCH, BATCH_SETTING = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Removes a finished query's shuffle files.
 CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Work is dealt into parts of about so many bytes, however large the input is.
-PART_BYTES = 32 << 20
+#: Work is dealt into parts of so many bytes: small ones at first, larger ones beyond ``PARTS`` parts, since lists go from every part to every part.
+LEAST_PART, PART, LARGEST_PART, PARTS = 1 << 20, 32 << 20, 512 << 20, 4096
 
 
 def with_code(query):
@@ -107,8 +107,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts_of(spark: SparkSession, size: int | None) -> int:
-    """Into how many parts ``size`` bytes are dealt: by their number, and no fewer than the session's shuffle partitions."""
-    return max(shuffle_partitions(spark), -(-(size or 0) // PART_BYTES))
+    """Into how many parts ``size`` bytes are dealt; on a large cluster small inputs in as many as there are cores."""
+    size = size or 1
+    cores = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_PART))
+    return max(cores, min(PARTS, -(-size // PART)), -(-size // LARGEST_PART))
 
 
 def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:

@@ -11,9 +11,9 @@ least ``percent`` in a hundred.  The steps, each over all documents:
    its leaves are sets, its nodes hold OR-combined bitmaps and size ranges, and a
    dual traversal drops every pair of nodes whose greatest possible overlap is too
    small for a link.  A set takes part in the groups of its rarest keys only, as
-   many as a link must share one of; keys that name the same group are tried once;
-   a large group is dealt into blocks, and pairs of blocks are joined as separate
-   tasks.
+   many as a link must share one of; keys with the same smallest document are one
+   group; a large group is dealt into blocks, and pairs of blocks are joined as
+   separate tasks.
 4. Pairs that come through are compared exactly, shingle by shingle, in two rounds.
    The first takes a spanning forest of each group, most similar pairs first; its
    links give components.  The second judges *all* remaining pairs between
@@ -412,13 +412,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     texts = dealt(source.where(F.col("doc").isNotNull()).withColumn("key", group_column(F.col("doc"), parts)), parts, "key")
     alive = dealt(first.where(F.col("kind") == SHARED_KEY).select("key", "data"), parts, "key")
     known = materialise(texts.groupBy("key").cogroup(alive.groupBy("key")).applyInArrow(survivors, kept_schema), "survivors")
-    rarest = known.select("doc", F.explode("tokens").alias("token")).distinct()
-    each = F.xxhash64("doc")
-    # keys with the same members (count and two sums of hashes agree) are one group, named by the smallest
-    members = rarest.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum(each.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")).where("size > 1")
-    # written, so that both sides of the join are plain exchanges, which AQE splits at hot keys
-    named = materialise(members.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size"), "key-names")
-    groups_of = materialise(rarest.join(named, "token").select("token", "size", "doc"), "groups")
+    rarest = known.select("doc", F.explode("tokens").alias("token"))
+    # keys whose smallest document is the same are one group, named by it: keys of one passage, or of one family, have mostly the same documents
+    leaders = rarest.groupBy("token").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).where("leader < most").select("token", "leader")
+    # written, so that both sides of the joins are plain exchanges, which AQE splits at hot keys
+    led = materialise(rarest.join(materialise(leaders, "leaders"), "token").select(F.col("leader").alias("token"), "doc").distinct(), "led")
+    named = materialise(led.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    groups_of = materialise(led.join(named, "token").select("token", "size", "doc"), "groups")
+    discard(led)
 
     def carried(spread: DataFrame, data: str) -> DataFrame:
         signed = spread.join(known.select("doc", "n", F.col(data).alias("data")), "doc")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, words
-from .blobs import OCCURRENCE, PLACE
+from .blobs import OCCURRENCE, PLACE, SHORT
 from .common import dealt, discard, materialise, parts_of
 
 MIN_WORDS = 20
@@ -85,10 +85,10 @@ def table_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return rows(*map(list, zip(*found, strict=True))) if found else rows([], [], [])
 
 
-def occurrences(h: np.ndarray, g: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> dict:
+def occurrences(hashes: dict, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> dict:
     """The windows that start at words ``at``, by document and place there."""
     owner = np.searchsorted(first, at, side="right") - 1
-    return {"h": h[at], "g": g[at], "doc": ids[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)}
+    return {k: h[at] for k, h in hashes.items()} | {"doc": ids[owner], "pos": (at - first[owner]).astype(np.int32), "flag": np.zeros(len(at), np.uint8)}
 
 
 def sendable(found: dict, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
@@ -99,8 +99,8 @@ def sendable(found: dict, buckets: int, groups: int) -> list[tuple[int, int, byt
     sent["flag"] = (np.diff(starts, append=len(new)) > 1).astype(np.uint8)
     known = blobs.take(found, np.flatnonzero(~new))
     known["flag"][:] = 1
-    out = [(JUDGED, *x) for x in blobs.split(sent, (sent["h"] >> np.uint64(20)).astype(np.int64) % buckets, OCCURRENCE)]
-    return out + [(KNOWN, *x) for x in blobs.split(known, blobs.group_of(known["doc"], groups), PLACE)]
+    out = [(JUDGED, *x) for x in blobs.split(sent, (sent["h"] >> np.uint64(20)).astype(np.int64) % buckets, OCCURRENCE if "g" in found else SHORT)]
+    return out + [(KNOWN, *x) for x in blobs.split(known, blobs.group_of(known["doc"], groups), PLACE, ("doc", "pos"))]
 
 
 def sent(parts: Iterable[dict], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def doc_ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def repeats(moved: DataFrame, buckets: int, groups: int) -> DataFrame:
+def repeats(moved: DataFrame, buckets: int, groups: int, kinds: tuple) -> DataFrame:
     """Judge the occurrences of each range of hashes together; other rows pass through.  Result: moved rows by group of documents.
 
     A class repeats if it stands at two places (rows that repeat a whole document
@@ -140,14 +140,14 @@ def repeats(moved: DataFrame, buckets: int, groups: int) -> DataFrame:
     def judged(group: pa.Table) -> pa.Table:
         if group.column("kind")[0].as_py() != JUDGED:
             return group
-        found, new = blobs.by_hash(blobs.unpack(group.column("data").to_pylist(), OCCURRENCE))
+        found, new = blobs.by_hash(blobs.unpack(group.column("data").to_pylist(), kinds))
         if not len(new):
             return group.slice(0, 0)
         at = np.cumsum(new) - 1
         many = np.bincount(at) + np.bincount(at, found["flag"])
         found["flag"] = (~new).astype(np.uint8)
         found = blobs.take(found, np.flatnonzero(many[at] > 1))
-        out = [(KNOWN, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), PLACE)]
+        out = [(KNOWN, *x) for x in blobs.split(found, blobs.group_of(found["doc"], groups), PLACE, ("doc", "pos"))]
         del found
         blobs.tidy()
         return pa.Table.from_batches([table_of(out)])
@@ -180,8 +180,8 @@ class Levels:
         texts, moved = dealt(self.grouped, self.groups, "key"), dealt(table, self.groups, "key")
         return texts.groupBy("key").cogroup(moved.groupBy("key")).applyInArrow(function, schema)
 
-    def judge(self, moved: DataFrame, tag: str) -> DataFrame:
-        return materialise(repeats(moved, self.buckets, self.groups), tag)
+    def judge(self, moved: DataFrame, tag: str, kinds: tuple = SHORT) -> DataFrame:
+        return materialise(repeats(moved, self.buckets, self.groups, kinds), tag)
 
     def half(self) -> DataFrame:
         """Anchors that repeat."""
@@ -192,7 +192,7 @@ class Levels:
                 for part in slices(batch, 1):
                     hashes, first = words.words(part.column(1))
                     _, anchor, grams = anchors(hashes, first, size)
-                    yield occurrences(grams, np.zeros_like(grams), np.unique(anchor), doc_ids(part.column(0)), first)
+                    yield occurrences({"h": grams}, np.unique(anchor), doc_ids(part.column(0)), first)
 
         def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from sent(windows(batches), buckets, groups)
@@ -210,14 +210,14 @@ class Levels:
                     ids = doc_ids(part.column(0))
                     live = live_words(ids, first, found["doc"], found["pos"].astype(np.int64), hashes.shape[1])
                     starts, anchor, _ = anchors(hashes[0], first, size)
-                    yield occurrences(words.ngrams(hashes[0], size, 2), words.ngrams(hashes[1], size, 3), starts[live[anchor]], ids, first)
+                    yield occurrences({"h": words.ngrams(hashes[0], size, 2), "g": words.ngrams(hashes[1], size, 3)}, starts[live[anchor]], ids, first)
 
         def moved(texts: pa.Table, table: pa.Table) -> pa.Table:
             found = places(table)
             texts = texts.filter(pa.array(np.isin(doc_ids(texts.column("doc").combine_chunks()), found["doc"])))
             return pa.Table.from_batches([*sent(windows(texts, found), buckets, groups), rows([], [], [])])
 
-        return self.judge(self.with_places(alive, moved, MOVED), "windows")
+        return self.judge(self.with_places(alive, moved, MOVED), "windows", OCCURRENCE)
 
     def doubled(self, alive: DataFrame, size: int) -> DataFrame:
         """Windows of ``2 * size`` words that repeat, of those of ``size`` that do; with them the documents that had the latter."""
@@ -230,7 +230,7 @@ class Levels:
             other = np.minimum(np.searchsorted(at, at + size), len(at) - 1)
             both = np.flatnonzero(at[other] == at + size)
             pair = words.ngrams(np.stack([found["h"][both], found["h"][other[both]]], 1).reshape(-1), 2, 4)[::2]
-            longer = {"h": pair, "g": words.mix(pair), "doc": found["doc"][both], "pos": found["pos"][both], "flag": np.zeros(len(both), np.uint8)}
+            longer = {"h": pair, "doc": found["doc"][both], "pos": found["pos"][both], "flag": np.zeros(len(both), np.uint8)}
             out = sendable(longer, buckets, groups)
             out += [(LONGEST, *x) for x in blobs.split({"doc": docs, "size": np.full(len(docs), size)}, blobs.group_of(docs, groups), LEVEL)]
             del found, longer
@@ -245,13 +245,14 @@ class Levels:
         anchors_alive = self.half()
         first = alive = self.full(anchors_alive)
         discard(anchors_alive)
-        size, longest = self.size, None
+        size, longest = self.size, first.limit(0)
         while alive.where(F.col("kind") == KNOWN).limit(1).count():
-            alive = self.doubled(alive, size)
-            of_level = alive.where(F.col("kind") == LONGEST)
-            longest = of_level if longest is None else longest.union(of_level)
+            before, alive = alive, self.doubled(alive, size)
+            if before is not first:
+                discard(before)
+            longest = longest.union(materialise(alive.where(F.col("kind") == LONGEST), "levels"))
             size *= 2
-        return first, first.limit(0) if longest is None else longest
+        return first, longest
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
