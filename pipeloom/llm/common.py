@@ -23,7 +23,7 @@ ARROW_BATCH, BATCH_SETTING = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Removes a finished query's shuffle files.
 CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Work is dealt into parts of so many bytes: small ones at first, larger ones beyond ``PARTS`` parts, since lists go from every part to every part.
-LEAST_PART, PART, LARGEST_PART, PARTS = 1 << 20, 32 << 20, 512 << 20, 4096
+LEAST_PART, PART, LARGEST_PART, PARTS = 1 << 20, 16 << 20, 512 << 20, 8192
 
 
 def with_code(query):
