@@ -34,7 +34,7 @@ THRESHOLD = 0.93
 #: Corners probed per hash.
 PROBES = 2
 #: Vectors that a bucket holds by chance at most (on average), and hashes of a table at least and at most.
-BY_CHANCE, LEAST_HASHES, MOST_HASHES = 16, 2, 6
+BY_CHANCE, LEAST_HASHES, MOST_HASHES = 0.5, 2, 6
 #: Rows of a block of a large bucket; buckets up to SMALL rows are compared together; pairs at hand at a time.
 BLOCK, SMALL, PAIRS = 1024, 48, 32_768
 
@@ -65,12 +65,12 @@ def codes(x: np.ndarray, hashes: int) -> np.ndarray:
             turned = vectors.rotated(unit, 1000 * table + k)
             best = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, : min(PROBES, width)]
             corners.append((best * 2 + (np.take_along_axis(turned, best, 1) < 0)).astype(np.uint64))
-        own = []
+        own, plain = [], (2 * width) ** hashes < 2**55  # small numbers travel compressed
         for probe in product(range(corners[0].shape[1]), repeat=hashes):
             h = np.zeros(len(x), np.uint64)
             for c, p in zip(corners, probe, strict=True):
-                h = words.mix(h * np.uint64(0x9E3779B97F4A7C15) + c[:, p] + np.uint64(1))
-            own.append(h >> np.uint64(8))
+                h = h * np.uint64(2 * width) + c[:, p] if plain else words.mix(h * np.uint64(0x9E3779B97F4A7C15) + c[:, p] + np.uint64(1))
+            own.append(h if plain else h >> np.uint64(8))
         out.append(np.sort(np.stack(own, 1), axis=1) | np.uint64(table << 56))
     return np.concatenate(out, 1).astype(np.int64)
 
