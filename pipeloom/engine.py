@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import enum
+import functools
+import queue
 import re
 import threading
+import uuid
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,19 +59,129 @@ def adapt(name: str, df: DataFrame, dates: tuple[str, ...] = ()) -> Table:
 
 
 class Token:
-    """Cancels running queries of a prepared statement."""
+    """Cancels queries that run with it, also in the middle of a Spark job.  A cancelled token stays so."""
 
     def __init__(self) -> None:
         self._event = threading.Event()
+        self._lock = threading.Lock()
+        self._actions: list = []
 
     def cancel(self) -> None:
-        self._event.set()
+        with self._lock:
+            self._event.set()
+            actions, self._actions = self._actions, []
+        for action in actions:
+            action()
+
+    def on_cancel(self, action) -> None:
+        """Call ``action`` at cancellation, at once if that has been."""
+        with self._lock:
+            if not self._event.is_set():
+                self._actions.append(action)
+                return
+        action()
 
     @property
     def cancelled(self) -> bool:
         return self._event.is_set()
 
 
+class Step(enum.Enum):
+    """What a step of a cursor found."""
+
+    ROWS = "rows"
+    PROGRESS = "progress"
+    FINISHED = "finished"
+    FAILED = "failed"
+
+
+class Cursor:
+    """One run of a prepared query, stepped by its reader.
+
+    ``step`` gives (Step.ROWS, rows), (Step.PROGRESS, None) while Spark is at work,
+    (Step.FINISHED, None) or (Step.FAILED, error); the last two stay.  Only FINISHED says
+    that the rows seen are the complete answer.  Dropping or closing a cursor cancels its
+    Spark jobs.  A Spark job runs in a thread of its own, at most ``AHEAD`` batches ahead.
+    """
+
+    AHEAD, WAIT = 4, 0.05
+
+    def __init__(self, prepared: Prepared, token: Token | None = None, size: int = BATCH_ROWS):
+        self._found: queue.Queue = queue.Queue(self.AHEAD)
+        self._end: tuple | None = None
+        self._closed = threading.Event()
+        self._tag = f"pipeloom-{uuid.uuid4().hex}"
+        self._context = prepared.engine.spark.sparkContext
+        self.token = token or Token()
+        args = (prepared, self.token, size, self._found, self._closed, self._tag)
+        self._thread = threading.Thread(target=_run, args=args, daemon=True)
+        stop = functools.partial(_stop, self._context, self._closed, self._tag)
+        self.token.on_cancel(stop)
+        self._finalizer = weakref.finalize(self, stop)
+        self._thread.start()
+
+    def step(self) -> tuple[Step, object]:
+        if self._end is None and self.token.cancelled:
+            self._end = (Step.FAILED, E.Cancelled("the query was cancelled"))
+        if self._end is not None:
+            return self._end
+        try:
+            kind, found = self._found.get(timeout=self.WAIT)
+        except queue.Empty:
+            return Step.PROGRESS, None
+        if kind in (Step.FINISHED, Step.FAILED):
+            self._end = (kind, found)
+            self._finalizer.detach()
+        return kind, found
+
+    def close(self) -> None:
+        """Abandon the run; a cursor that hasn't ended has failed then."""
+        if self._end is None:
+            self._end = (Step.FAILED, E.Cancelled("the cursor was closed"))
+            self._finalizer()
+
+
+def _stop(context, closed: threading.Event, tag: str) -> None:
+    closed.set()
+    try:
+        context.cancelJobsWithTag(tag)
+    except Exception:  # noqa: BLE001 - the context may have been stopped
+        pass
+
+
+def _run(prepared: Prepared, token: Token, size: int, found: queue.Queue, closed: threading.Event, tag: str) -> None:
+    """Fill a cursor's queue; ends early once the cursor is closed."""
+
+    def put(item: tuple) -> bool:
+        while not closed.is_set():
+            try:
+                found.put(item, timeout=Cursor.WAIT)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    context = prepared.engine.spark.sparkContext
+    try:
+        context.addJobTag(tag)
+        batch: list[tuple] = []
+        for row in prepared.dataframe().toLocalIterator():
+            if closed.is_set():
+                return
+            batch.append(tuple(row))
+            if len(batch) == size:
+                if not put((Step.ROWS, batch)):
+                    return
+                batch = []
+        if not batch or put((Step.ROWS, batch)):
+            put((Step.FINISHED, None))
+    except Exception as e:  # noqa: BLE001 - the reader gets it
+        put((Step.FAILED, E.Cancelled("the query was cancelled") if token.cancelled else prepared.typed(e)))
+    finally:
+        with contextlib.suppress(Exception):
+            context.removeJobTag(tag)
+
+
 class Prepared:
     """A bound query over one snapshot of its tables."""
 
@@ -92,23 +208,24 @@ class Prepared:
         except Exception as e:
             raise self.typed(e) from e
 
+    def cursor(self, token: Token | None = None, size: int = BATCH_ROWS) -> Cursor:
+        """Start a run, to be stepped through."""
+        return Cursor(self, token, size)
+
     def batches(self, token: Token | None = None, size: int = BATCH_ROWS) -> Iterator[list[tuple]]:
         """The result in batches of at most ``size`` rows; only exhaustion means that it is complete."""
-        batch: list[tuple] = []
+        cursor = self.cursor(token, size)
         try:
-            for row in self.dataframe().toLocalIterator():
-                if token and token.cancelled:
-                    raise E.Cancelled("the query was cancelled")
-                batch.append(tuple(row))
-                if len(batch) == size:
-                    yield batch
-                    batch = []
-        except E.PipeError:
-            raise
-        except Exception as e:
-            raise self.typed(e) from e
-        if batch:
-            yield batch
+            while True:
+                kind, found = cursor.step()
+                if kind is Step.ROWS:
+                    yield found
+                elif kind is Step.FAILED:
+                    raise found
+                elif kind is Step.FINISHED:
+                    return
+        finally:
+            cursor.close()
 
     def typed(self, error: Exception) -> Exception:
         """The engine's failure behind a Spark exception, else the exception."""
@@ -134,6 +251,7 @@ class Engine:
         self.tables: dict[str, Table] = {}
 
     def configure(self) -> None:
+        """Leave out, in this session, a rule that would raise errors of rows that no result demands.  Lazy results need it after this call; other queries only lose that one folding."""
         conf = self.spark.conf
         rules = conf.get("spark.sql.optimizer.excludedRules", None) or ""
         if EXCLUDED not in rules:

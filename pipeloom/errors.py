@@ -81,5 +81,9 @@ class Cancelled(PipeError):
     pass
 
 
+class Contention(PipeError):
+    """Another writer or cleanup is at work; try again later."""
+
+
 class Unsupported(PipeError):
     pass

@@ -23,14 +23,25 @@ def as_type(e: L.Expr, type_: str) -> Text:
     return as_double(e) if type_ == "DOUBLE" else value(e)
 
 
+#: Operations that fail for some arguments.
+FAILING = (*ARITHMETIC, "/", "DIV", "MOD", "ABS", "SQRT", "LN", "LOG10", "EXP", "POW", "POWER")
+
+
+def may_fail(e: L.Expr) -> bool:
+    return e.op in FAILING or e.op == "case" or any(may_fail(a) for a in e.args)
+
+
+def both(a: L.Expr, b: L.Expr, x: Text, y: Text, found: Text, type_: str) -> Text:
+    """``found`` of the arguments x and y, where y is evaluated, and may fail, also beside a NULL x."""
+    if not (a.nullable and may_fail(b)):
+        return found
+    return X.when(x.is_null() & y.is_null(), X.null(type_)).otherwise(found)
+
+
 def value(e: L.Expr) -> Text:
     """The column of an expression, with its failures guarded."""
-    if e.op in ARITHMETIC and e.type == "DOUBLE":
-        raw, leaves = chain(e)
-        return scalars.overflow_guard(raw, leaves, "arithmetic", e.span) if leaves else raw
     if e.op in ARITHMETIC:
-        raw, leaves = whole_chain(e)
-        return scalars.null_guard(raw, leaves, "arithmetic", e.span)
+        return arithmetic(e)
     if e.op == "column":
         return X.col(e.value.id)
     if e.op in ("number", "text", "day"):
@@ -55,53 +66,81 @@ def apply(op: str, args: list[Text]) -> Text:
     return a + b if op == "+" else a - b if op == "-" else a * b
 
 
-def chain(e: L.Expr) -> tuple[Text, list[Text]]:
-    """A tree of DOUBLE + - * without guards inside, and the leaves that may not be finite.
+class Chain:
+    """A tree of + - * of one type without guards inside: its text, the text of each operation and its arguments, and its leaves.
 
-    Non-finite values stay non-finite in such a tree, so one test at its top does.
+    DOUBLE values that aren't finite stay so up to the top, as does the NULL of an INT64
+    operation that overflows: where the top is as it should be nothing below failed.
     """
-    if e.op in ARITHMETIC and e.type == "DOUBLE":
-        parts = [chain(a) for a in e.args]
-        leaves: list[Text] = [x for _, found in parts for x in found]
-        return apply(e.op, [c for c, _ in parts]), leaves
-    if e.op == "number":
-        return X.lit(float(e.value)), []
-    c = as_double(e)
-    return c, [c]
-
-
-def whole_chain(e: L.Expr) -> tuple[Text, list[Text]]:
-    """A tree of INT64 + - * whose overflow is NULL, and its leaves: NULL spreads, so one test at the top does."""
-    if e.op in ARITHMETIC:
-        parts = [whole_chain(a) for a in e.args]
-        args = [X.lit(0), parts[0][0]] if e.op == "neg" else [c for c, _ in parts]
-        return X.fn(TRIED[e.op], *args), [x for _, found in parts for x in found]
-    return (X.lit(e.value), []) if e.op == "number" else (c := value(e), [c])
+
+    def __init__(self, e: L.Expr):
+        self.type = e.type
+        self.operations: list[tuple[list[Text], Text]] = []
+        self.leaves: list[tuple[L.Expr, Text]] = []
+        self.text = self.add(e)
+
+    def add(self, e: L.Expr) -> Text:
+        if e.op in ARITHMETIC and e.type == self.type:
+            args = [self.add(a) for a in e.args]
+            if self.type == "DOUBLE":
+                found = apply(e.op, args)
+            else:
+                found = X.fn(TRIED[e.op], *([X.lit(0), *args] if e.op == "neg" else args))
+            self.operations.append((args, found))
+            return found
+        if e.op == "number":
+            return X.lit(float(e.value) if self.type == "DOUBLE" else e.value)
+        c = as_double(e) if self.type == "DOUBLE" else value(e)
+        self.leaves.append((e, c))
+        return c
+
+
+def arithmetic(e: L.Expr) -> Text:
+    found = Chain(e)
+    double = e.type == "DOUBLE"
+    inputs = [c for _, c in found.leaves]
+    if double and not inputs:
+        return found.text
+    risky = [c for leaf, c in found.leaves if may_fail(leaf)]
+    if len(found.operations) == 1 and not risky:
+        return (scalars.overflow_guard if double else scalars.null_guard)(found.text, inputs, "arithmetic", e.span)
+    good = scalars.finite if double else Text.is_not_null
+    failed = [reduce(lambda a, b: a & b, [good(x) for x in args], ~good(text) if double else text.is_null()) for args, text in found.operations]
+    exceeded = reduce(lambda a, b: a | b, failed)
+    if risky:  # each is evaluated, whatever is NULL beside it
+        exceeded = X.fn("greatest", *(c.is_null() for c in risky), True) & exceeded
+    return X.when(good(found.text), found.text).when(exceeded, scalars.failure("overflow", "arithmetic", e.span, e.type)).otherwise(found.text)
 
 
 def call(e: L.Expr) -> Text:
     name, span = e.op, e.span
     if name in ("DIV", "MOD"):
-        return (scalars.div if name == "DIV" else scalars.mod)(value(e.args[0]), value(e.args[1]), span)
+        x, y = value(e.args[0]), value(e.args[1])
+        return both(*e.args, x, y, (scalars.div if name == "DIV" else scalars.mod)(x, y, span), "bigint")
     if name in ("ABS", "SIGN"):
         x = value(e.args[0])
         return scalars.absolute(x, e.type, span) if name == "ABS" else scalars.sign(x, e.type)
     if name == "COALESCE":
         return X.fn("coalesce", *(as_type(a, e.type) for a in e.args))
     if name == "NULLIF":
-        return scalars.nullif(as_type(e.args[0], e.type), as_type(e.args[1], e.type), e.type)
+        x, y = as_type(e.args[0], e.type), as_type(e.args[1], e.type)
+        return both(*e.args, x, y, scalars.nullif(x, y, e.type), scalars.SPARK_TYPES[e.type])
     args = [as_double(a) for a in e.args]
     if name == "/":
         divisor = e.args[1]
         if divisor.op == "number" and float(divisor.value) != 0:
             return scalars.overflow_guard(args[0] / args[1], [args[0]], "division", span)
-        return scalars.divide(*args, span)
-    simple = {"CAST": lambda x: x, "FLOOR": scalars.floor, "CEIL": scalars.ceil, "CEILING": scalars.ceil, "ROUND": scalars.rounded, "SAFE_DIVIDE": scalars.safe_divide}
+        return both(*e.args, *args, scalars.divide(*args, span), "double")
+    simple = {"CAST": lambda x: x, "FLOOR": scalars.floor, "CEIL": scalars.ceil, "CEILING": scalars.ceil, "ROUND": scalars.rounded}
+    if name == "SAFE_DIVIDE":
+        return both(*e.args, *args, scalars.safe_divide(*args), "double")
     if name in simple:
         return simple[name](*args)
     if name in ("LN", "LOG10"):
         return scalars.logarithm(args[0], name == "LOG10", span)
-    return {"SQRT": scalars.sqrt, "EXP": scalars.exponential, "POW": scalars.power, "POWER": scalars.power}[name](*args, span)
+    if name in ("POW", "POWER"):
+        return both(*e.args, *args, scalars.power(*args, span), "double")
+    return {"SQRT": scalars.sqrt, "EXP": scalars.exponential}[name](*args, span)
 
 
 def case(e: L.Expr) -> Text:
@@ -114,6 +153,7 @@ def case(e: L.Expr) -> Text:
             double = "DOUBLE" in (a.type, b.type)
             x, y = (as_double(a), as_double(b)) if double else (value(a), value(b))
             condition = scalars.compare(op, x, y, a.type == "DOUBLE" and a.op != "number", b.type == "DOUBLE" and b.op != "number")
+            condition = both(a, b, x, y, condition, "boolean")
         branch = as_type(result, e.type)
         found = X.when(condition, branch) if found is None else found.when(condition, branch)
     return found.otherwise(as_type(results[-1], e.type))

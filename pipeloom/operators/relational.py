@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import Unsupported
 from ..functions import aggregates, scalars
 from ..functions import text as X
 from ..functions.text import Text
@@ -15,7 +14,9 @@ from ..plans import logical as L
 from . import windows
 from .expressions import predicate, value
 
-INT32_MAX = 2**31 - 1
+INT32_MAX, INT64_MAX = 2**31 - 1, 2**63 - 1
+#: Copies of a row that are made at once.
+CHUNK = 65_536
 
 
 @dataclass
@@ -140,8 +141,7 @@ class Compiler:
         both = ours.join(other, condition, "left")
         others = F.coalesce("others__", F.lit(0))
         copies = F.col("times__") - others if node.kind == "except" else F.least("times__", others)
-        counted = both.select(*names, copies.alias("copies__")).where("copies__ > 0")
-        return Relation(counted.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies__")).alias("copy__")).drop("copy__"))
+        return Relation(replicated(both.select(*names, copies.alias("copies__")).where("copies__ > 0"), names))
 
     def order(self, node: L.Order) -> Relation:
         return self.compile(node.input)  # the order is applied where it counts: at LIMIT and at the result
@@ -149,15 +149,32 @@ class Compiler:
     def limit(self, node: L.Limit) -> Relation:
         below = self.compile(node.input)
         df = sorted_by(below.df, node.keys)
-        if node.offset > INT32_MAX:
-            raise Unsupported("LIMIT with an offset of 2**31 or more")
+        if node.count + node.offset > INT32_MAX:
+            return Relation(beyond(below.df, node), below.stamps)
         if node.offset:
             df = df.offset(node.offset)
-        if node.count + node.offset <= INT32_MAX:
-            df = df.limit(node.count)
-        elif node.count < INT32_MAX:
-            raise Unsupported("LIMIT with a count and offset of 2**31 or more together")
-        return Relation(df, below.stamps)
+        return Relation(df.limit(node.count), below.stamps)
+
+
+def replicated(counted: DataFrame, names: list[str]) -> DataFrame:
+    """Each row ``copies__`` times.  No array holds more than ``CHUNK`` copies, and many copies of one row are dealt to several tasks."""
+    one = lambda n: F.explode(F.sequence(F.lit(1).cast("int"), n.cast("int"))).alias("copy__")
+    few = counted.where(F.col("copies__") <= CHUNK).select(*names, one(F.col("copies__")))
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies__") - 1, F.lit(CHUNK).cast("long"))).alias("start__")
+    chunks = counted.where(F.col("copies__") > CHUNK).select(*names, "copies__", start).repartition("start__")
+    many = chunks.select(*names, one(F.least(F.lit(CHUNK), F.col("copies__") - F.col("start__"))))
+    return few.union(many).drop("copy__")
+
+
+def beyond(df: DataFrame, node: L.Limit) -> DataFrame:
+    """LIMIT whose bounds pass Spark's own 32-bit ones: rows are counted in 64 bits, in one task and without holding them."""
+    if not node.offset and node.count >= INT64_MAX:
+        return sorted_by(df, node.keys)
+    keys = [o for k in node.keys for o in scalars.order_by(X.col(k.column.id), k.column.type, k.ascending, k.nulls_first)]
+    before = Window.orderBy(*(keys or [F.monotonically_increasing_id()])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = df.withColumn("place__", F.count(F.lit(1)).over(before))
+    last = min(node.offset + node.count, INT64_MAX)
+    return placed.where((F.col("place__") > node.offset) & (F.col("place__") <= last)).drop("place__")
 
 
 def sorted_by(df: DataFrame, keys: list) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A file without line ends inside quotes is decoded line by line on the executors.
 Any doubt (a line that isn't a whole record, or an invalid one) sends the import to
-the sequential decoder, which either accepts the file or names the offending byte.
+the sequential decoder, which reads the file in pieces and either accepts it or names
+the offending byte.  Other failures of the job are not taken for a doubt.
 """
 
 from __future__ import annotations
 
 import datetime
+import io
 import itertools
 import math
 import re
@@ -22,8 +24,11 @@ from ..engine import row_type
 from ..errors import InputError
 from ..functions.constants import INT_MAX, INT_MIN
 from .catalog import Catalog
+from .store import opened
 
 MAX_RECORD, MAX_FIELD = 8_388_801, 65_536
+#: Bytes of a stream that are read at a time.
+CHUNK = 1 << 20
 _INT = re.compile(r"[+-]?[0-9]+")
 _DOUBLE = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _DATE = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})")
@@ -34,42 +39,72 @@ _QUOTED = re.compile(rb'"((?:[^"]|"")*)"')
 Field = tuple[bytes | None, int]  # content (None: NULL), offset of the field
 
 
-def records(data: bytes, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple[list[Field], int, int]]:
-    """(fields, offset of the record, offset of its end) of each record of a whole file."""
-    at, end = 0, len(data)
-    while at < end:
-        start, fields = at, []
-        while True:
-            begin = at
+class More(Exception):
+    """The buffer ends before the record does."""
+
+
+def record(data: bytes, at: int, base: int, last: bool, record_limit: int, field_limit: int) -> tuple[list[Field], int, int]:
+    """(fields, place of the record's end, place of the next) of the record at ``at`` of a buffer that begins at ``base`` of the input.
+
+    Unless the buffer is the ``last`` one, ``More`` is raised where what follows it might matter.
+    """
+    start, fields, end = at, [], len(data)
+    while True:
+        begin = at
+        if data[at : at + 1] == b'"':
+            found = _QUOTED.match(data, at)
+            if not found or (found.end() == end and not last):
+                if not last:
+                    raise More
+                raise InputError("unterminated quoted field", base + end)
+            content: bytes | None = found[1].replace(b'""', b'"')
+            at = found.end()
+        else:
+            found = _PLAIN.match(data, at)
+            at = found.end()
+            content = None if found[0] == rb"\N" else found[0]
             if data[at : at + 1] == b'"':
-                found = _QUOTED.match(data, at)
-                if not found:
-                    raise InputError("unterminated quoted field", end)
-                content: bytes | None = found[1].replace(b'""', b'"')
-                at = found.end()
-            else:
-                found = _PLAIN.match(data, at)
-                at = found.end()
-                content = None if found[0] == rb"\N" else found[0]
-                if data[at : at + 1] == b'"':
-                    raise InputError("quote in an unquoted field", at)
-            if content is not None and len(content) > field_limit:
-                raise InputError("field is too long", begin)
-            fields.append((content, begin))
-            mark = data[at : at + 1]
-            if mark == b",":
-                at += 1
-                continue
-            if mark == b"\r" and data[at + 1 : at + 2] != b"\n":
-                raise InputError("bare carriage return", at)
-            if mark not in (b"", b"\n", b"\r"):
-                raise InputError("text after a closing quote", at)
-            stop = at
-            at += {b"": 0, b"\n": 1, b"\r": 2}[mark]
-            if at - start > record_limit:
-                raise InputError("record is too long", start)
-            yield fields, start, stop
-            break
+                raise InputError("quote in an unquoted field", base + at)
+        mark = data[at : at + 1]
+        if not last and (not mark or mark == b"\r" and at + 1 == end):
+            raise More
+        if content is not None and len(content) > field_limit:
+            raise InputError("field is too long", base + begin)
+        fields.append((content, base + begin))
+        if mark == b",":
+            at += 1
+            continue
+        if mark == b"\r" and data[at + 1 : at + 2] != b"\n":
+            raise InputError("bare carriage return", base + at)
+        if mark not in (b"", b"\n", b"\r"):
+            raise InputError("text after a closing quote", base + at)
+        stop = at
+        at += {b"": 0, b"\n": 1, b"\r": 2}[mark]
+        if at - start > record_limit:
+            raise InputError("record is too long", base + start)
+        return fields, stop, at
+
+
+def records(stream: BinaryIO, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple[list[Field], int, int]]:
+    """(fields, offset of the record, offset of its end) of each record of a stream, which is read in pieces of ``CHUNK`` bytes.
+
+    At most one record and a piece are at hand; a record that doesn't end within its
+    limit is refused without being read on.
+    """
+    data, base, at, last = b"", 0, 0, False
+    while True:
+        if at == len(data) and last:
+            return
+        try:
+            fields, stop, after = record(data, at, base, last, record_limit, field_limit)
+        except More:
+            if len(data) - at > 2 * record_limit + CHUNK:  # quotes may be doubled
+                raise InputError("record is too long", base + at) from None
+            more = stream.read(CHUNK)
+            data, base, at, last = data[at:] + more, base + at, 0, not more
+            continue
+        yield fields, base + at, base + stop
+        at = after
 
 
 def cell(content: bytes | None, type_: str, nullable: bool, offset: int) -> object:
@@ -98,9 +133,9 @@ def cell(content: bytes | None, type_: str, nullable: bool, offset: int) -> obje
     raise InputError(f"not a {type_} value", offset)
 
 
-def decode(data: bytes, columns: list[tuple[str, str, bool]], row_limit: int | None = None, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple]:
-    """Rows in declaration order; the header names every column once, in any order and case."""
-    found = records(data, min(record_limit, MAX_RECORD), min(field_limit, MAX_FIELD))
+def decode(data: bytes | BinaryIO, columns: list[tuple[str, str, bool]], row_limit: int | None = None, record_limit: int = MAX_RECORD, field_limit: int = MAX_FIELD) -> Iterator[tuple]:
+    """Rows in declaration order, decoded as they are asked for; the header names every column once, in any order and case."""
+    found = records(io.BytesIO(data) if isinstance(data, bytes) else data, min(record_limit, MAX_RECORD), min(field_limit, MAX_FIELD))
     header = next(found, None)
     if header is None:
         raise InputError("missing header", 0)
@@ -124,7 +159,7 @@ class CsvDecoder:
     """Batches of decoded rows from a binary stream; errors are terminal, earlier batches are only a valid prefix."""
 
     def __init__(self, stream: BinaryIO, columns: list[tuple[str, str, bool]], batch_rows: int = 256, row_limit: int | None = None):
-        self.rows, self.batch_rows, self.failed = decode(stream.read(), columns, row_limit), batch_rows, False
+        self.rows, self.batch_rows, self.failed = decode(stream, columns, row_limit), batch_rows, False
 
     def next_batch(self) -> list[tuple] | None:
         """The next rows, or None at the end."""
@@ -138,6 +173,10 @@ class CsvDecoder:
         return batch or None
 
 
+#: How a doubt of an executor is known from other failures of a job.
+DOUBT = "pipeloom: a line is no whole record"
+
+
 class Doubt(Exception):
     """A line that the parallel decoder doesn't decide."""
 
@@ -163,7 +202,7 @@ def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path:
     if not first:
         raise Doubt
     try:
-        ((header, _, stop),) = records(bytes(first[0][0]) + b"\n")
+        ((header, _, stop),) = records(io.BytesIO(bytes(first[0][0]) + b"\n"))
     except (InputError, ValueError) as e:
         raise Doubt from e
     order = header_order(header, columns, stop)
@@ -179,13 +218,14 @@ def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path:
                     header_seen = True
                     continue
                 try:
-                    ((fields, _, _),) = records(line + b"\n")
-                    if len(fields) != len(columns):
-                        raise Doubt
+                    line += b"\n"
+                    fields, _, after = record(line, 0, 0, True, MAX_RECORD, MAX_FIELD)
+                    if len(fields) != len(columns) or after != len(line):
+                        raise Doubt(DOUBT)
                     for k, (content, offset) in zip(order, fields, strict=True):
                         rows[k].append(cell(content, columns[k][1], columns[k][2], offset))
                 except (InputError, ValueError) as e:
-                    raise Doubt from e
+                    raise Doubt(DOUBT) from e
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, arrow, strict=True)], names=[n for n, _, _ in columns])
 
     return lines.mapInArrow(decoded, schema)
@@ -200,15 +240,33 @@ def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int |
             rows = append.written().count()
             if rows:
                 return append.commit(), rows, append.token
-        except Exception:  # noqa: BLE001 - the sequential decoder decides, and names the place
+        except Doubt:
             pass
-        append.abort()
-    with open(path.removeprefix("file://"), "rb") as stream:
+        except Exception as e:
+            if DOUBT not in str(e):
+                raise
+        finally:
+            append.abort()  # nothing to do after a commit
+    with opened(catalog.spark, path) as stream:
         return import_csv(catalog, table, stream, input_limit, row_limit, **limits)
 
 
+class Limited(io.RawIOBase):
+    """A stream that fails where it goes beyond ``limit`` bytes."""
+
+    def __init__(self, stream: BinaryIO, limit: int):
+        self.stream, self.limit, self.seen = stream, limit, 0
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.stream.read(size)
+        self.seen += len(data)
+        if self.seen > self.limit:
+            raise InputError("input limit exceeded", self.limit)
+        return data
+
+
 def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int | None = None, row_limit: int | None = None, **limits: int) -> tuple[int, int, str]:
-    """Append one complete CSV input: (generation, rows, token).  Any failure commits nothing.
+    """Append one complete CSV input, read and written in bounded pieces: (generation, rows, token).  Any failure commits nothing.
 
     ``limits`` may give record_limit (encoded bytes) and field_limit (decoded bytes).
     """
@@ -222,10 +280,8 @@ def import_csv(catalog: Catalog, table: str, stream: BinaryIO, input_limit: int
             yield row
 
     try:
-        data = stream.read() if input_limit is None else stream.read(input_limit + 1)
-        if input_limit is not None and len(data) > input_limit:
-            raise InputError("input limit exceeded", input_limit)
-        append.write(counted(decode(data, list(append.schema.columns), row_limit, **limits)))
+        source = stream if input_limit is None else Limited(stream, input_limit)
+        append.write(counted(decode(source, list(append.schema.columns), row_limit, **limits)))
         return append.commit(), rows, append.token
     except BaseException:
         append.abort()
