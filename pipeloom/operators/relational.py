@@ -161,7 +161,9 @@ def replicated(counted: DataFrame, names: list[str]) -> DataFrame:
     one = lambda n: F.explode(F.sequence(F.lit(1).cast("int"), n.cast("int"))).alias("copy__")
     few = counted.where(F.col("copies__") <= CHUNK).select(*names, one(F.col("copies__")))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies__") - 1, F.lit(CHUNK).cast("long"))).alias("start__")
-    chunks = counted.where(F.col("copies__") > CHUNK).select(*names, "copies__", start).repartition("start__")
+    chunks = counted.where(F.col("copies__") > CHUNK).select(*names, "copies__", start)
+    # a stated number: the chunks are few and small, but what becomes of them isn't
+    chunks = chunks.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start__")
     many = chunks.select(*names, one(F.least(F.lit(CHUNK), F.col("copies__") - F.col("start__"))))
     return few.union(many).drop("copy__")
 

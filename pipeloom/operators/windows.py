@@ -54,7 +54,7 @@ def summed(df: DataFrame, node: L.WindowSum) -> DataFrame:
         return df.withColumns({c.id: aggregates.sum_int(x, span, within).column() for c, span in node.outputs})
     # One row per key, so that a frequent key is one row.  The ranges' bounds are keys drawn by their hash, about RANGES of
     # all distinct ones: they fit any type and distribution, and a rerun draws the same.
-    once = list({k.column.id: k for k in reversed(node.order)}.values())[::-1]  # a column's first place decides
+    once = [k for i, k in enumerate(node.order) if k.column.id not in {earlier.column.id for earlier in node.order[:i]}]
     keys = [k.column.id for k in once]
     limbs, names = aggregates.limbs(x), [f"limb{k}__" for k in range(3)]
     sums = [X.fn("sum", limb).column().alias(name) for name, limb in zip(names, limbs, strict=True)]

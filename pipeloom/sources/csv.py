@@ -53,9 +53,9 @@ def record(data: bytes, at: int, base: int, last: bool, record_limit: int, field
         begin = at
         if data[at : at + 1] == b'"':
             found = _QUOTED.match(data, at)
-            if not found or (found.end() == end and not last):
-                if not last:
-                    raise More
+            if not last and (not found or found.end() == end or data[found.end()] == ord('"')):  # a quote may be the first of two
+                raise More
+            if not found:
                 raise InputError("unterminated quoted field", base + end)
             content: bytes | None = found[1].replace(b'""', b'"')
             at = found.end()

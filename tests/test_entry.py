@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pipeloom import workload
+from pipeloom import workload, workload_io
 
 
 @pytest.fixture(scope="module")
@@ -34,13 +34,18 @@ def test_query(spark, data, duck, name):
     compare(workload.queries()[name](spark, data), duck, workload.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", workload_io.PAIRS)
+def test_sources_and_special_values(spark, data, duck, name):
+    compare(workload_io.queries()[name](spark, data), duck, workload_io.oracle_sql()[name])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
 def test_registration():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(workload.PAIRS) <= set(queries) and set(sql) <= set(queries)
+    assert {*workload.PAIRS, *workload_io.PAIRS} <= set(queries) and set(sql) <= set(queries)
 
 
 def test_plan_pushes_filters_and_prunes_columns(spark, data):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import itertools
 import math
+import random
 import struct
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pytest
 
 from pipeloom import errors as E
 from pipeloom.engine import Engine, Table, row_type
+from pipeloom.operators import relational, windows
 
 NAN, INF, BIG = math.nan, math.inf, 1.7976931348623157e308
 MIN, MAX = -(2**63), 2**63 - 1
@@ -258,6 +260,79 @@ def test_windows(spark):
         rows(e, "FROM t |> EXTEND SUM(v) OVER (ORDER BY d) AS s")
 
 
+def running(rows_, key):
+    """Model of SUM(v) OVER (ORDER BY ...) with peers; ``key`` gives an ascending order."""
+    total: dict = {}
+    for r in rows_:
+        total.setdefault(key(r), []).append(r[-1])
+    found, sums = {}, []
+    for k in sorted(total):
+        sums += [v for v in total[k] if v is not None]
+        found[k] = sum(sums) if sums else None
+    return [(*r, found[key(r)]) for r in rows_]
+
+
+def test_running_sums_over_ranges(spark, monkeypatch):
+    """Hot text prefixes, an outlier, a key with a third of all rows, several keys, nulls in either place."""
+    rng = random.Random(5)
+    data = [("Customer#%09d" % rng.randrange(3000) if k % 3 else "hot", 10**18 if k == 7 else rng.randrange(50) if k % 11 else None, rng.randrange(-99, 99) if k % 13 else None) for k in range(4000)]
+    e = engine(spark, t=("s STRING, n INT64, v INT64", data))
+    for order, key in (
+        ("s", lambda r: r[0]), ("n", lambda r: (r[1] is not None, r[1] or 0)), ("n DESC", lambda r: (r[1] is None, -(r[1] or 0))), ("n DESC NULLS FIRST, s", lambda r: (r[1] is not None, -(r[1] or 0), r[0])),
+        ("n NULLS LAST, s, n DESC", lambda r: (r[1] is None, r[1] or 0, r[0])), ("v", lambda r: (r[2] is not None, r[2] or 0)),
+    ):
+        same(rows(e, f"FROM t |> EXTEND SUM(v) OVER (ORDER BY {order}) AS total"), running(data, key))
+    plan = e.prepare("FROM t |> EXTEND SUM(v) OVER (ORDER BY s) AS total").dataframe()._jdf.queryExecution().analyzed().toString()
+    assert "part__" in plan
+    monkeypatch.setattr(windows, "RANGES", 8)
+    monkeypatch.setattr(windows, "STEP", 3)
+    same(rows(e, "FROM t |> EXTEND SUM(v) OVER (ORDER BY s DESC) AS total"), running(data, lambda r: tuple(-ord(c) for c in r[0]) + (1,)))
+    empty = engine(spark, t=("s STRING, v INT64", []))
+    assert rows(empty, "FROM t |> EXTEND SUM(v) OVER (ORDER BY s) AS total") == []
+
+
+def test_ranges_are_balanced(spark):
+    """Keys that share a long prefix, and one far away, still fall into many ranges."""
+    e = engine(spark, t=("s STRING, n INT64, v INT64", [(f"Customer#00000{k:05d}", 10**18 if k == 3 else k, 1) for k in range(5000)]))
+    for order in ("s", "n"):
+        df = e.query(f"FROM t |> EXTEND SUM(v) OVER (ORDER BY {order}) AS total")
+        assert df.count() == 5000 and df.agg({"total": "max"}).first()[0] == 5000
+
+
+def test_many_copies_of_one_row(spark):
+    """Set operations count copies and make them in chunks."""
+    e = Engine(spark)
+    e.register("a", spark.range(3_000_000).selectExpr("0L AS x"))
+    e.register("b", spark.range(2_900_000).selectExpr("0L AS x"))
+    assert rows(e, "FROM a |> EXCEPT ALL (FROM b) |> AGGREGATE COUNT(*) AS n") == [(100_000,)]
+    assert rows(e, "FROM a |> INTERSECT ALL (FROM b) |> AGGREGATE COUNT(*) AS n") == [(2_900_000,)]
+    counted = spark.createDataFrame([(1, 10_000_000), (2, 3), (3, 65_536), (4, 65_537)], "x long, copies__ long")
+    found = {r[0]: r[1] for r in relational.replicated(counted, ["x"]).groupBy("x").count().collect()}
+    assert found == {1: 10_000_000, 2: 3, 3: 65_536, 4: 65_537}
+    assert relational.replicated(counted.where("x = 1"), ["x"]).rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+
+
+def test_failures_beside_null_and_nan(spark):
+    """What stands right of a NULL is evaluated, and an overflow fails whatever else the expression holds."""
+    e = Engine(spark)
+    e.register("t", spark.range(1).selectExpr("nullif(id, 0L) AS n", "id AS z", f"id + {MAX}L AS i", "id + 1e308D AS big", "id + CAST('NaN' AS DOUBLE) AS nan", "CAST(nullif(id, 0L) AS DOUBLE) AS nd"))
+    for expression in ("n + DIV(1, z)", "n + 1 / z", "DIV(n, DIV(1, z))", "MOD(n, DIV(1, z))", "nd / (1 / z)", "POW(nd, 1 / z)", "NULLIF(n, DIV(1, z))", "SAFE_DIVIDE(nd, 1 / z)", "n * 2 + DIV(1, z) - 1", "CASE WHEN n < DIV(1, z) THEN 1 ELSE 2 END"):
+        with pytest.raises(E.DivisionByZero):
+            rows(e, f"FROM t |> SELECT {expression} AS y")
+    for expression in ("big * 10 + nan", "nan + big * 10", "nd + big * 10", "big * 10 * nd", "(i + 1) + n", "n + (i + 1)", "n * (i * 2)", "-(i + 1) + n"):
+        with pytest.raises(E.ArithmeticOverflow):
+            rows(e, f"FROM t |> SELECT {expression} AS y")
+    assert rows(e, "FROM t |> SELECT n + 1 + z, nan + big * 1 - big, COALESCE(1, DIV(1, z)), CASE WHEN n < 1 THEN 1 ELSE 2 END, n + DIV(4, z + 2), nd * big")[0][2:4] == (1, 2)
+
+
+def test_limits_beyond_32_bits(spark):
+    e = engine(spark, t=("x INT64", [(k,) for k in range(20)]))
+    assert rows(e, f"FROM t |> LIMIT 5 OFFSET {2**31}") == []
+    assert len(rows(e, f"FROM t |> LIMIT {2**31} OFFSET 3")) == 17
+    assert rows(e, f"FROM t |> ORDER BY x DESC |> LIMIT {2**40} OFFSET 18") == [(1,), (0,)]
+    assert len(rows(e, f"FROM t |> LIMIT {MAX} OFFSET {MAX}")) == 0 and len(rows(e, f"FROM t |> LIMIT {MAX}")) == 20
+
+
 def test_names_and_ranges(small):
     same(rows(small, "FROM facts AS s |> SET v = v + 1 |> DROP k |> SELECT s.k, s.v AS old, v AS adjusted"), [(1, 10, 11), (1, 20, 21), (2, 30, 31), (None, 40, 41)])
     p = small.prepare("FROM facts |> RENAME k AS v, v AS k |> SELECT k, (v), +k, k + 1")

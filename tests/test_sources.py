@@ -1,24 +1,30 @@
 from __future__ import annotations
 
 import datetime
+import gc
 import io
+import itertools
 import json
 import math
 import struct
+import threading
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from pipeloom import errors as E
 from pipeloom.cli import main
-from pipeloom.engine import Engine, Token
+from pipeloom.engine import Engine, Step, Token
 from pipeloom.sources.catalog import Catalog, parse_schema
 from pipeloom.sources import csv as csv_source
 from pipeloom.sources.csv import CsvDecoder, decode, import_csv, import_csv_file
 from pipeloom.sources.jsonl import export_jsonl
 from pipeloom.sources.lineitem import load_lineitem
 from pipeloom.sources.parquet import export_parquet, import_parquet
+from pipeloom.sources.store import Store
 from pipeloom.streaming.incremental import prepare_stream, run_into_memory, run_into_table
 
 COLUMNS = [("note", "STRING", True), ("amount", "INT64", False), ("number", "DOUBLE", True), ("day", "DATE", True)]
@@ -251,6 +257,143 @@ def test_cancellation(spark, catalog):
         list(batches)
 
 
+def test_cancellation_inside_a_job(spark):
+    """A token stops a Spark job that has given no row yet."""
+    slow = spark.range(4).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L)").alias("x"), "id")
+    engine = Engine(spark)
+    engine.register("slow", slow)
+    token = Token()
+    cursor = engine.prepare("FROM slow |> AGGREGATE MAX(x) AS x, COUNT(*) AS n").cursor(token)
+    started = time.monotonic()
+    assert cursor.step()[0] is Step.PROGRESS
+    threading.Timer(1.0, token.cancel).start()
+    kind, error = cursor.step()
+    while kind is Step.PROGRESS:
+        kind, error = cursor.step()
+    assert kind is Step.FAILED and isinstance(error, E.Cancelled) and time.monotonic() - started < 10
+    assert cursor.step() == (kind, error)
+    status = spark.sparkContext.statusTracker()
+    deadline = time.monotonic() + 10
+    while status.getActiveJobsIds() and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not status.getActiveJobsIds()
+
+
+def test_cursor_states(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.range(600))
+    prepared = engine.prepare("FROM t |> ORDER BY id |> SELECT id, DIV(100, 599 - id) AS d")
+    cursor, seen = prepared.cursor(size=100), []
+    kind, found = cursor.step()
+    while kind in (Step.PROGRESS, Step.ROWS):
+        seen.append(kind)
+        kind, found = cursor.step()
+    assert kind is Step.FAILED and isinstance(found, E.DivisionByZero) and cursor.step() == (kind, found)
+    cursor = engine.prepare("FROM t |> ORDER BY id").cursor(size=250)
+    sizes = []
+    while (step := cursor.step())[0] in (Step.PROGRESS, Step.ROWS):
+        sizes += [len(step[1])] if step[0] is Step.ROWS else []
+    assert step == cursor.step() == (Step.FINISHED, None) and sizes == [250, 250, 100]
+    closed = prepared.cursor()
+    closed.close()
+    assert closed.step()[0] is Step.FAILED
+
+
+def test_reclaim_and_open_appends(spark, catalog):
+    append = catalog.begin_append("t")
+    append.write([("a", k, None, None) for k in range(5)])
+    append._flush()
+    with pytest.raises(E.Contention):
+        catalog.reclaim()
+    generation = append.commit()
+    assert catalog.reclaim() > 0 and catalog.resolve(append.token) == generation
+    assert Engine(spark, catalog).prepare("FROM t |> AGGREGATE COUNT(*) AS n").rows() == [(5,)]
+    dropped = catalog.begin_append("t")
+    dropped.write([("b", 1, None, None)])
+    dropped._flush()
+    del dropped
+    gc.collect()
+    catalog.reclaim()
+    stale = catalog.begin_append("t")
+    stale.write([("c", 1, None, None)])
+    stale._flush()
+    catalog.reclaim(lease_seconds=0)  # as if its process had died long ago
+    with pytest.raises(E.Contention):
+        stale.commit()
+    stale.abort()
+    assert len(catalog.store.names("data")) == 1
+    assert Engine(spark, catalog).prepare("FROM t |> AGGREGATE COUNT(*) AS n").rows() == [(5,)]
+    catalog.store.create("leases/cleanup", "another")
+    for refused in (catalog.reclaim, lambda: catalog.begin_append("t")):
+        with pytest.raises(E.Contention):
+            refused()
+
+
+def test_object_stores_are_refused(spark):
+    class Fs:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "s3a"
+
+        def getFileSystem(self, _):
+            return self
+
+    class Fake(Store):
+        def path(self, name):
+            return Fs()
+
+    with pytest.raises(E.Unsupported):
+        Fake(spark, "s3a://bucket/db")
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 64])
+def test_csv_in_pieces(monkeypatch, chunk):
+    """Pieces of any size give the rows and the failures of the whole."""
+    whole = list(decode(CSV, COLUMNS))
+    bad = [b"amount,note,day,number\n1,\"a\"b,\\N,\\N\n", b"amount,note,day,number\n1,a\rb,\\N,\\N\n", b"amount,note,day,number\n1,\"a", b"amount,note,day,number\n1,a,\\N,1e999\n", b"amount,note,day,number\r\n1,a\"b,\\N,1\r\n"]
+    places = []
+    for data in bad:
+        with pytest.raises(E.InputError) as failure:
+            list(decode(data, COLUMNS))
+        places.append((failure.value.message, failure.value.byte_offset))
+    monkeypatch.setattr(csv_source, "CHUNK", chunk)
+    assert repr(list(decode(CSV, COLUMNS))) == repr(whole)
+    for data, place in zip(bad, places, strict=True):
+        with pytest.raises(E.InputError) as failure:
+            list(decode(data, COLUMNS))
+        assert (failure.value.message, failure.value.byte_offset) == place
+
+
+def test_csv_reads_as_it_goes():
+    class Endless(io.RawIOBase):
+        def __init__(self):
+            self.lines, self.seen = itertools.count(), b"amount,note,day,number\n"
+
+        def read(self, size=-1):
+            while len(self.seen) < size:
+                self.seen += b"%d,a,\\N,1.5\n" % next(self.lines)
+            out, self.seen = self.seen[:size], self.seen[size:]
+            return out
+
+    decoder = CsvDecoder(Endless(), COLUMNS, 1000)
+    for k in range(200):
+        assert decoder.next_batch()[0][1] == k * 1000
+
+
+def test_failures_of_a_job_are_no_doubt(spark, catalog, tmp_path, monkeypatch):
+    (tmp_path / "x.csv").write_text("amount,note,day,number\n1,a,\\N,1\n")
+
+    def broken(*_):
+        raise RuntimeError("an executor was lost")
+
+    monkeypatch.setattr(csv_source, "parallel_rows", broken)
+    with pytest.raises(RuntimeError):
+        import_csv_file(catalog, "t", str(tmp_path / "x.csv"))
+    assert catalog.store.names("data") == []
+
+
 def test_streaming(spark, catalog, tmp_path):
     source = tmp_path / "stream"
     pq_rows = [{"k": k % 3, "v": k} for k in range(9)]
