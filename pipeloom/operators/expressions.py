@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from functools import reduce
 
 from ..functions import scalars
@@ -31,6 +32,19 @@ def may_fail(e: L.Expr) -> bool:
     return e.op in FAILING or e.op == "case" or any(may_fail(a) for a in e.args)
 
 
+#: Arguments whose text is longer together are named once instead of being repeated in the text of a guarded operation.
+INLINE = 400
+
+
+def bound(args: list[Text], body: Callable[..., Text]) -> Text:
+    """``body`` of arguments that are each evaluated once, and before it, however often it uses them."""
+    if sum(len(a.sql) for a in args) <= INLINE:
+        return body(*args)
+    fields = ", ".join(f"'a{k}', {a.sql}" for k, a in enumerate(args))
+    names = [Text(f"bound__.a{k}") for k in range(len(args))]
+    return Text(f"(transform(array(named_struct({fields})), bound__ -> {body(*names).sql})[0])")
+
+
 def both(a: L.Expr, b: L.Expr, x: Text, y: Text, found: Text, type_: str) -> Text:
     """``found`` of the arguments x and y, where y is evaluated, and may fail, also beside a NULL x."""
     if not (a.nullable and may_fail(b)):
@@ -67,79 +81,105 @@ def apply(op: str, args: list[Text]) -> Text:
 
 
 class Chain:
-    """A tree of + - * of one type without guards inside: its text, the text of each operation and its arguments, and its leaves.
+    """A tree of + - * of one type without guards inside: its leaves, and how it is computed from them.
 
     DOUBLE values that aren't finite stay so up to the top, as does the NULL of an INT64
     operation that overflows: where the top is as it should be nothing below failed.
     """
 
     def __init__(self, e: L.Expr):
-        self.type = e.type
-        self.operations: list[tuple[list[Text], Text]] = []
+        self.expr = e
         self.leaves: list[tuple[L.Expr, Text]] = []
-        self.text = self.add(e)
-
-    def add(self, e: L.Expr) -> Text:
-        if e.op in ARITHMETIC and e.type == self.type:
-            args = [self.add(a) for a in e.args]
-            if self.type == "DOUBLE":
-                found = apply(e.op, args)
-            else:
-                found = X.fn(TRIED[e.op], *([X.lit(0), *args] if e.op == "neg" else args))
-            self.operations.append((args, found))
-            return found
-        if e.op == "number":
-            return X.lit(float(e.value) if self.type == "DOUBLE" else e.value)
-        c = as_double(e) if self.type == "DOUBLE" else value(e)
-        self.leaves.append((e, c))
-        return c
+        self.gather(e)
+
+    def inner(self, e: L.Expr) -> bool:
+        return e.op in ARITHMETIC and e.type == self.expr.type
+
+    def gather(self, e: L.Expr) -> None:
+        if self.inner(e):
+            for a in e.args:
+                self.gather(a)
+        elif e.op != "number":
+            self.leaves.append((e, as_double(e) if self.expr.type == "DOUBLE" else value(e)))
+
+    def operations(self, leaves: list[Text]) -> list[tuple[list[Text], Text]]:
+        """(arguments, value) of each operation, the top one last."""
+        found: list[tuple[list[Text], Text]] = []
+        rest = iter(leaves)
+
+        def add(e: L.Expr) -> Text:
+            if self.inner(e):
+                args = [add(a) for a in e.args]
+                if e.type == "DOUBLE":
+                    made = apply(e.op, args)
+                else:
+                    made = X.fn(TRIED[e.op], *([X.lit(0), *args] if e.op == "neg" else args))
+                found.append((args, made))
+                return made
+            if e.op == "number":
+                return X.lit(float(e.value) if self.expr.type == "DOUBLE" else e.value)
+            return next(rest)
+
+        add(self.expr)
+        return found
 
 
 def arithmetic(e: L.Expr) -> Text:
-    found = Chain(e)
-    double = e.type == "DOUBLE"
-    inputs = [c for _, c in found.leaves]
-    if double and not inputs:
-        return found.text
-    risky = [c for leaf, c in found.leaves if may_fail(leaf)]
-    if len(found.operations) == 1 and not risky:
-        return (scalars.overflow_guard if double else scalars.null_guard)(found.text, inputs, "arithmetic", e.span)
-    good = scalars.finite if double else Text.is_not_null
-    failed = [reduce(lambda a, b: a & b, [good(x) for x in args], ~good(text) if double else text.is_null()) for args, text in found.operations]
-    exceeded = reduce(lambda a, b: a | b, failed)
-    if risky:  # each is evaluated, whatever is NULL beside it
-        exceeded = X.fn("greatest", *(c.is_null() for c in risky), True) & exceeded
-    return X.when(good(found.text), found.text).when(exceeded, scalars.failure("overflow", "arithmetic", e.span, e.type)).otherwise(found.text)
+    chain, double = Chain(e), e.type == "DOUBLE"
+
+    def guarded(*leaves: Text) -> Text:
+        operations = chain.operations(list(leaves))
+        top = operations[-1][1]
+        if double and not leaves:
+            return top
+        risky = [c for (leaf, _), c in zip(chain.leaves, leaves, strict=True) if may_fail(leaf)]
+        if len(operations) == 1 and not risky:
+            return (scalars.overflow_guard if double else scalars.null_guard)(top, list(leaves), "arithmetic", e.span)
+        good = scalars.finite if double else Text.is_not_null
+        failed = [reduce(lambda a, b: a & b, [good(x) for x in args], ~good(made) if double else made.is_null()) for args, made in operations]
+        exceeded = reduce(lambda a, b: a | b, failed)
+        if risky:  # each is evaluated, whatever is NULL beside it
+            exceeded = X.fn("greatest", *(c.is_null() for c in risky), True) & exceeded
+        return X.when(good(top), top).when(exceeded, scalars.failure("overflow", "arithmetic", e.span, e.type)).otherwise(top)
+
+    return bound([c for _, c in chain.leaves], guarded)
 
 
 def call(e: L.Expr) -> Text:
     name, span = e.op, e.span
-    if name in ("DIV", "MOD"):
-        x, y = value(e.args[0]), value(e.args[1])
-        return both(*e.args, x, y, (scalars.div if name == "DIV" else scalars.mod)(x, y, span), "bigint")
-    if name in ("ABS", "SIGN"):
-        x = value(e.args[0])
-        return scalars.absolute(x, e.type, span) if name == "ABS" else scalars.sign(x, e.type)
     if name == "COALESCE":
         return X.fn("coalesce", *(as_type(a, e.type) for a in e.args))
+    if name in ("DIV", "MOD", "ABS", "SIGN"):
+        args = [value(a) for a in e.args]
+    else:
+        args = [as_type(a, e.type) if name == "NULLIF" else as_double(a) for a in e.args]
+    return bound(args, lambda *found: guarded_call(e, name, span, list(found)))
+
+
+def guarded_call(e: L.Expr, name: str, span, args: list[Text]) -> Text:
+    two = lambda found, type_: both(*e.args, *args, found, type_)
+    if name in ("DIV", "MOD"):
+        return two((scalars.div if name == "DIV" else scalars.mod)(*args, span), "bigint")
+    if name == "ABS":
+        return scalars.absolute(args[0], e.type, span)
+    if name == "SIGN":
+        return scalars.sign(args[0], e.type)
     if name == "NULLIF":
-        x, y = as_type(e.args[0], e.type), as_type(e.args[1], e.type)
-        return both(*e.args, x, y, scalars.nullif(x, y, e.type), scalars.SPARK_TYPES[e.type])
-    args = [as_double(a) for a in e.args]
+        return two(scalars.nullif(*args, e.type), scalars.SPARK_TYPES[e.type])
     if name == "/":
         divisor = e.args[1]
         if divisor.op == "number" and float(divisor.value) != 0:
             return scalars.overflow_guard(args[0] / args[1], [args[0]], "division", span)
-        return both(*e.args, *args, scalars.divide(*args, span), "double")
-    simple = {"CAST": lambda x: x, "FLOOR": scalars.floor, "CEIL": scalars.ceil, "CEILING": scalars.ceil, "ROUND": scalars.rounded}
+        return two(scalars.divide(*args, span), "double")
     if name == "SAFE_DIVIDE":
-        return both(*e.args, *args, scalars.safe_divide(*args), "double")
+        return two(scalars.safe_divide(*args), "double")
+    simple = {"CAST": lambda x: x, "FLOOR": scalars.floor, "CEIL": scalars.ceil, "CEILING": scalars.ceil, "ROUND": scalars.rounded}
     if name in simple:
         return simple[name](*args)
     if name in ("LN", "LOG10"):
         return scalars.logarithm(args[0], name == "LOG10", span)
     if name in ("POW", "POWER"):
-        return both(*e.args, *args, scalars.power(*args, span), "double")
+        return two(scalars.power(*args, span), "double")
     return {"SQRT": scalars.sqrt, "EXP": scalars.exponential}[name](*args, span)
 
 

@@ -10,6 +10,7 @@ import struct
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pipeloom import errors as E
 from pipeloom.engine import Engine, Table, row_type
@@ -309,7 +310,8 @@ def test_many_copies_of_one_row(spark):
     counted = spark.createDataFrame([(1, 10_000_000), (2, 3), (3, 65_536), (4, 65_537)], "x long, copies__ long")
     found = {r[0]: r[1] for r in relational.replicated(counted, ["x"]).groupBy("x").count().collect()}
     assert found == {1: 10_000_000, 2: 3, 3: 65_536, 4: 65_537}
-    assert relational.replicated(counted.where("x = 1"), ["x"]).rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+    tasks = relational.replicated(counted.where("x = 1"), ["x"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 10_000_000
 
 
 def test_failures_beside_null_and_nan(spark):
@@ -325,6 +327,29 @@ def test_failures_beside_null_and_nan(spark):
     assert rows(e, "FROM t |> SELECT n + 1 + z, nan + big * 1 - big, COALESCE(1, DIV(1, z)), CASE WHEN n < 1 THEN 1 ELSE 2 END, n + DIV(4, z + 2), nd * big")[0][2:4] == (1, 2)
 
 
+def test_deep_expressions_stay_short(spark):
+    """Text grows with the depth of an expression, not with its power; failures come from every depth."""
+    e = engine(spark, t=("x DOUBLE, i INT64", [(2.0, 3), (None, 4), (9.0, None)]))
+    e.strict = False
+    deep, whole = "x", "i"
+    for k in range(12):
+        deep, whole = f"SQRT(POW({deep} + 1, 2) / (ABS(x) + {k + 1}))", f"(DIV({whole} * 2 + i, 2) - MOD(i, 2))"
+    model_x, model_i = [], []
+    for x, i in ((2.0, 3), (None, 4), (9.0, None)):
+        y, z = x, i
+        for k in range(12):
+            y = None if x is None else math.sqrt((y + 1) ** 2 / (abs(x) + k + 1))
+            z = None if i is None else (z * 2 + i) // 2 - i % 2
+        model_x.append(y)
+        model_i.append(z)
+    found = rows(e, f"FROM t |> SELECT {deep} AS a, {whole} AS b")
+    assert [b for _, b in found] == model_i and all(a == m or a == pytest.approx(m) for (a, _), m in zip(found, model_x, strict=True))
+    with pytest.raises(E.DivisionByZero):
+        rows(e, f"FROM t |> SELECT {whole.replace('(DIV(i * 2', '(DIV(DIV(i, i - 3) * 2')} AS b")
+    chain = " + ".join(["x"] * 40)
+    assert rows(e, f"FROM t |> SELECT {chain} AS a |> WHERE a > 100") == [(360.0,)]
+
+
 def test_limits_beyond_32_bits(spark):
     e = engine(spark, t=("x INT64", [(k,) for k in range(20)]))
     assert rows(e, f"FROM t |> LIMIT 5 OFFSET {2**31}") == []
