@@ -138,10 +138,10 @@ class Compiler:
         condition = F.expr(" AND ".join(f"{a} <=> {b}" for a, b in zip(names, theirs, strict=True)))
         if not node.all:
             return Relation(ours.join(other, condition, "left_anti" if node.kind == "except" else "left_semi").select(*names))
-        both = ours.join(other, condition, "left")
         others = F.coalesce("others__", F.lit(0))
         copies = F.col("times__") - others if node.kind == "except" else F.least("times__", others)
-        return Relation(replicated(both.select(*names, copies.alias("copies__")).where("copies__ > 0"), names))
+        counted = lambda df: df.join(other, condition, "left").select(*names, copies.alias("copies__")).where("copies__ > 0")
+        return Relation(replicated(counted(ours), counted(ours.where(F.col("times__") > CHUNK)), names))
 
     def order(self, node: L.Order) -> Relation:
         return self.compile(node.input)  # the order is applied where it counts: at LIMIT and at the result
@@ -156,12 +156,15 @@ class Compiler:
         return Relation(df.limit(node.count), below.stamps)
 
 
-def replicated(counted: DataFrame, names: list[str]) -> DataFrame:
-    """Each row ``copies__`` times.  No array holds more than ``CHUNK`` copies, and many copies of one row are dealt to several tasks."""
+def replicated(counted: DataFrame, frequent: DataFrame, names: list[str]) -> DataFrame:
+    """Each row ``copies__`` times; ``frequent`` has at least the rows with more than ``CHUNK`` copies.
+
+    No array holds more than ``CHUNK`` copies, and many copies of one row are dealt to several tasks.
+    """
     one = lambda n: F.explode(F.sequence(F.lit(1).cast("int"), n.cast("int"))).alias("copy__")
     few = counted.where(F.col("copies__") <= CHUNK).select(*names, one(F.col("copies__")))
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies__") - 1, F.lit(CHUNK).cast("long"))).alias("start__")
-    chunks = counted.where(F.col("copies__") > CHUNK).select(*names, "copies__", start)
+    chunks = frequent.where(F.col("copies__") > CHUNK).select(*names, "copies__", start)
     # a stated number: the chunks are few and small, but what becomes of them isn't
     chunks = chunks.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start__")
     many = chunks.select(*names, one(F.least(F.lit(CHUNK), F.col("copies__") - F.col("start__"))))

@@ -308,9 +308,9 @@ def test_many_copies_of_one_row(spark):
     assert rows(e, "FROM a |> EXCEPT ALL (FROM b) |> AGGREGATE COUNT(*) AS n") == [(100_000,)]
     assert rows(e, "FROM a |> INTERSECT ALL (FROM b) |> AGGREGATE COUNT(*) AS n") == [(2_900_000,)]
     counted = spark.createDataFrame([(1, 10_000_000), (2, 3), (3, 65_536), (4, 65_537)], "x long, copies__ long")
-    found = {r[0]: r[1] for r in relational.replicated(counted, ["x"]).groupBy("x").count().collect()}
+    found = {r[0]: r[1] for r in relational.replicated(counted, counted, ["x"]).groupBy("x").count().collect()}
     assert found == {1: 10_000_000, 2: 3, 3: 65_536, 4: 65_537}
-    tasks = relational.replicated(counted.where("x = 1"), ["x"]).groupBy(F.spark_partition_id()).count().collect()
+    tasks = relational.replicated(counted.where("x = 1"), counted.where("x = 1"), ["x"]).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 10_000_000
 
 
