@@ -34,7 +34,7 @@ THRESHOLD = 0.93
 #: Corners probed per hash.
 PROBES = 2
 #: Vectors that a bucket holds by chance at most (on average), and hashes of a table at least and at most.
-BY_CHANCE, LEAST_HASHES, MOST_HASHES = 0.5, 2, 6
+BY_CHANCE, LEAST_HASHES, MOST_HASHES = 16, 2, 6
 #: Rows of a block of a large bucket; buckets up to SMALL rows are compared together; pairs at hand at a time.
 BLOCK, SMALL, PAIRS = 1024, 48, 32_768
 
@@ -78,12 +78,17 @@ def codes(x: np.ndarray, hashes: int) -> np.ndarray:
 def first_shared(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, tables: int) -> np.ndarray:
     """Which pairs of rows of buckets share no bucket before ``bucket``."""
     each = a.shape[1] // tables
-    shared = np.zeros(len(a), bool)
-    for t in range(tables):
-        x, y = a[:, t * each : (t + 1) * each], b[:, t * each : (t + 1) * each]
+    own = bucket >> 56
+    first = np.ones(len(a), bool)
+    for t in range(int(own.max(initial=-1)) + 1):
+        # only pairs that no table before told apart from the first, and whose bucket isn't of an earlier table
+        at = np.flatnonzero(first & (own >= t))
+        x, y = a[at, t * each : (t + 1) * each], b[at, t * each : (t + 1) * each]
+        shared = np.zeros(len(at), bool)
         for p in range(each):
-            shared |= ((x[:, p : p + 1] == y) & (y < bucket[:, None])).any(axis=1)
-    return ~shared
+            shared |= ((x[:, p : p + 1] == y) & (y < bucket[at, None])).any(axis=1)
+        first[at] = ~shared
+    return first
 
 
 class Judge:
@@ -95,12 +100,13 @@ class Judge:
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
 
-    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Keep the pairs that link, where the bucket is the first that they share."""
+    def pairs(self, i: np.ndarray, j: np.ndarray, doubtful: np.ndarray | None = None) -> None:
+        """Keep the pairs that link, where the bucket is the first that they share.  With ``doubtful`` the others are known to link."""
         for lo in range(0, len(i), PAIRS):
             a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            cosine = np.einsum("ij,ij->i", self.x[a], self.x[b]) / (self.norm[a] * self.norm[b])
-            near = cosine >= self.threshold
+            near = np.ones(len(a), bool)
+            at = np.arange(len(a)) if doubtful is None else np.flatnonzero(doubtful[lo : lo + PAIRS])
+            near[at] = np.einsum("ij,ij->i", self.x[a[at]], self.x[b[at]]) / (self.norm[a[at]] * self.norm[b[at]]) >= self.threshold
             a, b = a[near], b[near]
             good = first_shared(self.own[a], self.own[b], self.bucket[a], self.tables)
             self.left.append(a[good])
@@ -117,11 +123,12 @@ class Judge:
     def block(self, a: np.ndarray, b: np.ndarray | None) -> None:
         """All pairs of rows ``a`` (with ``b``: of a and b): a product of matrices names those that may link."""
         unit = lambda rows: self.x[rows] / self.norm[rows, None]
-        near = unit(a) @ unit(a if b is None else b).T >= self.threshold - 1e-9
+        cosine = unit(a) @ unit(a if b is None else b).T
+        near = cosine >= self.threshold - 1e-9
         if b is None:
             near &= np.triu(np.ones(near.shape, bool), 1)
         i, j = np.nonzero(near)
-        self.pairs(a[i], (a if b is None else b)[j])
+        self.pairs(a[i], (a if b is None else b)[j], cosine[i, j] < self.threshold + 1e-9)
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
