@@ -152,6 +152,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     most, dim = reps.groupBy("label", "dim").count().agg(F.max("count"), F.min("dim")).first()
     hashes = hashes_for(most or 0, dim or 1)
     tables = tables_for(hashes)
+    # vectors of 32-bit components travel so
+    kind = np.float32 if df.schema[vector_col].dataType == T.ArrayType(T.FloatType(), df.schema[vector_col].dataType.containsNull) else np.float64
     schema = T.StructType([*(T.StructField(c, reps.schema[c].dataType) for c in ("node", "label", "dim", "copies", "data")), T.StructField("codes", T.ArrayType(T.LongType()))])
     names = [f.name for f in schema.fields]
 
@@ -160,10 +162,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                x = vectors.scaled(vectors.matrix(part.column("data").to_pylist()))
+                whole = vectors.matrix(part.column("data").to_pylist())
+                x = vectors.scaled(whole)
                 found = codes(x / np.linalg.norm(x, axis=1, keepdims=True), hashes)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, flat], names=names)
+                data = pa.array([row.tobytes() for row in whole.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], data, flat], names=names)
 
     known = materialise(reps.select(*names[:-1]).mapInArrow(hashed, schema), "hashed-vectors")
     in_bucket = known.select("node", "label", "dim", F.explode("codes").alias("bucket"))
@@ -171,7 +175,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     # written, so that both sides of the join are plain exchanges, which AQE splits at a hot bucket
     sizes = materialise(in_bucket.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", blocks), "bucket-sizes")
-    moved = sizes.agg(F.sum(F.col("size") * F.col("blocks") * (F.col("dim") * 8 + 8 * tables * PROBES**hashes))).first()[0]
+    moved = sizes.agg(F.sum(F.col("size") * F.col("blocks") * (F.col("dim") * np.dtype(kind).itemsize + 8 * tables * PROBES**hashes))).first()[0]
     tasks = parts_of(spark, moved)
     spread = in_bucket.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
@@ -192,7 +196,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             bounds = np.flatnonzero(np.append(new, True))
             taken = table.take(pa.array(at))
             own = taken.column("codes").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
-            judge = Judge(vectors.scaled(vectors.matrix(taken.column("data").to_pylist())), own, part["bucket"], tables, threshold)
+            judge = Judge(vectors.scaled(vectors.matrix(taken.column("data").to_pylist(), kind)), own, part["bucket"], tables, threshold)
             group, alone = np.cumsum(new), part["i"] == part["j"]
             size = np.diff(bounds)
             # a group that isn't small, or that meets two blocks, is judged by itself

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def matrix(data: list[bytes]) -> np.ndarray:
-    """Rows of doubles from their bytes; all have one length."""
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1) if data else np.zeros((0, 1))
+def matrix(data: list[bytes], kind: type = np.float64) -> np.ndarray:
+    """Rows of doubles from the bytes of ``kind``; all have one length."""
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64, copy=False) if data else np.zeros((0, 1))
 
 
 def read(df: DataFrame, id_col: str, vector_col: str, *others: str, whole: bool = False) -> DataFrame:
