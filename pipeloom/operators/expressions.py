@@ -85,20 +85,23 @@ class Chain:
 
     DOUBLE values that aren't finite stay so up to the top, as does the NULL of an INT64
     operation that overflows: where the top is as it should be nothing below failed.
+    What lies deeper than ``DEPTH`` operations is a chain of its own, and here a leaf.
     """
 
+    DEPTH = 6
+
     def __init__(self, e: L.Expr):
         self.expr = e
         self.leaves: list[tuple[L.Expr, Text]] = []
-        self.gather(e)
+        self.gather(e, 0)
 
-    def inner(self, e: L.Expr) -> bool:
-        return e.op in ARITHMETIC and e.type == self.expr.type
+    def inner(self, e: L.Expr, depth: int) -> bool:
+        return e.op in ARITHMETIC and e.type == self.expr.type and depth < self.DEPTH
 
-    def gather(self, e: L.Expr) -> None:
-        if self.inner(e):
+    def gather(self, e: L.Expr, depth: int) -> None:
+        if self.inner(e, depth):
             for a in e.args:
-                self.gather(a)
+                self.gather(a, depth + 1)
         elif e.op != "number":
             self.leaves.append((e, as_double(e) if self.expr.type == "DOUBLE" else value(e)))
 
@@ -107,9 +110,9 @@ class Chain:
         found: list[tuple[list[Text], Text]] = []
         rest = iter(leaves)
 
-        def add(e: L.Expr) -> Text:
-            if self.inner(e):
-                args = [add(a) for a in e.args]
+        def add(e: L.Expr, depth: int) -> Text:
+            if self.inner(e, depth):
+                args = [add(a, depth + 1) for a in e.args]
                 if e.type == "DOUBLE":
                     made = apply(e.op, args)
                 else:
@@ -120,7 +123,7 @@ class Chain:
                 return X.lit(float(e.value) if self.expr.type == "DOUBLE" else e.value)
             return next(rest)
 
-        add(self.expr)
+        add(self.expr, 0)
         return found
 
 
