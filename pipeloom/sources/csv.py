@@ -1,9 +1,11 @@
 """Strict CSV: NULL is an unquoted ``\\N``, an empty field is empty text, errors carry byte offsets.
 
-A file without line ends inside quotes is decoded line by line on the executors.
-Any doubt (a line that isn't a whole record, or an invalid one) sends the import to
-the sequential decoder, which reads the file in pieces and either accepts it or names
-the offending byte.  Other failures of the job are not taken for a doubt.
+A file is decoded on the executors: the quotes of each of its blocks are counted
+first, which tells the line ends inside quotes from those of records, and the parts
+of a record that goes from one block to the next are joined by the block where it
+began.  Any doubt (an invalid record) sends the import to the sequential decoder,
+which reads the file in pieces and either accepts it or names the offending byte.
+Other failures of the job are not taken for a doubt.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import io
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -174,11 +176,11 @@ class CsvDecoder:
 
 
 #: How a doubt of an executor is known from other failures of a job.
-DOUBT = "pipeloom: a line is no whole record"
+DOUBT = "pipeloom: a record is not valid"
 
 
 class Doubt(Exception):
-    """A line that the parallel decoder doesn't decide."""
+    """A record that the parallel decoder doesn't decide."""
 
 
 def header_order(header: list[Field], columns: list[tuple[str, str, bool]], stop: int) -> list[int]:
@@ -195,9 +197,62 @@ def header_order(header: list[Field], columns: list[tuple[str, str, bool]], stop
     return order
 
 
+def block_states(lines: DataFrame) -> dict[int, tuple[bool, int]]:
+    """For each block of a file, by its offset: whether its first line goes on inside quotes, and the block where that record began.
+
+    In a valid file a line end is inside quotes if the quotes before it are odd in
+    number, so the numbers of lines with an odd number of them tell all.  One row a
+    block reaches the driver.
+    """
+    quotes = F.octet_length("text") - F.octet_length(F.replace("text", F.lit('"'), F.lit("")))
+    found = lines.groupBy("at").agg(F.sum(quotes % 2), F.max("length")).collect()
+    states: dict[int, tuple[bool, int]] = {}
+    inside, owner, owner_end = False, 0, 0
+    for at, odd, length in sorted(found):
+        states[at] = (inside, owner)
+        if inside and at - owner_end > MAX_RECORD:
+            raise Doubt
+        if not inside or odd:  # a record that is open at this block's end began in it
+            owner, owner_end = at, at + length
+        inside ^= odd % 2 == 1
+    if inside:
+        raise Doubt
+    return states
+
+
+def pieces(lines: Iterable[tuple[bytes, int]], states: dict[int, tuple[bool, int]]) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(block where the record began, own block, bytes, whether they are a whole record) of lines in file order; the header is left out."""
+    block, owner, inside, whole = -1, 0, False, True
+    held: list[bytes] = []
+    size = 0
+    for line, at in lines:
+        if at != block:
+            if held:
+                yield owner, block, b"".join(held), False
+            block, held, size = at, [], 0
+            inside, owner = states[at]
+            whole = not inside
+            if at == 0:
+                owner = 0
+                continue
+        if not held and whole:
+            owner = at
+        held.append(line + b"\n")
+        size += len(line) + 1
+        if size > MAX_RECORD + 1:
+            raise Doubt(DOUBT)
+        inside ^= line.count(b'"') % 2 == 1
+        if not inside:
+            yield owner, at, b"".join(held), whole
+            held, size, whole = [], 0, True
+    if held:
+        yield owner, block, b"".join(held), False
+
+
 def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path: str) -> DataFrame:
-    """The typed rows of a file, decoded by the executors; reading it fails with ``Doubt`` where lines don't suffice."""
-    lines = catalog.spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("at"))
+    """The typed rows of a file, decoded by the executors; ``Doubt``, at once or when it is read, where the file may be invalid."""
+    text = catalog.spark.read.text(path, lineSep="\n").select(F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_block_length").alias("length"))
+    lines = text.select(F.col("text").cast("binary").alias("line"), "at")
     first = lines.where("at = 0").limit(1).collect()
     if not first:
         raise Doubt
@@ -208,27 +263,51 @@ def parallel_rows(catalog: Catalog, columns: list[tuple[str, str, bool]], path:
     order = header_order(header, columns, stop)
     schema = row_type(columns)
     arrow = [{"INT64": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string(), "DATE": pa.date32()}[t] for _, t, _ in columns]
+    states = block_states(text)
+
+    def typed(found: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+        """The rows of whole records, a batch for each ``CHUNK`` bytes or so."""
+        rows: list[list] = [[] for _ in columns]
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, arrow, strict=True)], names=[n for n, _, _ in columns])
+
+        for data in found:
+            try:
+                fields, _, after = record(data, 0, 0, True, MAX_RECORD, MAX_FIELD)
+                if len(fields) != len(columns) or after != len(data):
+                    raise Doubt(DOUBT)
+                for k, (content, offset) in zip(order, fields, strict=True):
+                    rows[k].append(cell(content, columns[k][1], columns[k][2], offset))
+            except (InputError, ValueError) as e:
+                raise Doubt(DOUBT) from e
+            size += len(data)
+            if size >= CHUNK:
+                yield batch()
+                rows, size = [[] for _ in columns], 0
+        yield batch()
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        header_seen = False
-        for batch in batches:
-            rows: list[list] = [[] for _ in columns]
-            for line, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at == 0 and not header_seen:
-                    header_seen = True
-                    continue
-                try:
-                    line += b"\n"
-                    fields, _, after = record(line, 0, 0, True, MAX_RECORD, MAX_FIELD)
-                    if len(fields) != len(columns) or after != len(line):
-                        raise Doubt(DOUBT)
-                    for k, (content, offset) in zip(order, fields, strict=True):
-                        rows[k].append(cell(content, columns[k][1], columns[k][2], offset))
-                except (InputError, ValueError) as e:
-                    raise Doubt(DOUBT) from e
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, arrow, strict=True)], names=[n for n, _, _ in columns])
-
-    return lines.mapInArrow(decoded, schema)
+        yield from typed(data for _, _, data, whole in pieces(in_order(batches), states) if whole)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, at, data, whole in pieces(in_order(batches), states):
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["owner", "at", "data"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(typed([b"".join(table.sort_by("at").column("data").to_pylist())]))
+
+    rows = lines.mapInArrow(decoded, schema)
+    if not any(inside for inside, _ in states.values()):
+        return rows
+    # records that go from one block to the next: their parts meet by the block where they began
+    return rows.union(lines.mapInArrow(parts, "owner long, at long, data binary").groupBy("owner").applyInArrow(joined, schema))
 
 
 def import_csv_file(catalog: Catalog, table: str, path: str, input_limit: int | None = None, row_limit: int | None = None, **limits: int) -> tuple[int, int, str]:

@@ -140,7 +140,7 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_import_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text with quotes and line ends, which is decoded in pieces on the driver."""
+    """Text with quotes and line ends inside quotes."""
     catalog = database(spark, t=TURNS)
     import_csv_file(catalog, "t", csv_file(read(spark, sf_dir, "conversations").select(*(n for n, _, _ in TURNS))))
     return Engine(spark, catalog).query("FROM t |> EXTEND BYTE_LENGTH(text) AS size |> SELECT conv_id, turn, role, text, size")

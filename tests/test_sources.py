@@ -136,11 +136,11 @@ def test_csv_decoder_batches():
 def test_csv_files_in_parallel(spark, catalog, tmp_path, monkeypatch):
     lines = ["amount,note,day,number"] + [f'{k},"n ""{k}""",\\N,{k}.5' for k in range(500)] + ["7,amount,\\N,1"]
     (tmp_path / "plain.csv").write_text("\r\n".join(lines))
-    monkeypatch.setattr(csv_source, "import_csv", None)  # not needed: every line is a record
+    monkeypatch.setattr(csv_source, "import_csv", None)  # not needed: the executors decode both
     assert import_csv_file(catalog, "t", str(tmp_path / "plain.csv"))[1] == 501
-    monkeypatch.undo()
-    (tmp_path / "quoted.csv").write_bytes(CSV)  # a line end inside quotes: sequential
+    (tmp_path / "quoted.csv").write_bytes(CSV)  # with a line end inside quotes
     assert import_csv_file(catalog, "t", str(tmp_path / "quoted.csv"))[1] == 4
+    monkeypatch.undo()
     (tmp_path / "bad.csv").write_text("\n".join([*lines, "x,y,\\N,1"]))
     with pytest.raises(E.InputError) as failure:
         import_csv_file(catalog, "t", str(tmp_path / "bad.csv"))
@@ -148,6 +148,50 @@ def test_csv_files_in_parallel(spark, catalog, tmp_path, monkeypatch):
     assert len(Engine(spark, catalog).prepare("FROM t").rows()) == 505
 
 
+@pytest.fixture
+def small_blocks(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def test_csv_records_across_blocks(spark, catalog, tmp_path, monkeypatch, small_blocks):
+    """Records over several blocks, blocks inside one record, quotes and line ends in every place."""
+    texts = ['"', "\n", '"\n"', "a\n" * 90, "\r\n,", '""', ",\n" * 40 + '"', "plain", "é\n" * 30, "", "x" * 200, '\n"' * 50]
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    lines = [f"{k},{quoted(texts[k % len(texts)])},\\N,{k}.5" for k in range(60)]
+    (tmp_path / "x.csv").write_bytes("\r\n".join(["amount,note,day,number", *lines]).encode())
+    assert spark.read.text(str(tmp_path / "x.csv")).select("_metadata.file_block_start").distinct().count() > 20
+    monkeypatch.setattr(csv_source, "import_csv", None)
+    assert import_csv_file(catalog, "t", str(tmp_path / "x.csv"))[1] == 60
+    found = {r[0]: r[1] for r in Engine(spark, catalog).prepare("FROM t |> SELECT amount, note").rows()}
+    assert found == {k: texts[k % len(texts)] for k in range(60)}
+
+
+@pytest.mark.parametrize("tail", ['61,"open,\\N,1', '61,a"b,\\N,1\n62,"c\nd",\\N,1', '61,"a"b,\\N,1', '61,"a\n' * 3, '61,"a\n\n",\\N,x\n62,b,\\N,1'])
+def test_csv_invalid_across_blocks(catalog, tmp_path, small_blocks, tail):
+    """An invalid file fails at the same byte as in the sequential decoder, and nothing of it stays."""
+    data = ("amount,note,day,number\n" + "".join(f'{k},"n\n{k}",\\N,1\n' for k in range(40)) + tail).encode()
+    (tmp_path / "x.csv").write_bytes(data)
+    with pytest.raises(E.InputError) as expected:
+        list(decode(data, COLUMNS))
+    with pytest.raises(E.InputError) as failure:
+        import_csv_file(catalog, "t", str(tmp_path / "x.csv"))
+    assert (failure.value.message, failure.value.byte_offset) == (expected.value.message, expected.value.byte_offset)
+    assert catalog.snapshot().entry("t")["files"] == []
+
+
+def test_csv_record_over_many_blocks_is_refused(catalog, tmp_path, monkeypatch, small_blocks):
+    monkeypatch.setattr(csv_source, "MAX_RECORD", 300)
+    (tmp_path / "x.csv").write_bytes(b'amount,note,day,number\n1,"' + b"a\n" * 400 + b'",\\N,1\n')
+    with pytest.raises(E.InputError) as failure:
+        import_csv_file(catalog, "t", str(tmp_path / "x.csv"))
+    assert failure.value.message == "record is too long"
+
+
 def test_csv_import_is_atomic(catalog):
     with pytest.raises(E.InputError):
         import_csv(catalog, "t", io.BytesIO(CSV + b"\nx,a,\\N,\\N"))
