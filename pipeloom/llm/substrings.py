@@ -39,7 +39,8 @@ from .common import dealt, discard, materialise, parts_of
 MIN_WORDS = 20
 #: Bytes of text that are hashed at a time, and occurrences that are packed at a time.
 BATCH, PACKED = 4_000_000, 2_000_000
-NULL_ID = -(2**63)
+#: The least id; texts with a null id are known by it and as many bits of their hash.
+NULL_ID, UNNAMED = -(2**63), 2**62 - 1
 #: Kinds of moved rows: occurrences to judge by range of hashes, places known to repeat by group of documents, longest levels by group.
 JUDGED, KNOWN, LONGEST = 0, 1, 2
 MOVED = "kind int, key long, data binary"
@@ -169,7 +170,10 @@ class Levels:
         if min_words < 2:
             raise ValueError("min_words must be at least 2")
         self.spark, self.size = docs.sparkSession, min_words
-        source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
+        given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+        # texts without an id are documents of their own, dealt like any others
+        unnamed = F.xxhash64("body").bitwiseAND(F.lit(UNNAMED)).bitwiseOR(F.lit(NULL_ID))
+        source = given.select(F.coalesce("id", unnamed).alias("doc"), "body", "id")
         self.buckets = parts_of(self.spark, source.agg(F.sum(F.octet_length("body"))).first()[0])
         self.groups = self.buckets
         self.source = source
@@ -263,11 +267,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     the input.  Kept words are joined by one space.  ``longest_repeat`` is the
     greatest min_words * 2**k words at which a window of the document stands at two
     places of the corpus, 0 if none does.  Ids are integers.  Null text has no
-    words, as has empty text; a null id counts as the smallest; rows with the same
-    id and text are the same places (neither removes the other); rows with the same
-    id and different texts are one document with the windows of all, and a word goes
-    if it stands at a place that is removed in any of them; other columns are not
-    read; an empty table gives no rows.
+    words, as has empty text; rows with the same id and text are the same places
+    (neither removes the other); rows with the same id and different texts are one
+    document with the windows of all, and a word goes if it stands at a place that is
+    removed in any of them; rows with null ids and different texts are different
+    documents, in the order of their texts' hashes, before all ids from -2**62 on;
+    other columns are not read; an empty table gives no rows.
     """
     levels = Levels(docs, min_words, id_col, text_col)
     windows, longest = levels.all()
@@ -300,7 +305,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 kept_texts.append(kept.decode())
-        columns = [texts.column("doc").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(best, pa.int64())]
+        columns = [texts.column("id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(best, pa.int64())]
         names = [id_col, "n_words", "n_removed", "kept_sha256", "longest_repeat"]
         if with_text:
             columns.append(pa.array(kept_texts, pa.string()))

@@ -162,6 +162,33 @@ def test_substrings_edges(spark):
     assert [(r[2], r["longest_repeat"]) for r in found] == [(0, 0), (0, 0)]
 
 
+def test_substrings_of_texts_without_ids(spark):
+    """Rows with null ids are documents of their own: what goes from one leaves the others' words alone."""
+    text = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(None, text(c, 60)) for c in "abcdef"] + [(None, f"{text('p', 5)} {text('z', 30)} {text('q', 5)}"), (None, f"{text('z', 30)} {text('r', 9)}"), (0, text("a", 60)), (-3, text("b", 20)), (4, text("b", 20)), (None, None), (None, "")]
+    found = substrings.dedup_substrings(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    named = {r[0]: (r[1], r[2]) for r in found if r[0] is not None}
+    assert named == {0: (60, 60), -3: (20, 20), 4: (20, 20)}
+    unnamed = sorted((r[1], r[2], r["longest_repeat"]) for r in found if r[0] is None)
+    one = [(39, 0, 20), (40, 30, 20)] if (39, 0, 20) in unnamed else [(39, 30, 20), (40, 0, 20)]  # the passage stays in one of the two
+    assert unnamed == sorted([(0, 0, 0)] * 2 + one + [(60, 0, 40)] + [(60, 0, 20)] + [(60, 0, 0)] * 4)
+
+
+def test_substrings_with_a_third_of_the_ids_null(spark, real):
+    """The rows with null ids are dealt into many groups, and the result is that of the plain version with their places in the order."""
+    docs = [(None if k % 3 == 0 else i, t) for k, (i, t) in enumerate(real[:90])]
+    df = spark.createDataFrame(docs, DOCS)
+    levels = substrings.Levels(df, 20, "doc_id", "text")
+    names = [r[0] for r in levels.source.collect()]
+    assert len(set(names)) > 80 and len({substrings.blobs.group_of(np.array([n]), 64)[0] for n in names if n < -(2**62)}) > 10
+    texts = {}
+    for name, (_, t) in zip(names, docs, strict=True):
+        texts.setdefault(name, t)
+    plain = brute.substrings(list(texts.items()), 20)
+    expected = sorted((str(i), *plain[n][:3]) for n, (i, _) in zip(names, docs, strict=True))
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in substrings.dedup_substrings(df).collect()) == expected
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_near_duplicates(spark, real, block, monkeypatch):
     monkeypatch.setattr(shingles, "BLOCK", block)
